@@ -125,10 +125,12 @@ def graph_edges(events: DataFrame, scope: Sequence[str] = SESSION) -> DataFrame:
     )
 
 
-def branch_starts(events: DataFrame, scope: Sequence[str] = SESSION) -> DataFrame:
+def branch_starts(
+    events: DataFrame, scope: Sequence[str] = SESSION, links: DataFrame | None = None
+) -> DataFrame:
     """Roots plus the children of every event that has more than one child."""
     scope = list(scope)
-    ends = edges(events, scope)
+    ends = edges(events, scope) if links is None else links
     forks = (
         ends.groupBy(*scope, "parent")
         .agg(F.count("*").alias("kids"))

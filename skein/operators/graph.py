@@ -9,7 +9,9 @@ usual case) there is exactly one pass and no loop.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -77,7 +79,9 @@ class TraceGraph:
     def _crossing(self, links: DataFrame) -> DataFrame:
         return links.filter(self.part("src") != self.part("dst"))
 
-    def _run(self, rows: DataFrame, kernel: Callable, cols: Sequence[str]) -> DataFrame:
+    def _run(
+        self, rows: DataFrame, kernel: Callable, cols: Sequence[str], extra: str | None = None
+    ) -> DataFrame:
         scope = self.scope
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +91,9 @@ class TraceGraph:
 
         types = dict(rows.dtypes)
         schema = ", ".join(
-            [f"`{c}` {types[c]}" for c in scope] + [f"`{c}` bigint" for c in cols]
+            [f"`{c}` {types[c]}" for c in scope]
+            + ([extra] if extra else [])
+            + [f"`{c}` bigint" for c in cols]
         )
         return rows.groupBy("part").applyInArrow(apply, schema)
 
@@ -196,6 +202,58 @@ class TraceGraph:
             done = fresh if done is None else cut(done.unionByName(fresh))
             todo = cut(todo.join(fresh, keys, "left_anti"))
 
+    @cached_property
+    def profile(self) -> DataFrame:
+        """Per node: ``up`` and ``out`` degree, ``level`` and ``height`` (null off the order)."""
+        keys = [*self.scope, "pos"]
+        if not self.large:
+            rows = self._node_rows(self.nodes).unionByName(self._edge_rows(self.down()))
+            out = self._run(rows, kernels.profile, ["pos", "up", "out", "level", "height"])
+            out = out.withColumn("level", F.nullif("level", F.lit(-1))).withColumn(
+                "height", F.nullif("height", F.lit(-1))
+            )
+            return out.persist(StorageLevel.MEMORY_AND_DISK)
+        level = self.levels(self.nodes, self.down())
+        placed = level.select(*keys)
+        inner = (
+            self.up()
+            .join(placed.withColumnRenamed("pos", "src"), [*self.scope, "src"], "left_semi")
+            .join(placed.withColumnRenamed("pos", "dst"), [*self.scope, "dst"], "left_semi")
+        )
+        height = self.levels(placed, cut(inner)).withColumnRenamed("level", "height")
+        up = self.down().groupBy(*self.scope, F.col("dst").alias("pos")).agg(F.count("*").alias("up"))
+        out = self.down().groupBy(*self.scope, F.col("src").alias("pos")).agg(F.count("*").alias("out"))
+        joined = self.nodes.select(*keys)
+        for part in (up, out, level, height):
+            joined = joined.join(part, keys, "left")
+        return cut(joined.fillna(0, ["up", "out"]))
+
+    def extent(self, links: DataFrame) -> DataFrame:
+        """Earliest and latest position among a node and all nodes leading to it."""
+        if not self.large:
+            rows = self._node_rows(self.nodes).unionByName(self._edge_rows(links))
+            return self._run(rows, kernels.extent, ["pos", "early", "last"])
+        last = self.spread(self.nodes, F.col("pos"), links).withColumnRenamed("value", "last")
+        early = self.spread(self.nodes, -F.col("pos"), links)
+        early = early.select(*self.scope, "pos", (-F.col("value")).alias("early"))
+        return last.join(early, [*self.scope, "pos"])
+
+    def tool_paths(self, shortest: int, longest: int) -> DataFrame:
+        """Occurrences of tool sequences, where edges lead forward and no scope is large."""
+        tools = self.nodes.select(*self.scope, F.col("pos").alias("a"), "tool_name")
+        rows = (
+            self._node_rows(self.nodes)
+            .join(tools, [*self.scope, "a"])
+            .unionByName(self._edge_rows(self.down()).withColumn("tool_name", F.lit("")))
+        )
+
+        def kernel(block: kernels.Block) -> Iterator[pa.RecordBatch]:
+            enc = block.table["tool_name"].combine_chunks().dictionary_encode()
+            codes = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            return kernels.tool_paths(block, codes[block.rows], enc.dictionary, shortest, longest)
+
+        return self._run(rows, kernel, ["occurrences"], "pattern array<string>")
+
     def closure(self, seeds: DataFrame, links: DataFrame) -> DataFrame:
         """Pairs (start, pos, dist): all nodes each seed reaches, itself included.
 

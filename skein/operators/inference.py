@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +59,15 @@ def detect_turns(events: DataFrame) -> DataFrame:
 
 def link_sequential(events: DataFrame) -> DataFrame:
     """Add ``seq_parent``: the previous event of the turn unless either is a barrier."""
+    return link_lookback(events).drop("_pid", "_ptool", "_pts")
+
+
+def link_lookback(events: DataFrame) -> DataFrame:
+    """``seq_parent`` next to the look-back columns it was decided from."""
     df = neighbours(
         events,
         {"_pid": ("event_id", 1), "_ptool": ("tool_name", 1), "_pts": ("timestamp", 1)},
     )
-    return _sequential(df).drop("_pid", "_ptool", "_pts")
-
-
-def _sequential(df: DataFrame) -> DataFrame:
     ok = (
         F.col("_pid").isNotNull()
         & ~_barrier(F.col("tool_name"))
@@ -133,11 +133,7 @@ def infer_relations(events: DataFrame, max_gap: int = 3) -> DataFrame:
     All inferred parents precede their child, so the result needs no cycle breaking
     beyond what the recorded parents need (see ``break_cycles``).
     """
-    df = detect_fan_in(events, max_gap)
-    df = neighbours(
-        df, {"_pid": ("event_id", 1), "_ptool": ("tool_name", 1), "_pts": ("timestamp", 1)}
-    )
-    df = link_subtasks(_sequential(df))
+    df = link_subtasks(link_lookback(detect_fan_in(events, max_gap)))
     primary = F.coalesce(
         F.nullif("parent_event_id", F.lit("")), F.col("seq_parent"), F.col("task_parent")
     )
@@ -162,9 +158,8 @@ def causal_quality(events: DataFrame, graph: TraceGraph | None = None) -> DataFr
         F.count_if(raw == "").alias("root_events"),
         F.count_if(raw.contains(",")).alias("multi_parent_events"),
     )
-    levels = g.levels(g.nodes, g.down()).persist(StorageLevel.MEMORY_AND_DISK)
     depth = (
-        root_depths(g, levels)
+        root_depths(g)
         .join(events.filter(raw == "").select(*keys), keys, "left_semi")
         .groupBy(*g.scope)
         .agg(F.max("depth").alias("max_depth"), F.avg("depth").alias("avg_chain_length"))

@@ -69,8 +69,8 @@ class Adjacency:
         return which, self.dst[first[which] + step]
 
 
-def levels(block: Block) -> pa.RecordBatch:
-    """Longest-path level of the nodes that sort topologically below the starts."""
+def _levels(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Longest-path level, and which nodes sort topologically below the starts."""
     indeg = np.bincount(block.dst, minlength=block.n)
     starts = (indeg == 0) | (block.value >= 0) | (block.pending > 0)
     adj = Adjacency(block.n, block.src, block.dst)
@@ -83,7 +83,11 @@ def levels(block: Block) -> pa.RecordBatch:
     live = reached[block.src]
     waiting = np.bincount(block.dst[live], minlength=block.n) + block.pending
     level = np.where(block.value >= 0, block.value, 0)
-    done = reached & (waiting == 0)
+    return _sweep(adj, reached & (waiting == 0), waiting, level)
+
+
+def _sweep(adj: Adjacency, done: np.ndarray, waiting: np.ndarray, level: np.ndarray):
+    """Pass levels along edges; a node goes on once all its incoming edges arrived."""
     front = np.flatnonzero(done)
     while len(front):
         which, nxt = adj.expand(front)
@@ -91,10 +95,76 @@ def levels(block: Block) -> pa.RecordBatch:
         np.subtract.at(waiting, nxt, 1)
         front = np.unique(nxt[(waiting[nxt] == 0) & ~done[nxt]])
         done[front] = True
+    return level, done
+
+
+def levels(block: Block) -> pa.RecordBatch:
+    """Level of every node that has one."""
+    level, done = _levels(block)
     idx = np.flatnonzero(done)
     return block.out(idx, pos=block.pos[idx], value=level[idx])
 
 
+def profile(block: Block) -> pa.RecordBatch:
+    """Degrees, level from the roots and height above the leaves of every node."""
+    level, done = _levels(block)
+    keep = done[block.src] & done[block.dst]
+    src, dst = block.src[keep], block.dst[keep]
+    waiting = np.bincount(src, minlength=block.n)
+    height, _ = _sweep(
+        Adjacency(block.n, dst, src),
+        done & (waiting == 0),
+        waiting,
+        np.zeros(block.n, dtype=np.int64),
+    )
+    return block.out(
+        np.arange(block.n),
+        pos=block.pos,
+        up=np.bincount(block.dst, minlength=block.n),
+        out=np.bincount(block.src, minlength=block.n),
+        level=np.where(done, level, -1),
+        height=np.where(done, height, -1),
+    )
+
+
+def tool_paths(block: Block, tag: np.ndarray, names: pa.Array, shortest: int, longest: int):
+    """Occurrences of every tool sequence along paths, for edges that only lead forward.
+
+    Carries the number of paths per (last node, sequence); sequences are numbered per
+    scope and length, each remembering its prefix.
+    """
+    adj = Adjacency(block.n, block.src, block.dst)
+    wide = len(names)
+    key, pattern = np.unique(block.code * wide + tag, return_inverse=True)
+    owner = np.zeros(len(key), dtype=np.int64)
+    owner[pattern] = np.arange(block.n)
+    spelled = [[names[int(k % wide)].as_py()] for k in key]
+    node, count = np.arange(block.n), np.ones(block.n, dtype=np.int64)
+    for length in range(1, longest + 1):
+        if length > 1:
+            which, nxt = adj.expand(node)
+            key, grown = np.unique(pattern[which] * wide + tag[nxt], return_inverse=True)
+            spelled = [spelled[k // wide] + [names[int(k % wide)].as_py()] for k in key]
+            owner_next = np.zeros(len(key), dtype=np.int64)
+            owner_next[grown] = nxt
+            state, place = np.unique(nxt * max(len(key), 1) + grown, return_inverse=True)
+            total = np.zeros(len(state), dtype=np.int64)
+            np.add.at(total, place, count[which])
+            node, pattern = state // max(len(key), 1), state % max(len(key), 1)
+            count, owner = total, owner_next
+        if not len(node):
+            return
+        if length >= shortest:
+            seen = np.zeros(len(spelled), dtype=np.int64)
+            np.add.at(seen, pattern, count)
+            batch = block.out(owner, occurrences=seen)
+            words = pa.array(spelled, type=pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], words, batch.columns[-1]],
+                names=[*block.scope, "pattern", "occurrences"],
+            )
+
+
 def spread(block: Block) -> pa.RecordBatch:
     """Largest start value among each node and everything that leads to it."""
     best = block.value.copy()
@@ -110,6 +180,21 @@ def spread(block: Block) -> pa.RecordBatch:
     return block.out(idx, pos=block.pos, value=best)
 
 
+def extent(block: Block) -> pa.RecordBatch:
+    """Earliest and latest position among each node and everything that leads to it."""
+    adj = Adjacency(block.n, block.src, block.dst)
+    low, high = block.pos.copy(), block.pos.copy()
+    front = np.arange(block.n)
+    while len(front):
+        which, nxt = adj.expand(front)
+        a, b = low[front[which]], high[front[which]]
+        better = (a < low[nxt]) | (b > high[nxt])
+        np.minimum.at(low, nxt[better], a[better])
+        np.maximum.at(high, nxt[better], b[better])
+        front = np.unique(nxt[better])
+    return block.out(np.arange(block.n), pos=block.pos, early=low, last=high)
+
+
 def labels(block: Block) -> pa.RecordBatch:
     """Smallest position of the weakly connected piece each node lies in."""
     lab = np.arange(block.n)

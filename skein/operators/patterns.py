@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.edges import SESSION, edges
+from skein.operators.graph import TraceGraph
 from skein.operators.ordering import top_rows
 
 
@@ -67,30 +68,31 @@ def path_counts(
     max_length: int = 5,
     scope: Sequence[str] = SESSION,
     pos: str = "pos",
-    links: DataFrame | None = None,
+    graph: TraceGraph | None = None,
 ) -> DataFrame:
     """Occurrences of every tool sequence along simple causal paths.
 
     Paths are not listed one by one: only the number of paths per (last event, tool
-    sequence) is carried from length to length. Scopes with a reference to a later event
-    could revisit an event, so there the visited events are carried as well.
+    sequence) is carried from length to length, block by block, or by joins where a scope
+    is larger than a block. Scopes with a reference to a later event could revisit an
+    event, so there the visited events are carried as well.
     """
-    scope = list(scope)
-    full = edges(events, scope, pos) if links is None else links
-    full = full.select(*scope, "parent_pos", "child_pos", "parent_tool", "child_tool").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    forward = full.filter("parent_pos >= child_pos").select(*scope).distinct()
+    g = graph or TraceGraph(events, scope, pos)
+    scope = g.scope
+    forward = g.edges.filter("parent_pos >= child_pos").select(*scope).distinct()
     tangled = not forward.isEmpty()
-    plain = full.join(forward, scope, "left_anti") if tangled else full
-    steps = plain.groupBy(*scope, "parent_pos", "child_pos", "child_tool").agg(F.count("*").alias("m"))
+    if not tangled and not g.large:
+        return g.tool_paths(min_length, max_length)
+    full = g.edges.select(*scope, "parent_pos", "child_pos", "parent_tool", "child_tool")
     parts = []
     if min_length <= 1:
         parts.append(
-            events.groupBy(*scope, F.array("tool_name").alias("pattern")).agg(
-                F.countDistinct("event_id").alias("occurrences")
+            g.nodes.groupBy(*scope, F.array("tool_name").alias("pattern")).agg(
+                F.count("*").alias("occurrences")
             )
         )
+    plain = full.join(forward, scope, "left_anti") if tangled else full
+    steps = plain.groupBy(*scope, "parent_pos", "child_pos", "child_tool").agg(F.count("*").alias("m"))
     state = plain.groupBy(
         *scope, "child_pos", F.array("parent_tool", "child_tool").alias("pattern")
     ).agg(F.count("*").alias("n"))
@@ -106,40 +108,48 @@ def path_counts(
                 )
                 .agg(F.sum(F.col("n") * F.col("m")).alias("n"))
             )
+        state = state.persist(StorageLevel.MEMORY_AND_DISK)
         if length >= min_length:
             parts.append(state.select(*scope, "pattern", F.col("n").alias("occurrences")))
     if tangled:
-        hard = full.join(forward, scope, "left_semi")
-        walk = hard.filter("parent_pos <> child_pos").select(
-            *scope,
-            "child_pos",
-            F.array("parent_tool", "child_tool").alias("pattern"),
-            F.array("parent_pos", "child_pos").alias("seen"),
-        )
-        onward = hard.select(
-            *scope, "parent_pos", F.col("child_pos").alias("to_pos"), F.col("child_tool").alias("to_tool")
-        )
-        for length in range(2, max_length + 1):
-            if length > 2:
-                walk = (
-                    walk.withColumnRenamed("child_pos", "parent_pos")
-                    .join(onward, [*scope, "parent_pos"])
-                    .filter("NOT array_contains(seen, to_pos)")
-                    .select(
-                        *scope,
-                        F.col("to_pos").alias("child_pos"),
-                        F.concat("pattern", F.array("to_tool")).alias("pattern"),
-                        F.concat("seen", F.array("to_pos")).alias("seen"),
-                    )
-                )
-            if length >= min_length:
-                parts.append(walk.select(*scope, "pattern", F.lit(1).cast("bigint").alias("occurrences")))
+        parts += _simple_walks(full.join(forward, scope, "left_semi"), scope, min_length, max_length)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.groupBy(*scope, "pattern").agg(F.sum("occurrences").alias("occurrences"))
 
 
+def _simple_walks(hard: DataFrame, scope: list[str], min_length: int, max_length: int) -> list[DataFrame]:
+    """Paths that carry the events they passed, one table per length."""
+    walk = hard.filter("parent_pos <> child_pos").select(
+        *scope,
+        "child_pos",
+        F.array("parent_tool", "child_tool").alias("pattern"),
+        F.array("parent_pos", "child_pos").alias("seen"),
+    )
+    onward = hard.select(
+        *scope, "parent_pos", F.col("child_pos").alias("to_pos"), F.col("child_tool").alias("to_tool")
+    )
+    parts = []
+    for length in range(2, max_length + 1):
+        if length > 2:
+            walk = (
+                walk.withColumnRenamed("child_pos", "parent_pos")
+                .join(onward, [*scope, "parent_pos"])
+                .filter("NOT array_contains(seen, to_pos)")
+                .select(
+                    *scope,
+                    F.col("to_pos").alias("child_pos"),
+                    F.concat("pattern", F.array("to_tool")).alias("pattern"),
+                    F.concat("seen", F.array("to_pos")).alias("seen"),
+                )
+            )
+        walk = walk.persist(StorageLevel.MEMORY_AND_DISK)
+        if length >= min_length:
+            parts.append(walk.select(*scope, "pattern", F.lit(1).cast("bigint").alias("occurrences")))
+    return parts
+
+
 def repeated_paths(
     events: DataFrame,
     min_length: int = 2,
@@ -165,10 +175,10 @@ def path_reuse_ratio(
     max_depth: int = 10,
     scope: Sequence[str] = SESSION,
     pos: str = "pos",
-    links: DataFrame | None = None,
+    graph: TraceGraph | None = None,
 ) -> DataFrame:
     """1 - distinct / total tool paths of 2 to ``max_depth`` events."""
-    counted = path_counts(events, 2, max_depth, scope, pos, links)
+    counted = path_counts(events, 2, max_depth, scope, pos, graph)
     per = counted.groupBy(*scope).agg(
         F.sum("occurrences").alias("total_paths"), F.count("*").alias("unique_paths")
     )
@@ -187,13 +197,12 @@ def path_reuse_ratio(
 
 
 def retry_density(
-    events: DataFrame, scope: Sequence[str] = SESSION, pos: str = "pos", links: DataFrame | None = None
+    events: DataFrame, scope: Sequence[str] = SESSION, pos: str = "pos", graph: TraceGraph | None = None
 ) -> DataFrame:
     """Mean of transition repetition, path reuse (5 events) and same-tool links."""
-    scope = list(scope)
-    links = edges(events, scope, pos) if links is None else links
-    links = links.persist(StorageLevel.MEMORY_AND_DISK)
-    counts = transitions(events, None, scope, pos, links)
+    g = graph or TraceGraph(events, scope, pos)
+    scope = g.scope
+    counts = transitions(events, None, scope, pos, g.edges)
     per = counts.groupBy(*scope).agg(
         (F.sum(F.col("count") - 1) / F.sum("count")).alias("transition_repetition"),
         (
@@ -201,7 +210,7 @@ def retry_density(
             / F.sum("count")
         ).alias("local_loop_density"),
     )
-    reuse = path_reuse_ratio(events, 5, scope, pos, links).select(
+    reuse = path_reuse_ratio(events, 5, scope, pos, g).select(
         *scope, F.col("reuse_ratio").alias("path_reuse_ratio")
     )
     parts = ["transition_repetition", "path_reuse_ratio", "local_loop_density"]

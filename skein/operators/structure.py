@@ -31,46 +31,34 @@ def root_nodes(g: TraceGraph) -> DataFrame:
 def node_depths(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None) -> DataFrame:
     """Longest path from any root, for events that sort topologically below a root."""
     g = graph_of(events, scope, graph)
-    keys = [*g.scope, "pos"]
     return (
         g.levels(g.nodes, g.down())
-        .join(_ids(g), keys)
+        .join(_ids(g), [*g.scope, "pos"])
         .select(*g.scope, "event_id", F.col("level").alias("depth"))
     )
 
 
-def heights(g: TraceGraph, levels: DataFrame) -> DataFrame:
-    """Longest path down to a leaf, over the events that have a depth."""
-    keep = levels.select(*g.scope, "pos")
-    up = g.up()
-    up = up.join(keep.withColumnRenamed("pos", "src"), [*g.scope, "src"], "left_semi").join(
-        keep.withColumnRenamed("pos", "dst"), [*g.scope, "dst"], "left_semi"
-    )
-    return g.levels(keep, up).withColumnRenamed("level", "height")
-
+def root_depths(g: TraceGraph) -> DataFrame:
+    """Per root: longest path inside what that root alone reaches.
 
-def root_depths(g: TraceGraph, levels: DataFrame) -> DataFrame:
-    """Per root: longest path inside what that root alone reaches."""
+    Without cycles that is the root's height. Scopes with a cycle are redone per root,
+    since an event behind the cycle of one root may be in order below another.
+    """
     keys = [*g.scope, "pos"]
-    tops = root_nodes(g).select(*keys)
-    cyclic = g.nodes.join(levels, keys, "left_anti").select(*g.scope).distinct()
+    tops = g.profile.filter("up = 0").select(*keys, F.col("height").alias("depth"))
+    cyclic = g.profile.filter("level IS NULL").select(*g.scope)
     if cyclic.isEmpty():
-        high = g.levels(g.nodes, g.up())
-        return tops.join(high, keys).select(*keys, F.col("level").alias("depth"))
-    cyclic = cut(cyclic)
-    plain = heights(g, levels).join(cyclic, g.scope, "left_anti")
-    plain = tops.join(plain, keys).select(*keys, F.col("height").alias("depth"))
+        return tops
+    cyclic = cut(cyclic.distinct())
     found = cut(
         g.closure(
-            tops.join(cyclic, g.scope, "left_semi").withColumn("start", F.col("pos")), g.down()
+            tops.join(cyclic, g.scope, "left_semi").select(*keys, F.col("pos").alias("start")),
+            g.down(),
         )
     )
-    inner = (
-        g.edges.join(
-            found.select(*g.scope, "start", F.col("pos").alias("parent_pos")),
-            [*g.scope, "parent_pos"],
-        ).select(*g.scope, "start", "parent_pos", "child_pos")
-    )
+    inner = g.edges.join(
+        found.select(*g.scope, "start", F.col("pos").alias("parent_pos")), [*g.scope, "parent_pos"]
+    ).select(*g.scope, "start", "parent_pos", "child_pos")
     own = TraceGraph(
         None,
         [*g.scope, "start"],
@@ -83,23 +71,23 @@ def root_depths(g: TraceGraph, levels: DataFrame) -> DataFrame:
         .groupBy(*g.scope, F.col("start").alias("pos"))
         .agg(F.max("level").alias("depth"))
     )
-    return plain.unionByName(deep.select(*keys, "depth"))
+    return tops.join(cyclic, g.scope, "left_anti").unionByName(deep.select(*keys, "depth"))
 
 
 def find_roots(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None) -> DataFrame:
     """Roots with the number of distinct descendants and the depth below each."""
     g = graph_of(events, scope, graph)
     keys = [*g.scope, "pos"]
-    levels = g.levels(g.nodes, g.down()).persist(StorageLevel.MEMORY_AND_DISK)
-    tops = root_nodes(g)
+    tops = root_depths(g)
     down = g.reach(tops.select(*keys), g.down()).select(
         *g.scope, F.col("start").alias("pos"), (F.col("reached") - 1).alias("downstream_count")
     )
-    shown = events.select(*keys, input_preview("tool_input", 60).alias("tool_input_preview"))
+    shown = events.select(
+        *keys, "event_id", "tool_name", input_preview("tool_input", 60).alias("tool_input_preview")
+    )
     return (
         tops.join(down, keys)
-        .join(root_depths(g, levels), keys)
-        .join(shown, keys, "left")
+        .join(shown, keys)
         .select(
             *g.scope,
             "event_id",
@@ -126,41 +114,13 @@ def session_stats(events, scope: Sequence[str] = SESSION, graph: TraceGraph | No
     basic = basic.withColumn(
         "time_span_s", F.when(F.col("event_count") > 1, F.coalesce(span, F.lit(0.0))).otherwise(0.0)
     ).drop("_t0", "_t1")
-    marks = g.edges.select(
-        *scope, F.col("child_pos").alias("pos"), F.lit(1).alias("up"), F.lit(0).alias("out")
-    ).unionByName(
-        g.edges.select(
-            *scope, F.col("parent_pos").alias("pos"), F.lit(0).alias("up"), F.lit(1).alias("out")
-        )
+    per_node = g.profile.select(*keys, "up", "out", "level", F.lit(None).cast("bigint").alias("depth"))
+    per_root = root_depths(g).select(
+        *keys,
+        *[F.lit(None).cast("bigint").alias(c) for c in ("up", "out", "level")],
+        "depth",
     )
-    levels = g.levels(g.nodes, g.down()).persist(StorageLevel.MEMORY_AND_DISK)
-    below_root = root_depths(g, levels)
-    per_node = (
-        marks.groupBy(*keys).agg(F.sum("up").alias("up"), F.sum("out").alias("out"))
-        .unionByName(g.nodes.select(*keys, F.lit(0).alias("up"), F.lit(0).alias("out")))
-        .withColumn("level", F.lit(None).cast("bigint"))
-        .withColumn("depth", F.lit(None).cast("bigint"))
-        .unionByName(
-            levels.select(
-                *keys, F.lit(0).alias("up"), F.lit(0).alias("out"), "level",
-                F.lit(None).cast("bigint").alias("depth"),
-            )
-        )
-        .unionByName(
-            below_root.select(
-                *keys, F.lit(0).alias("up"), F.lit(0).alias("out"),
-                F.lit(None).cast("bigint").alias("level"), "depth",
-            )
-        )
-        .groupBy(*keys)
-        .agg(
-            F.sum("up").alias("up"),
-            F.sum("out").alias("out"),
-            F.max("level").alias("level"),
-            F.max("depth").alias("depth"),
-        )
-    )
-    shape = per_node.groupBy(*scope).agg(
+    shape = per_node.unionByName(per_root).groupBy(*scope).agg(
         F.count_if(F.col("up") == 0).alias("root_count"),
         F.count_if(F.col("out") == 0).alias("leaf_count"),
         F.coalesce(F.max("level"), F.lit(0)).alias("max_depth"),
@@ -224,11 +184,7 @@ def topology_shape(stats: DataFrame) -> DataFrame:
 def branch_density(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None, pos: str = "pos"):
     """Fan-out relative to depth, average and maximum; zero where there is no depth."""
     g = graph or TraceGraph(events, scope, pos)
-    keys = [*g.scope, "pos"]
-    out = g.edges.groupBy(*g.scope, F.col("parent_pos").alias("pos")).agg(F.count("*").alias("out"))
-    per_node = g.nodes.select(*keys).join(out, keys, "left").fillna(0, ["out"])
-    per_node = per_node.join(g.levels(g.nodes, g.down()), keys, "left")
-    agg = per_node.groupBy(*g.scope).agg(
+    agg = g.profile.groupBy(*g.scope).agg(
         F.avg("out").alias("fa"),
         F.max("out").alias("fm"),
         F.avg("level").alias("da"),
@@ -245,10 +201,9 @@ def critical_path(events, scope: Sequence[str] = SESSION, graph: TraceGraph | No
     """Longest root-to-leaf chain; earliest root and earliest child win ties."""
     g = graph_of(events, scope, graph)
     keys = [*g.scope, "pos"]
-    levels = g.levels(g.nodes, g.down()).persist(StorageLevel.MEMORY_AND_DISK)
-    high = heights(g, levels).persist(StorageLevel.MEMORY_AND_DISK)
-    above = high.select(*g.scope, F.col("pos").alias("src"), F.col("height").alias("hs"))
-    under = high.select(*g.scope, F.col("pos").alias("dst"), F.col("height").alias("hd"))
+    placed = g.profile.filter("height IS NOT NULL")
+    above = placed.select(*g.scope, F.col("pos").alias("src"), F.col("height").alias("hs"))
+    under = placed.select(*g.scope, F.col("pos").alias("dst"), F.col("height").alias("hd"))
     nxt = (
         g.down()
         .join(above, [*g.scope, "src"])
@@ -256,10 +211,9 @@ def critical_path(events, scope: Sequence[str] = SESSION, graph: TraceGraph | No
         .filter("hd = hs - 1")
         .groupBy(*g.scope, "src")
         .agg(F.min("dst").alias("dst"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     first = (
-        high.join(root_nodes(g).select(*keys), keys, "left_semi")
+        placed.filter("up = 0")
         .groupBy(*g.scope)
         .agg(F.max(F.struct("height", (-F.col("pos")).alias("neg"))).alias("best"))
         .select(*g.scope, (-F.col("best.neg")).alias("pos"))
@@ -509,7 +463,7 @@ def branch_persistence(events, scope: Sequence[str] = SESSION, graph: TraceGraph
     """Per branch start: time span of the start and its descendants, and their number."""
     g = graph_of(events, scope, graph)
     timed = TimedGraph(g)
-    starts = branch_starts(events, g.scope).select(*g.scope, "pos")
+    starts = branch_starts(events, g.scope, g.edges).select(*g.scope, "pos")
     names = _ids(g).select(*g.scope, F.col("pos").alias("start"), F.col("event_id").alias("branch_id"))
     return (
         timed.reach(starts)
@@ -543,13 +497,13 @@ def frontier_width(events, scope: Sequence[str] = SESSION, graph: TraceGraph | N
     """Number of branches active at each event: from a branch's first to last member."""
     g = graph_of(events, scope, graph)
     keys = [*g.scope, "pos"]
-    starts = branch_starts(events, g.scope).select(*keys)
-    last = g.spread(g.nodes, F.col("pos"), g.up()).withColumnRenamed("value", "last")
-    early = g.spread(g.nodes, -F.col("pos"), g.up()).withColumnRenamed("value", "early")
-    spans = starts.join(last, keys).join(early, keys)
-    steps = spans.select(*g.scope, (-F.col("early")).alias("pos"), F.lit(1).alias("d")).unionByName(
-        spans.select(*g.scope, (F.col("last") + 1).alias("pos"), F.lit(-1).alias("d"))
+    starts = branch_starts(events, g.scope, g.edges).select(*keys)
+    spans = starts.join(g.extent(g.up()), keys)
+    mark = F.array(
+        F.struct(F.col("early").alias("pos"), F.lit(1).alias("d")),
+        F.struct((F.col("last") + 1).alias("pos"), F.lit(-1).alias("d")),
     )
+    steps = spans.select(*g.scope, F.inline(mark))
     steps = steps.groupBy(*keys).agg(F.sum("d").alias("d"))
     at = events.select(*g.scope, "pos", "event_id").join(steps, keys, "left").fillna(0, ["d"])
     return running_sum(at, {"width": F.col("d")}, g.scope).select(*g.scope, "event_id", "width")

@@ -106,7 +106,7 @@ def window_metrics(events: DataFrame, size: int = 50, overlap: int = 0) -> DataF
     return (
         stats.join(transition_entropy(cutup, scope, "wpos", g.edges), scope)
         .join(
-            path_reuse_ratio(cutup, 10, scope, "wpos", g.edges).select(
+            path_reuse_ratio(cutup, 10, scope, "wpos", g).select(
                 *scope, F.col("reuse_ratio").alias("path_reuse_ratio")
             ),
             scope,

@@ -65,8 +65,8 @@ DIRTY = (
     + """,
 td AS (
   SELECT l.session_id, l.event_id, l.pos, l.ts, l.event_type AS tool_name, l.k,
-         CASE WHEN k = 7 THEN ['ext_7'] WHEN k = 8 THEN ['root_8']
-              WHEN k = 13 THEN [coalesce(n.nxt, 'ext_13')]
+         CASE WHEN l.k = 7 THEN ['ext_7'] WHEN l.k = 8 THEN ['root_8']
+              WHEN l.k = 13 THEN [coalesce(n.nxt, 'ext_13')]
               ELSE list_filter([p1.event_id, p2.event_id], lambda x: x IS NOT NULL) END AS parents
   FROM link2 l
   LEFT JOIN (SELECT session_id, pos - 1 AS pos, event_id AS nxt FROM raw_ev) n

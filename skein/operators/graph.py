@@ -228,13 +228,18 @@ class TraceGraph:
             joined = joined.join(part, keys, "left")
         return cut(joined.fillna(0, ["up", "out"]))
 
-    def extent(self, links: DataFrame) -> DataFrame:
-        """Earliest and latest position among a node and all nodes leading to it."""
+    def extent(self, links: DataFrame, nodes: DataFrame | None = None, value: str = "pos") -> DataFrame:
+        """Least and greatest ``value`` among a node and all nodes leading to it."""
+        nodes = self.nodes if nodes is None else nodes
         if not self.large:
-            rows = self._node_rows(self.nodes).unionByName(self._edge_rows(links))
-            return self._run(rows, kernels.extent, ["pos", "early", "last"])
-        last = self.spread(self.nodes, F.col("pos"), links).withColumnRenamed("value", "last")
-        early = self.spread(self.nodes, -F.col("pos"), links)
+            rows = self._node_rows(nodes, F.col(value)).unionByName(self._edge_rows(links))
+            out = self._run(rows, kernels.extent, ["pos", "early", "last"])
+            known = F.col("last") != kernels.NONE
+            return out.withColumn("early", F.when(known, F.col("early"))).withColumn(
+                "last", F.when(known, F.col("last"))
+            )
+        last = self.spread(nodes, F.col(value), links).withColumnRenamed("value", "last")
+        early = self.spread(nodes, -F.col(value), links)
         early = early.select(*self.scope, "pos", (-F.col("value")).alias("early"))
         return last.join(early, [*self.scope, "pos"])
 

@@ -181,10 +181,11 @@ def spread(block: Block) -> pa.RecordBatch:
 
 
 def extent(block: Block) -> pa.RecordBatch:
-    """Earliest and latest position among each node and everything that leads to it."""
+    """Least and greatest start value among each node and everything that leads to it."""
     adj = Adjacency(block.n, block.src, block.dst)
-    low, high = block.pos.copy(), block.pos.copy()
-    front = np.arange(block.n)
+    high = block.value.copy()
+    low = np.where(high == NONE, np.iinfo(np.int64).max, high)
+    front = np.flatnonzero(high != NONE)
     while len(front):
         which, nxt = adj.expand(front)
         a, b = low[front[which]], high[front[which]]

@@ -25,12 +25,14 @@ def with_position(
     ts_col: str = "timestamp",
     seq_col: str = "ingest_seq",
     out: str = "pos",
+    prefix: int = MINUTE_PREFIX,
 ) -> DataFrame:
-    """Add the 1-based position in (timestamp text, ingest order) within the scope."""
+    """Add the 1-based position in (timestamp text, ingest order) within the scope.
+
+    Rows are sliced by the first ``prefix`` characters of the text.
+    """
     scope = list(scope)
-    cut = events.withColumn(
-        "_slice", F.coalesce(F.substring(ts_col, 1, MINUTE_PREFIX), F.lit(""))
-    )
+    cut = events.withColumn("_slice", F.coalesce(F.substring(ts_col, 1, prefix), F.lit("")))
     local = cut.withColumn(
         "_rn",
         F.row_number().over(Window.partitionBy(*scope, "_slice").orderBy(ts_col, seq_col)),

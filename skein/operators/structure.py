@@ -453,10 +453,8 @@ def collapsed_sessions(events, scope: Sequence[str] = SESSION, graph: TraceGraph
     g = graph_of(events, scope, graph)
     keys = [*g.scope, "pos"]
     tops = root_nodes(g).select(*keys, F.col("pos").alias("top"))
-    marked = g.nodes.join(tops, keys, "left").select(*keys, "top")
-    last = g.spread(marked, F.col("top"), g.down()).withColumnRenamed("value", "last")
-    early = g.spread(marked, -F.col("top"), g.down()).withColumnRenamed("value", "early")
-    return last.join(early, keys).filter("last <> -early").select(*g.scope).distinct()
+    marked = g.nodes.select(*keys).join(tops, keys, "left")
+    return g.extent(g.down(), marked, "top").filter("early <> last").select(*g.scope).distinct()
 
 
 def branch_persistence(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None):

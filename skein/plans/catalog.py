@@ -30,5 +30,6 @@ def load_all() -> None:
         causal,
         checks,
         graphs,
+        labels,
         timing,
     )

@@ -29,6 +29,7 @@ def load_all() -> None:
     from skein.plans import (  # noqa: F401
         causal,
         checks,
+        corpora,
         graphs,
         labels,
         timing,

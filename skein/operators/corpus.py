@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schema
 from skein.operators.edges import branch_starts
 from skein.operators.graph import TraceGraph
+from skein.operators.lineage import cut
 from skein.operators.metadata import (
     CANONICAL_FIELDS,
     OPTIONAL_FIELDS,
@@ -251,7 +251,7 @@ def corpus_facts(
     for f in CANONICAL_FIELDS:
         pairs.append(hit("metadata_missing_counts", ~present(f), f))
         pairs.append(hit("explicit_metadata_field_counts", present(f), f))
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base = cut(base)
     counted = base.select(F.inline(F.array_compact(F.array(*pairs)))).withColumn(
         "value", F.lit(1).cast("bigint")
     )
@@ -674,7 +674,7 @@ def corpus_report(kind: str, **tables: DataFrame) -> DataFrame:
 
 def snapshot(events: DataFrame, records: DataFrame, path: str) -> DataFrame:
     """Write events, records and a one-row manifest under ``path``; return the manifest."""
-    records = records.persist(StorageLevel.MEMORY_AND_DISK)
+    records = cut(records)
     events.write.mode("overwrite").parquet(f"{path}/events")
     records.write.mode("overwrite").parquet(f"{path}/records")
     manifest = manifest_digest(records).withColumnRenamed("digest", "snapshot_hash")

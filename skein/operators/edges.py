@@ -19,7 +19,12 @@ def node_index(events: DataFrame, scope: Sequence[str] = SESSION, pos: str = "po
     )
 
 
-def edges(events: DataFrame, scope: Sequence[str] = SESSION, pos: str = "pos") -> DataFrame:
+def edges(
+    events: DataFrame,
+    scope: Sequence[str] = SESSION,
+    pos: str = "pos",
+    nodes: DataFrame | None = None,
+) -> DataFrame:
     """Parent-child edges whose parent lies in the same scope, one per listed parent."""
     scope = list(scope)
     children = events.filter(F.size("parents") > 0).select(
@@ -29,7 +34,8 @@ def edges(events: DataFrame, scope: Sequence[str] = SESSION, pos: str = "pos") -
         F.col("tool_name").alias("child_tool"),
         F.posexplode("parents").alias("parent_idx", "parent"),
     )
-    parents = node_index(events, scope, pos).select(
+    known = node_index(events, scope, pos) if nodes is None else nodes
+    parents = known.select(
         *scope,
         F.col("event_id").alias("parent"),
         F.col("pos").alias("parent_pos"),

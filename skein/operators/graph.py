@@ -13,7 +13,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,9 @@ from skein.operators.lineage import cut
 
 BLOCK_ROWS = 1 << 16
 
+# Executors need not have this package installed: kernels travel with the task.
+cloudpickle.register_pickle_by_value(kernels)
+
 
 class TraceGraph:
     """Nodes and local edges of an event table, cut into blocks per scope."""
@@ -38,13 +41,13 @@ class TraceGraph:
     ):
         self.scope = list(scope)
         self.block_rows = block_rows or BLOCK_ROWS
-        nodes = node_table if node_table is not None else node_index(events, scope, pos)
-        links = edge_table if edge_table is not None else edges(events, scope, pos)
-        self.nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
-        self.edges = links.persist(StorageLevel.MEMORY_AND_DISK)
+        self.nodes = node_table if node_table is not None else cut(node_index(events, scope, pos))
+        self.edges = (
+            edge_table if edge_table is not None else cut(edges(events, scope, pos, self.nodes))
+        )
         size = self.nodes.agg(F.count("*").alias("n"), F.max("pos").alias("top")).first()
         self.large = (size["top"] or 0) > self.block_rows
-        spark = nodes.sparkSession
+        spark = self.nodes.sparkSession
         wanted = -(-(size["n"] or 0) // self.block_rows)
         self.bins = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -212,7 +215,7 @@ class TraceGraph:
             out = out.withColumn("level", F.nullif("level", F.lit(-1))).withColumn(
                 "height", F.nullif("height", F.lit(-1))
             )
-            return out.persist(StorageLevel.MEMORY_AND_DISK)
+            return cut(out)
         level = self.levels(self.nodes, self.down())
         placed = level.select(*keys)
         inner = (

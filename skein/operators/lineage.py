@@ -1,20 +1,23 @@
-"""Cutting the plan of iterative jobs with reliable checkpoints."""
+"""Intermediate tables in the shared folder.
+
+Writing an intermediate result out and reading it back keeps plans short, survives the
+loss of executors and gives the optimizer real sizes to choose joins by.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and scratch tables; local only where none is named."""
+    """Shared folder the session names; a local one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if named:
-        if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(named)
         return named
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     fresh = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -22,7 +25,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fresh
 
 
+def fresh_path(spark: SparkSession, label: str = "stage") -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its history."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once and go on from the written table."""
+    spark = df.sparkSession
+    path = fresh_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

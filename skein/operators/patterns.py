@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.edges import SESSION, edges
 from skein.operators.graph import TraceGraph
+from skein.operators.lineage import cut
 from skein.operators.ordering import top_rows
 
 
@@ -108,7 +108,7 @@ def path_counts(
                 )
                 .agg(F.sum(F.col("n") * F.col("m")).alias("n"))
             )
-        state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        state = cut(state)
         if length >= min_length:
             parts.append(state.select(*scope, "pattern", F.col("n").alias("occurrences")))
     if tangled:
@@ -144,7 +144,7 @@ def _simple_walks(hard: DataFrame, scope: list[str], min_length: int, max_length
                     F.concat("seen", F.array("to_pos")).alias("seen"),
                 )
             )
-        walk = walk.persist(StorageLevel.MEMORY_AND_DISK)
+        walk = cut(walk)
         if length >= min_length:
             parts.append(walk.select(*scope, "pattern", F.lit(1).cast("bigint").alias("occurrences")))
     return parts

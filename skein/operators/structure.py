@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +63,7 @@ def root_depths(g: TraceGraph) -> DataFrame:
         [*g.scope, "start"],
         block_rows=g.block_rows,
         node_table=found.select(*g.scope, "start", "pos"),
-        edge_table=inner,
+        edge_table=cut(inner),
     )
     deep = (
         own.levels(own.nodes, own.down())
@@ -270,7 +269,7 @@ def build_tree(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None
     """Depth, parent and order among siblings of each event in the first-parent tree."""
     g = graph_of(events, scope, graph)
     keys = [*g.scope, "pos"]
-    tree = first_parent(g).persist(StorageLevel.MEMORY_AND_DISK)
+    tree = cut(first_parent(g))
     links = tree.select(*g.scope, F.col("parent_pos").alias("src"), F.col("child_pos").alias("dst"))
     depth = g.levels(g.nodes, links)
     placed = (
@@ -322,7 +321,7 @@ def compress_tree(events, min_run: int = 3, scope: Sequence[str] = SESSION, grap
     """
     g = graph_of(events, scope, graph)
     keys = [*g.scope, "pos"]
-    tree = first_parent(g).persist(StorageLevel.MEMORY_AND_DISK)
+    tree = cut(first_parent(g))
     kids = tree.groupBy(*g.scope, "parent_pos").agg(F.count("*").alias("kids"))
     marked = tree.join(kids, [*g.scope, "parent_pos"])
     merge = marked.filter("kids = 1 AND child_tool = parent_tool").select(
@@ -372,7 +371,7 @@ def causal_chain(events, targets: DataFrame, scope: Sequence[str] = SESSION, gra
     seeds = g.nodes.join(targets, [*g.scope, "event_id"], "left_semi").select(
         *keys, F.col("pos").alias("start")
     )
-    walked = g.closure(seeds, pointer).persist(StorageLevel.MEMORY_AND_DISK)
+    walked = cut(g.closure(seeds, pointer))
     length = walked.groupBy(*g.scope, "start").agg(F.max("dist").alias("last"))
     names = _ids(g).select(*g.scope, F.col("pos").alias("start"), F.col("event_id").alias("target"))
     return (
@@ -416,7 +415,7 @@ def _reached(g: TraceGraph, starts: DataFrame, links: DataFrame, name: str) -> D
 def branch_collapse_pairs(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None):
     """(event, root) rows for every event that at least two roots reach."""
     g = graph_of(events, scope, graph)
-    found = _root_pairs(g).persist(StorageLevel.MEMORY_AND_DISK)
+    found = cut(_root_pairs(g))
     many = found.groupBy(*g.scope, "pos").agg(F.count("*").alias("k")).filter("k >= 2").drop("k")
     heads = _ids(g).select(*g.scope, F.col("pos").alias("start"), F.col("event_id").alias("root_id"))
     return (

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.graph import TraceGraph
+from skein.operators.lineage import cut
 from skein.operators.ordering import running_sum
 from skein.operators.patterns import path_reuse_ratio, transition_entropy
 from skein.operators.structure import branch_density, session_stats
@@ -98,7 +98,11 @@ def root_spawning_summary(events: DataFrame, size: int = 50) -> DataFrame:
 def window_metrics(events: DataFrame, size: int = 50, overlap: int = 0) -> DataFrame:
     """Structural measures of every count window, links restricted to the window."""
     scope = ["session_id", "window"]
-    cutup = count_windows(events, size, overlap).persist(StorageLevel.MEMORY_AND_DISK)
+    cutup = cut(
+        count_windows(events, size, overlap).select(
+            *scope, "event_id", "wpos", "tool_name", "ts", "parents"
+        )
+    )
     g = TraceGraph(cutup, scope, "wpos")
     stats = session_stats(cutup, scope, g, "wpos").select(
         *scope, "event_count", "root_count", "max_depth", "avg_depth"

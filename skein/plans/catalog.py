@@ -29,8 +29,10 @@ def load_all() -> None:
     from skein.plans import (  # noqa: F401
         causal,
         checks,
+        comparison,
         corpora,
         graphs,
         labels,
+        text,
         timing,
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from skein.operators import corpus as K
@@ -11,7 +9,7 @@ from skein.operators import metadata as M
 from skein.operators import subsets as X
 from skein.operators import structure as S
 from skein.operators.graph import TraceGraph
-from skein.operators.lineage import checkpoint_dir
+from skein.operators.lineage import cut, fresh_path
 from skein.plans.catalog import query
 from skein.plans.causal import RETRY_SQL
 from skein.plans.graphs import BRANCHES, FRONTIER, STATS, TOPOLOGY_CASE, rounded
@@ -22,8 +20,8 @@ from skein.plans.views import table
 
 def records(spark, sf):
     """Structure, topology and effective metadata per session."""
-    ev = attributed(spark, sf)
-    return K.session_records(ev, sidecar(spark, sf), annotation(spark, sf)).persist()
+    ev = cut(attributed(spark, sf))
+    return cut(K.session_records(ev, sidecar(spark, sf), annotation(spark, sf)))
 
 
 def after_views(cte: str, first: str) -> str:
@@ -151,8 +149,14 @@ def session_records(spark, sf):
     )
 
 
+def _features(spark, sf):
+    return K.session_features(cut(attributed(spark, sf)))
+
+
 def _facts(spark, sf):
-    return K.corpus_facts(attributed(spark, sf), sidecar(spark, sf), annotation(spark, sf))
+    ev = cut(attributed(spark, sf))
+    features = K.session_features(ev)
+    return cut(K.corpus_facts(ev, sidecar(spark, sf), annotation(spark, sf), features))
 
 
 @query("corpus_facts", FACTS + "SELECT * FROM fr")
@@ -198,7 +202,7 @@ def readiness(spark, sf):
     FEAT + "SELECT session_id, topology, array_to_string(tags, ',') AS tags, primary_taxonomy FROM tx",
 )
 def taxonomy(spark, sf):
-    return K.taxonomy(K.session_features(attributed(spark, sf))).select(
+    return K.taxonomy(_features(spark, sf)).select(
         "session_id", "topology", F.array_join("tags", ",").alias("tags"), "primary_taxonomy"
     )
 
@@ -220,7 +224,7 @@ UNION ALL SELECT label, 'task_type', task_type, count(*) FROM tz WHERE task_type
 UNION ALL SELECT label, 'tag', t, count(*) FROM (SELECT label, unnest(tags) AS t FROM tz) GROUP BY 1, 3""",
 )
 def taxonomy_manifest(spark, sf):
-    rows = K.taxonomy(K.session_features(attributed(spark, sf)))
+    rows = K.taxonomy(_features(spark, sf))
     meta = M.effective_metadata(sidecar(spark, sf), annotation(spark, sf))
     rows = rows.join(meta.select("session_id", "runtime", "task_type"), "session_id", "left")
     return K.taxonomy_manifest(rows)
@@ -377,7 +381,7 @@ def _report_tables(spark, sf):
     own, noted = sidecar(spark, sf), annotation(spark, sf)
     meta, prov = M.effective_metadata(own, noted), M.field_provenance(own, noted)
     return {
-        "facts": _facts(spark, sf).persist(),
+        "facts": _facts(spark, sf),
         "near_misses": K.near_misses(meta, prov),
         "strict": K.research_grade(meta, prov),
         "audit": K.provenance_audit(meta, prov),
@@ -410,8 +414,8 @@ WHERE event_type = 'signup' GROUP BY 1""",
 )
 def verify_snapshot(spark, sf):
     """A snapshot whose event files were altered after writing."""
-    ev = attributed(spark, sf)
-    home = tempfile.mkdtemp(prefix="snapshot-", dir=checkpoint_dir(spark).replace("file:", ""))
+    ev = cut(attributed(spark, sf))
+    home = fresh_path(spark, "snapshot")
     rec = K.session_records(ev, sidecar(spark, sf), annotation(spark, sf))
     K.snapshot(ev, rec, home)
     changed = spark.read.parquet(f"{home}/events").withColumn(
@@ -478,7 +482,7 @@ def units(spark, sf):
 
 
 def membership(spark, sf):
-    return X.subset_membership(units(spark, sf)).persist()
+    return cut(X.subset_membership(units(spark, sf)))
 
 
 @query("experimental_units", UNITS + "SELECT * FROM un0")

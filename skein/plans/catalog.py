@@ -32,7 +32,9 @@ def load_all() -> None:
         comparison,
         corpora,
         graphs,
+        ingest,
         labels,
+        live,
         text,
         timing,
     )

@@ -22,7 +22,7 @@ def _with_ids(spark, sf):
     )
     return table(spark, sf, "documents").select(
         "doc_id",
-        F.concat("text", F.repeat(uid, (i % 7).cast("int")), F.lit("PM-A-00"), (i % 10).cast("string")).alias("text"),
+        F.concat("text", F.repeat(uid, (i % 7).cast("int")), F.lit(" PM-A-00"), (i % 10).cast("string")).alias("text"),
     )
 
 
@@ -33,7 +33,7 @@ lab AS (SELECT doc_id, text, doc_id % 7 AS n, ['PM-A-001', 'PM-A-002', 'PM-B-001
 seq AS (SELECT doc_id, text, n, l, range(0, n) AS r, least(n, 4) AS m FROM lab),
 rd AS (SELECT doc_id, replace(replace(replace(text, 'license', 'terms'), 'the ', 'THE '), '@', ' at ')
   || array_to_string(list_transform(r, lambda i: ' ' || CASE WHEN i < 4 THEN coalesce(l[n + i + 1], 'PM-ANON') ELSE 'PM-ANON' END || ' '), '')
-  || coalesce(l[n + m + 1], 'PM-ANON') AS redacted FROM seq)
+  || ' ' || coalesce(l[n + m + 1], 'PM-ANON') AS redacted FROM seq)
 """
 
 

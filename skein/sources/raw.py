@@ -20,9 +20,15 @@ SLICE_DIGITS = 15  # slices of 100,000 lines
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text logs; the file name without suffix is the session."""
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
-    lines = spark.read.text(path).select(name.alias("session_id"), "value", F.col("_metadata.file_path").alias("_f"))
-    # Splits of a file carry increasing ids, so the id orders the lines of each file.
-    return lines.select("session_id", F.monotonically_increasing_id().alias("line_no"), "value")
+    lines = spark.read.text(path).select(
+        name.alias("session_id"),
+        "value",
+        F.lpad(F.col("_metadata.file_block_start").cast("string"), LINE_DIGITS, "0").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    # Row ids grow inside a block of a file; the block's offset orders the blocks.
+    numbered = with_position(lines, ["session_id"], "_block", "_row", "line_no", LINE_DIGITS)
+    return numbered.select("session_id", (F.col("line_no") - 1).alias("line_no"), "value")
 
 
 def parsed(raw: DataFrame) -> DataFrame:

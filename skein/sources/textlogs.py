@@ -101,7 +101,7 @@ def ingest_opencode_log(lines: DataFrame) -> DataFrame:
         F.col("tool").alias("tool_name"),
         F.lit("{}").alias("tool_input"),
         "timestamp",
-        F.coalesce("logged", spent).alias("duration_ms"),
+        F.coalesce("logged", F.when(F.col("begun").isNotNull(), spent)).alias("duration_ms"),
     )
     return _linked(events)
 

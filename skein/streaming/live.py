@@ -1,0 +1,164 @@
+"""Structured Streaming forms of append, pairing, chaining, dedup and counting."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+import skein.streaming as package
+from skein.functions.columns import fingerprint, iso_timestamp, parse_parents
+from skein.operators.lineage import fresh_path
+from skein.schema import EVENT_SCHEMA
+
+# Executors need not have this package installed: state functions travel with the task.
+cloudpickle.register_pickle_by_value(package)
+
+
+def stream_events(spark: SparkSession, path: str, fmt: str = "json", schema=EVENT_SCHEMA) -> DataFrame:
+    """Append-only event files as a stream."""
+    return spark.readStream.schema(schema).format(fmt).load(path)
+
+
+def append_events(stream: DataFrame, path: str, checkpoint: str, fmt: str = "json"):
+    """Start appending a stream of events to files."""
+    return (
+        stream.writeStream.format(fmt)
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+    )
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Process all available input once and return the written result as a table."""
+    spark = stream.sparkSession
+    out, state = fresh_path(spark, "drained"), fresh_path(spark, "state")
+    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.outputMode("append").format("parquet").option("path", out).start()
+    else:
+        # The last micro-batch of a complete result replaces the ones before.
+        query = (
+            writer.outputMode(mode)
+            .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+            .start()
+        )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+PAIR_OUT = (
+    "session_id string, event_id string, parent_event_id string, tool_name string, duration_ms double"
+)
+PAIR_STATE = "last string, tools array<string>, ms array<bigint>, parents array<string>"
+
+
+def _pairing(ttl_ms: int | None):
+    """State function that matches one session's records."""
+
+    def pair(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, tools, ms, parents = state.get if state.exists else (None, [], [], [])
+        waiting = {t: (m, p) for t, m, p in zip(tools, ms, parents)}
+        batch = pd.concat(list(chunks)).sort_values("line_no")
+        done = []
+        for r in batch.itertuples(index=False):
+            if r.hook_event_name == "PreToolUse":
+                waiting[r.tool_name] = (int(r.arrived_ms), last)
+            elif r.hook_event_name == "PostToolUse" and r.tool_name in waiting:
+                begun, parent = waiting.pop(r.tool_name)
+                if ttl_ms is not None and r.arrived_ms - begun > ttl_ms:
+                    continue
+                last = f"{key[0]}:{r.line_no}"
+                done.append((key[0], last, parent, r.tool_name, float(r.arrived_ms - begun)))
+        kept = {
+            t: v for t, v in waiting.items() if ttl_ms is None or batch.arrived_ms.max() - v[0] <= ttl_ms
+        }
+        state.update((last, list(kept), [m for m, _ in kept.values()], [p for _, p in kept.values()]))
+        yield pd.DataFrame(
+            done, columns=["session_id", "event_id", "parent_event_id", "tool_name", "duration_ms"]
+        )
+
+    return pair
+
+
+def stream_pair_hooks(raw: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Completed calls from a stream of hook records.
+
+    Input columns as for the batch form. Rows of one micro-batch are taken in arrival
+    order. A before-record that waits longer than ``ttl_ms`` (by arrival time) is forgotten.
+    """
+    return (
+        raw.select("session_id", "line_no", "arrived_ms", "hook_event_name", "tool_name")
+        .groupBy("session_id")
+        .applyInPandasWithState(
+            _pairing(ttl_ms), PAIR_OUT, PAIR_STATE, "append", GroupStateTimeout.NoTimeout
+        )
+    )
+
+
+CHAIN_OUT = "session_id string, event_id string, parent_event_id string, tool_name string"
+
+
+def _chain(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Link one session's arriving events; state: the last event."""
+    last = state.get[0] if state.exists else None
+    batch = pd.concat(list(chunks)).sort_values("ingest_seq")
+    out = []
+    for r in batch.itertuples(index=False):
+        if r.new_group:
+            last = None
+        out.append((key[0], r.event_id, r.parent_event_id or last, r.tool_name))
+        last = r.event_id
+    state.update((last,))
+    yield pd.DataFrame(out, columns=["session_id", "event_id", "parent_event_id", "tool_name"])
+
+
+def stream_chain(events: DataFrame) -> DataFrame:
+    """Give arriving events the session's previous event as parent.
+
+    A recorded parent wins. ``new_group`` starts a new chain at its event.
+    """
+    return (
+        events.select("session_id", "event_id", "parent_event_id", "tool_name", "ingest_seq", "new_group")
+        .groupBy("session_id")
+        .applyInPandasWithState(_chain, CHAIN_OUT, "last string", "append", GroupStateTimeout.NoTimeout)
+    )
+
+
+def stream_dedup(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Drop events whose content was seen before within the delay."""
+    return (
+        events.withColumn("ts", iso_timestamp("timestamp"))
+        .withColumn("fingerprint", fingerprint())
+        .withWatermark("ts", delay)
+        .dropDuplicatesWithinWatermark(["session_id", "fingerprint"])
+    )
+
+
+def stream_transitions(
+    events: DataFrame, known: DataFrame, window: str = "1 day", delay: str = "1 day"
+) -> DataFrame:
+    """Counts of (parent tool, tool) per time window of the child.
+
+    ``known`` is the stored event table parents are looked up in.
+    """
+    child = events.select(
+        "session_id",
+        iso_timestamp("timestamp").alias("ts"),
+        F.col("tool_name").alias("to_tool"),
+        F.explode(parse_parents("parent_event_id")).alias("parent"),
+    ).withWatermark("ts", delay)
+    parents = known.select(
+        "session_id", F.col("event_id").alias("parent"), F.col("tool_name").alias("from_tool")
+    )
+    return (
+        child.join(parents, ["session_id", "parent"])
+        .groupBy(F.window("ts", window).alias("w"), "from_tool", "to_tool")
+        .agg(F.count("*").alias("count"))
+        .select(F.col("w.start").alias("window_start"), "from_tool", "to_tool", "count")
+    )

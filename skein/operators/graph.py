@@ -154,10 +154,10 @@ class TraceGraph:
         keys = [*self.scope, "pos"]
         targets = links.select(*self.scope, F.col("dst").alias("pos")).distinct()
         starts = nodes.join(targets.withColumn("_t", F.lit(1)), keys, "left").withColumn(
-            "start", F.when(F.col("_t").isNull(), F.lit(1))
+            "_go", F.when(F.col("_t").isNull(), F.lit(1))
         )
         reached = cut(
-            self.spread(starts, F.col("start"), links).filter(F.col("value") == 1).select(*keys)
+            self.spread(starts, F.col("_go"), links).filter(F.col("value") == 1).select(*keys)
         )
         live = cut(links.join(reached.withColumnRenamed("pos", "src"), [*self.scope, "src"], "left_semi"))
         crossing = cut(self._crossing(live))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
+from skein.llm.bpe import bpe_digests
 from skein.llm.catalog import ORACLES, QUERIES, query
 from skein.llm.exactdup import exact_groups
 from skein.llm.quality import STOP_WORDS, quality_rules
-from skein.llm.tables import documents, read
+from skein.llm.tables import documents, fresh_path
+from skein.llm.tokenbin import read_tokens, write_tokens
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -55,3 +57,15 @@ def op9(spark, sf):
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op5_token_output")
+def op5(spark, sf):
+    path = fresh_path(spark, "tokens")
+    write_tokens(documents(spark, sf), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path)
+
+
+@query("op10_byte_bpe")
+def op10(spark, sf):
+    return bpe_digests(documents(spark, sf), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

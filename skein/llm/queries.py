@@ -7,9 +7,11 @@ import public_tokenizers
 from skein.llm.bpe import bpe_digests
 from skein.llm.catalog import ORACLES, QUERIES, query
 from skein.llm.exactdup import exact_groups
+from skein.llm.htmltext import extract_text
 from skein.llm.quality import STOP_WORDS, quality_rules
-from skein.llm.tables import documents, fresh_path
+from skein.llm.tables import documents, fresh_path, read
 from skein.llm.tokenbin import read_tokens, write_tokens
+from skein.llm.urls import judge_urls
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -69,3 +71,16 @@ def op5(spark, sf):
 @query("op10_byte_bpe")
 def op10(spark, sf):
     return bpe_digests(documents(spark, sf), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op6_html_text")
+def op6(spark, sf):
+    return extract_text(read(spark, sf, "pages"))
+
+
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+@query("op8_url_filter")
+def op8(spark, sf):
+    return judge_urls(read(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from skein.llm.bpe import bpe_digests
 from skein.llm.catalog import ORACLES, QUERIES, query
@@ -11,6 +12,7 @@ from skein.llm.htmltext import extract_text
 from skein.llm.quality import STOP_WORDS, quality_rules
 from skein.llm.tables import documents, fresh_path, read
 from skein.llm.tokenbin import read_tokens, write_tokens
+from skein.llm.toxicity import fit_toxicity, score_toxicity
 from skein.llm.urls import judge_urls
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -78,6 +80,23 @@ def op6(spark, sf):
     return extract_text(read(spark, sf, "pages"))
 
 
+TOXIC_AT = 0.3
+
+
+@query("op7_toxicity")
+def op7(spark, sf):
+    docs, labels = documents(spark, sf), read(spark, sf, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    fit = fit_toxicity(docs, labels.filter(~held_out))
+    return score_toxicity(docs, fit).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 

@@ -25,7 +25,7 @@ from skein.llm.tables import cut, given, ship
 
 #: Words that mark unwanted hosts for the weak labels.
 SPAM_WORDS = (
-    "ads adserver adult bet bets betting bingo cams casino casinos cheap cialis crack dating escort farm free gambling hacked jackpot "
+    "ads adserver adult adults bet bets betting bingo cams casino casinos cheap cialis crack dating escort farm free gambling hacked jackpot "
     "keygen lottery loan loans nude payday pharma pharmacy pill pills poker porn porno prize replica roulette seo sex "
     "slots spam sweepstakes torrent track tracker trackers tracking viagra warez webcam win winner xanax xxx"
 ).split()

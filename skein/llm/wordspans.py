@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, SLICE_BYTES + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -79,7 +79,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        up, down = _powers(len(self.data) + 1)
+        up, down = powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum((self.data + np.uint64(1)) * up[: len(self.data)], out=total[1:])
         own = (total[self.ends] - total[self.starts]) * down[self.starts]

@@ -1,16 +1,17 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Model. Tokens are lowered runs of letters; each stands for itself and for its beginnings of
-4, 5 and 6 bytes, hashed to a table of fixed size. A feature's score is its log-odds between
-the classes under an informative Dirichlet prior (the counts of both classes together),
-where it is significant; a token takes the score of its most significant feature, less a
-drift, so that text without toxic words runs downhill.
+4 to 9 bytes, hashed to a table of fixed size. A feature's score is its log-odds between the
+classes under an informative Dirichlet prior (the counts of both classes together), where it
+is significant; a token takes the score of its longest significant feature, less a drift, so
+that text without toxic words runs downhill.
 
 Search. All maximal scoring segments of a text are found in one pass over its tokens. A
 segment of score S in a text of n tokens has the extreme-value p-value
 ``1 - exp(-K n exp(-lambda S))``; lambda solves the score equation on clean tokens, K is
-fitted on clean texts. Segments under the significance level are the passages; the best
-one's p-value gives the text's score by a one-variable logistic curve.
+fitted on clean texts. Segments under the significance level are the passages; the p-value
+of the best few together, by the law of sums of such scores, gives the text's score through
+a one-variable logistic curve.
 
 The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, evenly drawn by a hash of
 their ids. Only that sample of labels, the feature table and a few numbers are broadcast.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma, log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +30,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import wordspans
-from skein.llm.tables import given, ship
+from skein.llm.tables import cut, given, ship
 from skein.llm.wordspans import mix, slices, split_words
 
 BUCKETS = 1 << 20
 #: Most labelled rows that the classifier is fitted on.
 SAMPLE_ROWS = 20_000
-BEGINNINGS = (4, 5, 6)
-PRIOR_MASS = 1000.0
-LEAST_Z, HIGHEST, DRIFT = 4.0, 6.0, 0.4
+BEGINNINGS = (9, 8, 7, 6, 5, 4)
+#: Weight of the prior as a share of all counts.
+PRIOR_SHARE = 0.05
+LEAST_Z, HIGHEST, DRIFT = 5.5, 8.0, 0.4
+#: Most segments whose joint evidence is weighed.
+MOST_JOINED = 8
 SIGNIFICANT = 1e-3
 
 #: Bytes outside words: everything in ASCII but letters.
 NOT_LETTER = np.ones(256, dtype=bool)
 NOT_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
-_UP: dict[str, np.ndarray] = {}
-
-
 @dataclass
 class Fit:
-    """What scoring needs: the feature tables, the tail of clean texts and the logistic curve."""
+    """What scoring needs: the feature scores (0: not significant), the tail of clean texts and the logistic curve."""
 
     score: np.ndarray
-    z: np.ndarray
     lam: float = 1.0
     k: float = 1.0
     slope: float = 1.0
@@ -74,13 +75,13 @@ def features(column: pa.Array) -> tuple[wordspans.Words, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of clean and of toxic texts with each feature."""
     seen = np.zeros((2, BUCKETS), dtype=np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
             words, buckets = features(part.column("text"))
-            toxic = np.repeat(part.column("toxic").to_numpy(), words.counts)
-            for label in (0, 1):
-                seen[label] += np.bincount(buckets[:, toxic == label].ravel(), minlength=BUCKETS)
+            for label, a, b in zip(part.column("toxic").to_pylist(), words.first[:-1], words.first[1:], strict=True):
+                seen[label][np.unique(buckets[:, a:b])] += 1
     at = np.flatnonzero(seen.any(axis=0))
     if len(at):
         yield pa.RecordBatch.from_arrays(
@@ -91,7 +92,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_odds(clean: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds with a Dirichlet prior in the proportions of both classes together, and their z."""
     both = clean + toxic
-    prior = PRIOR_MASS * (both + 0.01) / (both.sum() + 0.01 * len(both))
+    prior = PRIOR_SHARE * (both + 0.01)
     mass = prior.sum()
 
     def odds(x: np.ndarray) -> np.ndarray:
@@ -102,12 +103,10 @@ def log_odds(clean: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def token_scores(buckets: np.ndarray, fit: Fit) -> np.ndarray:
-    """Score of each token: its most significant feature's, less the drift."""
-    best_z, best = fit.z[buckets[0]], fit.score[buckets[0]]
+    """Score of each token: its longest significant feature's, less the drift."""
+    best = fit.score[buckets[0]]
     for row in buckets[1:]:
-        z = fit.z[row]
-        better = np.abs(z) > np.abs(best_z)
-        best_z, best = np.where(better, z, best_z), np.where(better, fit.score[row], best)
+        best = np.where(best == 0, fit.score[row], best)
     return best - np.float32(DRIFT)
 
 
@@ -138,17 +137,20 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, float(after - before)) for b, e, before, after, _ in stack]
 
 
+def top_sums(found: list[tuple[int, int, float]]) -> np.ndarray:
+    """Sum of the best segment's score, of the best two's, and so on up to MOST_JOINED."""
+    best = sorted((s for *_, s in found), reverse=True)[:MOST_JOINED]
+    return np.cumsum(best + [0.0] * (MOST_JOINED - len(best)))
+
+
 def _best(batches: Iterator[pa.RecordBatch], fit) -> Iterator[pa.RecordBatch]:
-    """Number of tokens and best segment score of each text."""
+    """Number of tokens and sums of the best segment scores of each text."""
     for batch in batches:
         for part in slices(batch, "text"):
             words, buckets = features(part.column("text"))
             scores = token_scores(buckets, fit.value)
-            tops = [
-                max((s for *_, s in segments(scores[a:b])), default=0.0)
-                for a, b in zip(words.first[:-1], words.first[1:], strict=True)
-            ]
-            columns = [pa.array(words.counts, pa.int64()), pa.array(tops, pa.float64()), part.column("toxic")]
+            tops = [top_sums(segments(scores[a:b])) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            columns = [pa.array(words.counts, pa.int64()), pa.array(tops, pa.list_(pa.float64())), part.column("toxic")]
             yield pa.RecordBatch.from_arrays(columns, ["n", "top", "toxic"])
 
 
@@ -173,8 +175,20 @@ def tail_p(top, n, fit: Fit):
     return -np.expm1(-fit.k * np.maximum(n, 1) * np.exp(-fit.lam * np.asarray(top, dtype=np.float64)))
 
 
-def strength(top, n, fit: Fit) -> np.ndarray:
-    return np.minimum(-np.log10(np.maximum(tail_p(top, n, fit), 1e-30)), 30.0)
+def strength(sums: np.ndarray, n: np.ndarray, fit: Fit) -> np.ndarray:
+    """-log10 of the smallest p-value of the best r segments together, over r, at most 30.
+
+    The sum of the r best normalised scores exceeds x with probability of about
+    ``exp(-x) x^(r-1) / (r! (r-1)!)``; r itself costs a factor of 2^r.
+    """
+    size = np.log(np.maximum(fit.k * np.maximum(n, 1), 1e-12))
+    best = -np.log10(np.maximum(tail_p(sums[:, 0], n, fit), 1e-300)) - log10(2)
+    for r in range(2, sums.shape[1] + 1):
+        x = fit.lam * sums[:, r - 1] - r * size
+        real = (sums[:, r - 1] > sums[:, r - 2]) & (x > r)
+        spread = (x - (r - 1) * np.log(np.maximum(x, 1.0)) + lgamma(r + 1) + lgamma(r)) / log(10) - r * log10(2)
+        best = np.where(real, np.maximum(best, spread), best)
+    return np.clip(best, 0.0, 30.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
@@ -208,6 +222,8 @@ def fit_toxicity(
     known = given(labels, doc_id=id_col, toxic=labels[label_col].cast("int")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     rows = given(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    # Copies are one text, lest they pass for evidence.
+    rows = cut(rows.withColumn("h", F.xxhash64("text", "toxic")).dropDuplicates(["h"]).drop("h"))
     counts = (
         rows.mapInArrow(_counts, "bucket int, clean bigint, toxic bigint")
         .groupBy("bucket")
@@ -220,16 +236,15 @@ def fit_toxicity(
     delta, z = log_odds(seen[0], seen[1])
     sure = np.abs(z) >= LEAST_Z
     score = np.where(sure, np.clip(delta, -1.0, HIGHEST), 0.0).astype(np.float32)
-    fit = Fit(score, np.where(sure, z, 0.0).astype(np.float32))
+    fit = Fit(score)
     if not seen[0].any() or not seen[1].any():
-        return Fit(np.zeros_like(score), np.zeros_like(score), slope=0.0, offset=-4.0)
+        return Fit(np.zeros_like(score), slope=0.0, offset=-4.0)
     shared = spark.sparkContext.broadcast(fit)
-    best = rows.mapInArrow(lambda batches: _best(batches, shared), "n bigint, top double, toxic int").toPandas()
-    clean = best[best["toxic"] == 0]
+    best = rows.mapInArrow(lambda batches: _best(batches, shared), "n bigint, tops array<double>, toxic int").toPandas()
+    sums, n, toxic = np.stack(best["tops"].to_list()), best["n"].to_numpy(), best["toxic"].to_numpy()
     weights = seen[0]
-    fit.lam, fit.k = tail_of(score - DRIFT, weights, clean["n"].to_numpy(), clean["top"].to_numpy())
-    x = strength(best["top"].to_numpy(), best["n"].to_numpy(), fit)
-    fit.slope, fit.offset = logistic(x, best["toxic"].to_numpy().astype(float))
+    fit.lam, fit.k = tail_of(score - DRIFT, weights, n[toxic == 0], sums[toxic == 0, 0])
+    fit.slope, fit.offset = logistic(strength(sums, n, fit), toxic.astype(float))
     return fit
 
 
@@ -243,14 +258,14 @@ def _scored(batches: Iterator[pa.RecordBatch], fit) -> Iterator[pa.RecordBatch]:
             tops, passages = [], []
             for a, b in zip(words.first[:-1], words.first[1:], strict=True):
                 found = segments(scores[a:b])
-                tops.append(max((s for *_, s in found), default=0.0))
+                tops.append(top_sums(found))
                 own = []
                 for begin, end, value in found:
                     p = float(tail_p(value, b - a, model))
                     if p <= SIGNIFICANT:
                         own.append({"begin": begin, "end": end, "score": value, "p_value": p})
                 passages.append(own)
-            x = strength(np.array(tops), words.counts, model)
+            x = strength(np.stack(tops), words.counts, model)
             chance = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30)))
             columns = [
                 part.column("doc_id"),

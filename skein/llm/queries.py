@@ -10,6 +10,7 @@ from skein.llm.catalog import ORACLES, QUERIES, query
 from skein.llm.exactdup import exact_groups
 from skein.llm.htmltext import extract_text
 from skein.llm.quality import STOP_WORDS, quality_rules
+from skein.llm.substring import repeated_passages
 from skein.llm.tables import documents, fresh_path, read
 from skein.llm.tokenbin import read_tokens, write_tokens
 from skein.llm.toxicity import fit_toxicity, score_toxicity
@@ -17,6 +18,24 @@ from skein.llm.urls import judge_urls
 
 __all__ = ["ORACLES", "QUERIES"]
 
+OP1 = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, ws[i:i + 12] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+later AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM later),
+every AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM every ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", OP1)
+def op1(spark, sf):
+    return repeated_passages(documents(spark, sf)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 OP3 = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

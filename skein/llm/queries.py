@@ -9,6 +9,7 @@ from skein.llm.bpe import bpe_digests
 from skein.llm.catalog import ORACLES, QUERIES, query
 from skein.llm.exactdup import exact_groups
 from skein.llm.htmltext import extract_text
+from skein.llm.neardup import near_groups
 from skein.llm.quality import STOP_WORDS, quality_rules
 from skein.llm.substring import repeated_passages
 from skein.llm.tables import documents, fresh_path, read
@@ -36,6 +37,25 @@ def op1(spark, sf):
     return repeated_passages(documents(spark, sf)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP2 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op2_minhash_dedup", OP2)
+def op2(spark, sf):
+    return near_groups(documents(spark, sf), shingle_words=3, percent=85, tables=8)
+
+
 OP3 = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import wordspans
-from skein.operators.lineage import cut, fresh_path
+from skein.operators.lineage import fresh_path
 
-__all__ = ["cut", "fresh_path", "given", "read", "ship", "split_count", "power_of_two", "documents", "WHITE_CLASS"]
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: White space of the word rule, as a character class of Java's patterns.
 WHITE_CLASS = r"[\x20\x09-\x0D]+"
@@ -24,6 +24,22 @@ def ship(*modules) -> None:
 ship(wordspans)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there; the job's shuffle files are freed."""
+    spark = df.sparkSession
+    path = fresh_path(spark)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,9 +10,10 @@ from skein.llm.catalog import ORACLES, QUERIES, query
 from skein.llm.exactdup import exact_groups
 from skein.llm.htmltext import extract_text
 from skein.llm.neardup import near_groups
+from skein.llm.packing import best_fit_bins
 from skein.llm.quality import STOP_WORDS, quality_rules
 from skein.llm.substring import repeated_passages
-from skein.llm.tables import documents, fresh_path, read
+from skein.llm.tables import documents, fresh_path, read, words
 from skein.llm.tokenbin import read_tokens, write_tokens
 from skein.llm.toxicity import fit_toxicity, score_toxicity
 from skein.llm.urls import judge_urls
@@ -102,6 +103,16 @@ def op9(spark, sf):
     )
 
 
+BIN_WORDS = 2048
+
+
+@query("op4_best_fit_packing")
+def op4(spark, sf):
+    size = F.size(words(F.coalesce(F.col("text"), F.lit(""))))
+    same_text = F.xxhash64(F.lower("text"))
+    return best_fit_bins(documents(spark, sf), size, BIN_WORDS, cluster=same_text)
+
+
 @query("op5_token_output")
 def op5(spark, sf):
     path = fresh_path(spark, "tokens")

@@ -1,17 +1,28 @@
-"""Training-data pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""Training-data pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Document ids are unique in ``documents``; every stage works on all rows its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm.exactdup import exact_groups
+from skein.llm.neardup import near_groups
+from skein.llm.packing import best_fit_bins
 from skein.llm.quality import quality_rules
-from skein.llm.tables import documents, fresh_path
+from skein.llm.substring import repeated_passages
+from skein.llm.tables import cut, documents, fresh_path, words
+
+#: Room of a bin in words.
+BIN_WORDS = 2048
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no quality rule."""
-    kept = quality_rules(docs).filter("kept").select("doc_id")
+    judged = cut(quality_rules(docs).select("doc_id", "kept"))  # a filter would repeat the measures' expressions
+    kept = judged.filter("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi")
 
 
@@ -21,8 +32,39 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi")
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
+    kept = near_groups(docs, shingle_words=5, percent=80).filter("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that a document of smaller id has.
+
+    Texts that lose nothing stay as they are; the others become their kept words joined by
+    one space. A document of which nothing is left goes.
+    """
+    shorter = repeated_passages(docs, min_words=50, seed_words=12).filter("n_removed > 0")
+    shorter = shorter.select("doc_id", "n_words", "n_removed", "kept_text")
+    text = F.coalesce("kept_text", "text")
+    joined = docs.join(shorter, "doc_id", "left").filter("n_removed IS NULL OR n_removed < n_words")
+    return joined.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in bins: ``doc_id, piece, begin, size, shard, bin``."""
+    return best_fit_bins(docs, F.size(words(F.coalesce(F.col("text"), F.lit("")))), BIN_WORDS, cluster=F.xxhash64(F.lower("text")))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", packing),
+]
 
+#: Near duplicates and packing have no SQL; run() is tested against brute force.
 ORACLE_SQL = None
 
 

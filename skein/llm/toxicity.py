@@ -159,7 +159,7 @@ def tail_of(scores: np.ndarray, weights: np.ndarray, n: np.ndarray, tops: np.nda
     if not (scores > 0).any() or (scores * weights).sum() >= 0:
         return 1.0, 1.0
     low, high = 1e-6, 1.0
-    value = lambda lam: float((weights * np.exp(np.minimum(lam * scores, 500))).sum() / weights.sum())
+    value = lambda lam: float((weights * np.exp(np.minimum(lam * scores, 80))).sum() / weights.sum())
     while value(high) < 1 and high < 64:
         high *= 2
     for _ in range(80):

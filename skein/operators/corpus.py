@@ -131,6 +131,13 @@ def event_text(events: DataFrame) -> Column:
     return F.concat_ws("\u001f", *fields)
 
 
+def content_text(events: DataFrame) -> Column:
+    """All that a session digest must see of an event: every field, its place, and which fields are null."""
+    columns = [*EVENT_TEXT_FIELDS, "duration_ms", *(c for c in ("pos",) if c in events.columns)]
+    fields = [F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("-")) for f in columns]
+    return F.concat_ws("\u001f", *fields)
+
+
 def row_text(df: DataFrame, skip: Sequence[str] = ()) -> Column:
     cols = [F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in sorted(df.columns) if c not in skip]
     return F.concat_ws("\u001f", *cols)
@@ -147,10 +154,9 @@ def session_records(
 ) -> DataFrame:
     """One row per session: content digest, size, structure, topology and metadata."""
     g = graph or TraceGraph(events)
-    text = event_text(events)
     content = events.groupBy("session_id").agg(
-        set_digest(text).alias("session_hash"),
-        F.sum(F.octet_length(text) + 1).alias("session_bytes"),
+        set_digest(content_text(events)).alias("session_hash"),
+        F.sum(F.octet_length(event_text(events)) + 1).alias("session_bytes"),
     )
     stats = topology_class(session_stats(events, graph=g))
     return content.join(stats, "session_id").join(
@@ -692,9 +698,8 @@ def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
     events = spark.read.parquet(f"{path}/events")
     records = spark.read.parquet(f"{path}/records")
     manifest = spark.read.parquet(f"{path}/manifest")
-    text = event_text(events)
     actual = events.groupBy("session_id").agg(
-        set_digest(text).alias("a_hash"), F.sum(F.octet_length(text) + 1).alias("a_bytes")
+        set_digest(content_text(events)).alias("a_hash"), F.sum(F.octet_length(event_text(events)) + 1).alias("a_bytes")
     )
     both = records.select("session_id", "session_hash", "session_bytes").join(actual, "session_id", "full")
     issue = (

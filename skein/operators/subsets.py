@@ -467,7 +467,7 @@ def validate_plans(plans: DataFrame, gaps: DataFrame) -> DataFrame:
     out = (
         df.join(copies, "signature")
         .join(bad, "plan_id", "left")
-        .join(F.broadcast(need), "subset_id", "left")
+        .join(need, "subset_id", "left")
         .fillna(0, ["issues"])
         .withColumn("missing_sessions", F.coalesce("missing_sessions", "required_sessions"))
     )
@@ -539,7 +539,7 @@ def feedback_report(feedback: DataFrame, plans: DataFrame | None = None) -> Data
         F.max(F.coalesce(F.col("success") == F.lit(False), F.lit(False))).alias("has_failures"),
         F.max(is_intervention()).alias("has_interventions"),
     )
-    df = per.join(F.broadcast(goal), "target_subset", "left")
+    df = per.join(goal, "target_subset", "left")
     target = F.coalesce("_default", F.lit(0))
     if plans is not None:
         want = plans.select("experiment_id", F.col("required_sessions").alias("_planned"))
@@ -600,7 +600,7 @@ def reprioritize(gaps: DataFrame, report: DataFrame) -> DataFrame:
         "experiment_id", "target_subset", "remaining_sessions", F.explode(subsets).alias("subset_id")
     )
     # ``gaps`` has one row per named subset.
-    return told.join(F.broadcast(gaps), "subset_id").select(
+    return told.join(gaps, "subset_id").select(
         "experiment_id",
         "subset_id",
         "current_sessions",

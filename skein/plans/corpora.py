@@ -428,6 +428,27 @@ def verify_snapshot(spark, sf):
     return K.verify_snapshot(spark, f"{home}/altered")
 
 
+@query(
+    "verify_snapshot_edits",
+    """SELECT CAST(user_id AS VARCHAR) AS subject,
+CASE user_id % 4 WHEN 2 THEN 'missing session events' ELSE 'session hash mismatch' END AS issue
+FROM (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1) WHERE user_id % 4 <> 3""",
+)
+def verify_snapshot_edits(spark, sf):
+    """By session: one duration changed, two events in the other order, all events gone, nothing."""
+    ev = cut(attributed(spark, sf))
+    home = fresh_path(spark, "snapshot")
+    K.snapshot(ev, K.session_records(ev, sidecar(spark, sf), annotation(spark, sf)), home)
+    kind, pos = F.col("session_id").cast("bigint") % 4, F.col("pos")
+    edited = spark.read.parquet(f"{home}/events").filter(kind != 2)
+    duration = F.when((kind == 0) & (pos == 1), F.coalesce("duration_ms", F.lit(0.0)) + 1).otherwise(F.col("duration_ms"))
+    swapped = F.when((kind == 1) & (pos <= 2), 3 - pos).otherwise(pos)
+    edited.withColumns({"duration_ms": duration, "pos": swapped}).write.parquet(f"{home}/altered/events")
+    for part in ("records", "manifest"):
+        spark.read.parquet(f"{home}/{part}").write.parquet(f"{home}/altered/{part}")
+    return K.verify_snapshot(spark, f"{home}/altered")
+
+
 # -- subsets -----------------------------------------------------------------
 
 UNITS = (

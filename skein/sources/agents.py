@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.columns import epoch_to_iso
@@ -52,7 +52,8 @@ def kept_keys(obj: Column, keys: tuple[str, ...]) -> Column:
 def ingest_codex(raw: DataFrame) -> DataFrame:
     """Rollout records: messages, reasoning and function calls in one serial chain.
 
-    Call outputs go to their call; an output without a call becomes an ``unknown`` call.
+    The first output of a call goes to it; a further one, and an output without a call,
+    becomes an ``unknown`` call.
     """
     df = parsed(raw).select(
         "session_id", "line_no", "v",
@@ -89,6 +90,10 @@ def ingest_codex(raw: DataFrame) -> DataFrame:
         .groupBy("session_id", "line_no", "call_id", "out")
         .agg(F.max(F.when(F.col("call_line") < F.col("line_no"), F.col("call_line"))).alias("call_line"))
     )
+    # Outputs of one call are few; only the first one takes the call, the others have none.
+    nth = F.row_number().over(Window.partitionBy("session_id", "call_line").orderBy("line_no"))
+    told = results.filter("call_line IS NOT NULL").withColumn("call_line", F.when(nth == 1, F.col("call_line")))
+    results = told.unionByName(results.filter("call_line IS NULL"))
     paired = results.filter("call_line IS NOT NULL").groupBy("session_id", "call_line").agg(
         F.min_by("out", "line_no").alias("out")
     )

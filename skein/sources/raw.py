@@ -96,11 +96,16 @@ def block_chain(col: str, order: str) -> Column:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Stored event lines; absent fields are null, the session defaults to the file name."""
+    """Stored event lines; absent fields are null, the session defaults to the file name.
+
+    The order is the stored ``ingest_seq``; lines without one, as other writers leave them,
+    follow the order of their file.
+    """
     lines = read_lines(spark, path)
     fields = F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE"})
+    seq = F.get_json_object("value", "$.ingest_seq").cast("bigint")
     rows = lines.filter(F.trim("value") != "").select(
-        F.col("session_id").alias("_file"), "line_no", fields.alias("e")
+        F.col("session_id").alias("_file"), F.coalesce(seq, "line_no").alias("line_no"), fields.alias("e")
     )
     return conform_events(
         rows.filter("e.event_id IS NOT NULL").select(
@@ -114,12 +119,17 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def write_events(events: DataFrame, path: str, fmt: str = "json") -> None:
     """Append events in folders per session; JSON lines leave out nulls.
 
-    Rows are spread by session and by slice of their order, so a session with very many
-    events is not written by one task.
+    Rows are spread by ranges of (session, order), so a session with very many events is not
+    written by one task. The order itself is stored as ``ingest_seq`` (``pos`` where it is
+    known), so sessions with tied timestamps are read back as they were.
     """
-    rows = conform_events(events).select(*EVENT_FIELDS).withColumn("session", F.col("session_id"))
+    known = conform_events(events)
+    order = [F.col(c) for c in ("pos", "ingest_seq") if c in known.columns]
+    rows = known.select(*EVENT_FIELDS, F.coalesce(*order, F.lit(None).cast("bigint")).alias("ingest_seq"))
+    rows = rows.withColumn("session", F.col("session_id"))
     rows = rows.withColumn(
         "event_type", F.when(F.col("event_type") != "tool_call", F.col("event_type"))
     )
-    rows = rows.repartition("session_id", F.substring("timestamp", 1, 13))
+    rows = rows.repartitionByRange("session_id", "ingest_seq", "timestamp")
+    rows = rows.sortWithinPartitions("session_id", "ingest_seq", "timestamp")
     rows.write.mode("append").partitionBy("session").format(fmt).save(path)

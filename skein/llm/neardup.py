@@ -9,10 +9,10 @@ in all. Documents of similarity s miss each other with a chance of about
 Links are exact and none between candidates is lost, without listing pairs:
 
 1. Documents with the same shingle set fold into one representative.
-2. In each table bucket every representative points to the bucket's smallest one. The
-   components of these pointers are families; whoever shares a bucket shares a family.
-3. Members are compared with their family's smallest member on full sets, which settles a
-   hot group of copies in one pass over its members.
+2. In each table bucket every representative points to the bucket's smallest one, its pivot.
+   All that point to one pivot are its family; whoever shares a bucket shares a family.
+3. Members are compared with their family's pivot on full sets, which settles a hot group of
+   copies in one pass over its members.
 4. All other pairs of a family are compared in blocks: members are dealt into blocks of
    about ``BLOCK`` by hash, each pair of blocks is one small group, whose intersections come
    from a matrix product. A group gives back a spanning forest of its links.
@@ -93,9 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     for batch in batches:
         for part in slices(batch, "text"):
             sets = [s.tobytes() for s in shingle_sets(part.column("text"), size)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("rep"), part.column("family"), pa.array(sets, pa.binary())], ["rep", "family", "items"]
-            )
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(sets, pa.binary())], ["rep", "items"])
 
 
 def _are_near(common, one, two, percent: int):
@@ -103,7 +101,7 @@ def _are_near(common, one, two, percent: int):
 
 
 def _with_head(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Whether each member is near its family's smallest member."""
+    """Whether each member is near its family's pivot."""
     for batch in batches:
         near = []
         for rep, family, items, head in zip(*(batch.column(c) for c in ("rep", "family", "items", "head")), strict=True):
@@ -228,18 +226,20 @@ def near_groups(
     keys = reps.select("rep", F.explode(pairs).alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot < top")
     shared = cut(shared.select("key", "pivot"))
-    pointers = cut(keys.join(shared, "key").filter("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct())
-    families = components(pointers).select(F.col("node").alias("rep"), F.col("label").alias("family"))
-
-    members = cut(
+    pointers = keys.join(shared, "key").filter("rep <> pivot").select("rep", F.col("pivot").alias("family")).distinct()
+    pointers = cut(pointers)
+    pivots = pointers.select("family").distinct()
+    families = pointers.union(pivots.select("family", "family"))
+    # A merge join at every size: a table of ids is no bounded broadcast.
+    sets = cut(
         source.withColumnRenamed("doc_id", "rep")
-        .join(families, "rep")
-        .select("rep", "family", "text")
-        .mapInArrow(lambda b: _sets(b, shingle_words), "rep bigint, family bigint, items binary")
+        .join(families.select("rep").distinct().hint("merge"), "rep")
+        .mapInArrow(lambda b: _sets(b, shingle_words), "rep bigint, items binary")
     )
-    heads = members.filter("rep = family").groupBy("family").agg(F.min("items").alias("head"))
+    members = sets.join(families.hint("merge"), "rep").select("rep", "family", "items")
+    heads = sets.join(pivots.hint("merge"), sets["rep"] == pivots["family"]).groupBy("family").agg(F.min("items").alias("head"))
     members = cut(
-        members.join(heads, "family")
+        members.join(heads.hint("merge"), "family")
         .select("rep", "family", "items", "head")
         .mapInArrow(lambda b: _with_head(b, percent), "rep bigint, family bigint, near boolean, items binary")
     )

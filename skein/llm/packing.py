@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skein.llm.tables import cut, given, ship
 
@@ -115,8 +116,10 @@ def best_fit_bins(
     full = F.when(F.col("total") > capacity, F.floor((F.col("total") - 1) / capacity)).otherwise(0).cast("int")
     dealt = dealt.withColumn("full", full)
 
-    whole = dealt.filter("full > 0").select(
-        "doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"), "shard", "tie"
+    # Rows that are alike in all columns are told apart, or their full pieces would share a bin.
+    alike = Window.partitionBy("shard", "doc_id", "tie").orderBy("total")
+    whole = dealt.filter("full > 0").withColumn("copy", F.row_number().over(alike)).select(
+        "doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"), "shard", "tie", "copy"
     )
     whole = whole.select(
         "doc_id",
@@ -124,8 +127,7 @@ def best_fit_bins(
         (F.col("piece") * F.lit(capacity).cast("long")).alias("begin"),
         F.lit(capacity).cast("long").alias("size"),
         "shard",
-        # a number that no other full piece of the shard has, short of a hash collision of rows
-        (-1 - F.abs(F.shiftright(F.xxhash64("doc_id", "tie", "piece"), 1))).alias("bin"),
+        (-1 - F.abs(F.shiftright(F.xxhash64("doc_id", "tie", "copy", "piece"), 1))).alias("bin"),
     )
     begin = F.col("full") * F.lit(capacity).cast("long")
     rest = dealt.select(

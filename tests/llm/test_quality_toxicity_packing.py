@@ -137,3 +137,4 @@ def test_packing_repeated_and_null_rows(spark):
     out = best_fit_bins(spark.createDataFrame(rows, "doc_id bigint, size bigint, source string"), "size", 10).collect()
     assert sorted((r.doc_id or 0, r.piece, r.size) for r in out) == sorted([(0, 0, 5)] * 2 + [(1, 0, 10), (1, 1, 10), (1, 2, 5)] * 2 + [(2, 0, 0)])
     assert len({(r.shard, r.bin) for r in out if r.doc_id is None}) == 2
+    assert len({(r.shard, r.bin) for r in out if r.doc_id == 1 and r.piece < 2}) == 4

@@ -5,14 +5,16 @@ smallest hash is its anchor, so equal windows always have the same anchor at the
 
 1. Seed: anchors of all documents are joined by hash; anchors of one document only drop out.
 2. Extend: from each shared anchor the text is followed both ways over all windows that it
-   anchors, as two 64-bit hashes per window. A window that also starts in a document of
-   smaller id is a match. Grouping does this for any number of documents at once: a
-   passage that a third of all documents share costs each of them its own windows, and no
-   pair of documents is listed.
+   anchors. First they are taken as one block: where a document of smaller id has the same
+   block, all its windows match. Blocks that no smaller id has are then compared window by
+   window among themselves; the first document of a block speaks for all others with it.
+   Grouping does this for any number of documents at once: a passage that a third of all
+   documents share costs each of them its own blocks, and no pair of documents is listed.
+   Blocks and windows are told apart by 128 bits, the anchor's hash and their own.
 3. Keep maximal repeats: overlapping and touching matches of a document join into spans,
    each at least ``min_words`` long, which are cut out.
 
-Counts are taken before shuffles (smallest and largest id per anchor and per window); the
+Smallest and largest ids per key are taken before shuffles; the
 joins back have one row per key on one side, so adaptive execution can split a hot key.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import wordspans
 from skein.llm.tables import cut, given, ship
-from skein.llm.wordspans import as_long, runs, slices, split_words
+from skein.llm.wordspans import as_long, runs, slices, spans, split_words
 
 #: Stands for a null id: such documents come before all others.
 NO_ID = -(1 << 63)
@@ -87,56 +89,68 @@ def _places(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int)
             yield pa.RecordBatch.from_arrays(columns, ["seed", "row", "at"])
 
 
-def _listed(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """All list elements in a row, and the row number of each."""
+def _listed(column: pa.ListArray):
+    """All list elements in a row (for structs, by field), and the row number of each."""
     sizes = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
+    flat = column.flatten()
+    if pa.types.is_struct(flat.type):
+        values = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+    else:
+        values = flat.to_numpy(zero_copy_only=False)
+    return values, np.repeat(np.arange(len(column)), sizes)
 
 
-def _extended(part: pa.RecordBatch, min_words: int, seed_words: int):
-    """Windows of the texts whose anchor is listed in ``at``: (text number, window word, two hashes)."""
-    words, hashes, _, begin, anchor, text_of = _anchors(part.column("text"), min_words, seed_words)
-    marked = np.zeros(len(hashes) + 1, dtype=bool)
-    at, text = _listed(part.column("at"))
-    marked[words.first[text] + at] = True
-    begin = begin[marked[anchor]]
-    one = runs(hashes, min_words)[begin]
-    two = runs(words.hashes(seed=1), min_words)[begin]
-    text = text_of[begin]
-    return text, begin - words.first[text], one, two
-
-
-def _windows(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
-    """Windows of a slice with the smallest and largest id that has each."""
+def _blocks(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
+    """For each anchor listed in ``at`` all its windows as one block: first window, their number, hash of the words."""
     for batch in batches:
         for part in slices(batch, "text"):
-            text, _, one, two = _extended(part, min_words, seed_words)
-            ids = part.column("doc_id").to_numpy()[text]
-            order = np.lexsort((two, one))
-            one, two, ids = one[order], two[order], ids[order]
-            first = np.flatnonzero(_new(one) | _new(two))
-            if len(first):
-                lo, hi = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-                columns = [as_long(one[first]), as_long(two[first]), pa.array(lo), pa.array(hi)]
-                yield pa.RecordBatch.from_arrays(columns, ["one", "two", "lo", "hi"])
+            words, _, seeds, begin, anchor, text_of = _anchors(part.column("text"), min_words, seed_words)
+            marked = np.zeros(len(text_of) + 1, dtype=bool)
+            at, text = _listed(part.column("at"))
+            marked[words.first[text] + at] = True
+            first = np.flatnonzero(_new(anchor))
+            count = np.diff(np.append(first, len(anchor)))
+            use = marked[anchor[first]]
+            first, count = first[use], count[use]
+            start = begin[first]
+            block = spans(words.hashes(seed=1), start, count + (min_words - 1))
+            text = text_of[start]
+            ids, rows = (part.column(c).to_numpy()[text] for c in ("doc_id", "row"))
+            places = [pa.array((start - words.first[text]).astype(np.int32)), pa.array(count.astype(np.int32))]
+            columns = [as_long(seeds[anchor[first]]), as_long(block), pa.array(ids), pa.array(rows), *places]
+            yield pa.RecordBatch.from_arrays(columns, ["seed", "block", "doc_id", "row", "at", "n"])
 
 
-def _window_places(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
+    """The windows that ``at`` lists as (first, number), one by one."""
     for batch in batches:
         for part in slices(batch, "text"):
-            text, at, one, two = _extended(part, min_words, seed_words)
+            words, _, seeds, begin, anchor, text_of = _anchors(part.column("text"), min_words, seed_words)
+            listed, text = _listed(part.column("at"))
+            edges = np.zeros(len(text_of) + 1, dtype=np.int64)
+            start = words.first[text] + listed["at"]
+            np.add.at(edges, start, 1)
+            np.add.at(edges, start + listed["n"], -1)
+            use = np.cumsum(edges)[begin] > 0
+            begin, anchor = begin[use], anchor[use]
+            window = runs(words.hashes(seed=1), min_words)[begin]
+            text = text_of[begin]
             ids, rows = (part.column(c).to_numpy()[text] for c in ("doc_id", "row"))
-            columns = [as_long(one), as_long(two), pa.array(ids), pa.array(rows), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["one", "two", "doc_id", "row", "at"])
+            place = pa.array((begin - words.first[text]).astype(np.int32))
+            columns = [as_long(seeds[anchor]), as_long(window), pa.array(ids), pa.array(rows), place]
+            yield pa.RecordBatch.from_arrays(columns, ["seed", "block", "doc_id", "row", "at"])
 
 
-def spans_of(starts: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Maximal repeats: unions of the windows that start at ``starts``, as (begin, end) in words."""
-    if not len(starts):
-        return []
-    starts = np.unique(starts)
-    breaks = np.flatnonzero(np.diff(starts) > min_words) + 1
-    return [(int(x[0]), int(x[-1]) + min_words) for x in np.split(starts, breaks)]
+def spans_of(windows: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Maximal repeats: unions of runs of windows (first, number), as (begin, end) in words."""
+    out: list[tuple[int, int]] = []
+    for first, count in sorted(windows):
+        end = first + count - 1 + min_words
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((first, end))
+    return out
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -145,9 +159,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.R
             words = split_words(part.column("text"))
             data = words.data.tobytes()
             out: dict[str, list] = {"n_words": [], "n_removed": [], "spans": [], "kept_text": [], "kept_sha256": []}
-            for i, starts in enumerate(part.column("at")):
+            for i, windows in enumerate(part.column("at").to_pylist()):
                 a, b = int(words.first[i]), int(words.first[i + 1])
-                spans = spans_of(np.array(starts.as_py() or (), dtype=np.int64), min_words)
+                spans = spans_of([(w["at"], w["n"]) for w in windows or ()], min_words)
                 keep = np.ones(b - a, dtype=bool)
                 for begin, end in spans:
                     keep[begin:end] = False
@@ -189,30 +203,40 @@ def repeated_passages(
     keyed = source.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     keyed = keyed.withColumn("row", F.xxhash64("doc_id", "text"))
 
-    def shared(df: DataFrame, *key: str) -> DataFrame:
-        """Keys that two ids have, each with the smaller one."""
-        return df.groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").drop("hi")
-
     seeds = keyed.select("doc_id", "text").mapInArrow(
         lambda b: _seeds(b, min_words, seed_words), "seed bigint, lo bigint, hi bigint"
     )
-    seeds = cut(shared(seeds, "seed").select("seed"))
+    seeds = seeds.groupBy("seed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
+    seeds = cut(seeds.select("seed"))
     places = keyed.select("row", "text").mapInArrow(
         lambda b: _places(b, min_words, seed_words), "seed bigint, row bigint, at int"
     )
     found = cut(places.join(seeds, "seed").groupBy("row").agg(F.collect_set("at").alias("at")))
 
-    seeded = keyed.join(found, "row")
-    windows = seeded.select("doc_id", "text", "at").mapInArrow(
-        lambda b: _windows(b, min_words, seed_words), "one bigint, two bigint, lo bigint, hi bigint"
+    def earlier(df: DataFrame) -> DataFrame:
+        """``df`` with ``later``: whether a smaller id has the same block."""
+        least = df.groupBy("seed", "block").agg(F.min("doc_id").alias("lo"))
+        return df.join(least, ["seed", "block"]).withColumn("later", F.col("doc_id") > F.col("lo")).drop("block", "lo")
+
+    blocks = cut(
+        keyed.join(found, "row")
+        .select("doc_id", "row", "text", "at")
+        .mapInArrow(lambda b: _blocks(b, min_words, seed_words), "seed bigint, block bigint, doc_id bigint, row bigint, at int, n int")
     )
-    windows = cut(shared(windows, "one", "two"))
-    matches = seeded.select("doc_id", "row", "text", "at").mapInArrow(
-        lambda b: _window_places(b, min_words, seed_words),
-        "one bigint, two bigint, doc_id bigint, row bigint, at int",
+    judged = cut(earlier(blocks))
+    # Of equal blocks the first one speaks for all; windows are compared between first ones only.
+    firsts = judged.filter("NOT later")
+    contested = firsts.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    open_blocks = firsts.join(contested.select("seed"), "seed", "left_semi")
+    open_rows = cut(open_blocks.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("at")))
+    windows = cut(
+        keyed.join(open_rows, "row")
+        .select("doc_id", "row", "text", "at")
+        .mapInArrow(lambda b: _windows(b, min_words, seed_words), "seed bigint, block bigint, doc_id bigint, row bigint, at int")
     )
-    later = matches.join(windows, ["one", "two"]).filter("doc_id > lo")
-    matched = cut(later.groupBy("row").agg(F.collect_set("at").alias("at")))
+    single = earlier(windows).filter("later").select("row", "at", F.lit(1).alias("n"))
+    matches = judged.filter("later").select("row", "at", "n").union(single)
+    matched = cut(matches.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("at")))
 
     rest = keyed.join(matched, "row", "left").select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "text", "at")
     return rest.mapInArrow(

@@ -113,6 +113,14 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def spans(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of ``sizes`` words from each of ``starts`` on."""
+    up, down = powers(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[starts + sizes] - total[starts]) * down[starts] + sizes.astype(np.uint64))
+
+
 def as_long(values: np.ndarray) -> pa.Array:
     """Hashes as the signed 64-bit integers that Spark has."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

@@ -214,9 +214,13 @@ def repeated_passages(
     found = cut(places.join(seeds, "seed").groupBy("row").agg(F.collect_set("at").alias("at")))
 
     def earlier(df: DataFrame) -> DataFrame:
-        """``df`` with ``later``: whether a smaller id has the same block."""
-        least = df.groupBy("seed", "block").agg(F.min("doc_id").alias("lo"))
-        return df.join(least, ["seed", "block"]).withColumn("later", F.col("doc_id") > F.col("lo")).drop("block", "lo")
+        """``df`` with ``later``: whether a smaller id has the same block.
+
+        The blocks of several ids are written first, so that the join can split a hot block.
+        """
+        shared = df.groupBy("seed", "block").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+        both = df.join(cut(shared.drop("hi")), ["seed", "block"], "left")
+        return both.withColumn("later", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))).drop("block", "lo")
 
     blocks = cut(
         keyed.join(found, "row")

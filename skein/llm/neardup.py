@@ -238,6 +238,7 @@ def near_groups(
     )
     members = sets.join(families.hint("merge"), "rep").select("rep", "family", "items")
     heads = sets.join(pivots.hint("merge"), sets["rep"] == pivots["family"]).groupBy("family").agg(F.min("items").alias("head"))
+    heads = cut(heads)  # written, so that the next join can split a hot family
     members = cut(
         members.join(heads.hint("merge"), "family")
         .select("rep", "family", "items", "head")

@@ -26,7 +26,7 @@ CONTEXT_BITS = 18
 OUTCOME_BITS, ID_BITS = 12, 24
 LEAST = np.uint64(1 << 40)  # the range never stays below this
 _TOP, _WORD, _FULL = np.uint64(48), np.uint64(16), np.uint64((1 << 64) - 1)
-_CONF = 8  # levels of confidence
+_CONF = 8  # levels of confidence, three bits
 
 
 def lanes_of(n: int) -> int:
@@ -44,10 +44,9 @@ class _Model:
 
     def __init__(self, vocabulary: int, lanes: int):
         self.size = vocabulary
-        self.near = np.full(vocabulary, -1, dtype=np.int64)
-        self.near_conf = np.zeros(vocabulary, dtype=np.int64)
-        self.far = np.full(1 << CONTEXT_BITS, -1, dtype=np.int64)
-        self.far_conf = np.zeros(1 << CONTEXT_BITS, dtype=np.int64)
+        # A slot holds the predicted id and the confidence in one number: id * _CONF + confidence.
+        self.near = np.full(vocabulary, -_CONF, dtype=np.int64)
+        self.far = np.full(1 << CONTEXT_BITS, -_CONF, dtype=np.int64)
         self.outcomes = np.ones((_CONF * _CONF, 3), dtype=np.int64)
         self.counts = np.zeros(vocabulary, dtype=np.int64)
         self.fresh: list[np.ndarray] = []
@@ -59,8 +58,9 @@ class _Model:
         total = self.outcomes.sum(axis=1, keepdims=True)
         shares = 1 + self.outcomes * ((1 << OUTCOME_BITS) - 3) // total
         shares[:, 2] += (1 << OUTCOME_BITS) - shares.sum(axis=1)
-        self.outcome_share = shares.astype(np.uint64)
-        self.outcome_below = (np.cumsum(shares, axis=1) - shares).astype(np.uint64)
+        below = (np.cumsum(shares, axis=1) - shares).astype(np.uint64)
+        self.from_near, self.from_rest = below[:, 1].copy(), below[:, 2].copy()
+        self.outcome_share, self.outcome_below = shares.astype(np.uint64).ravel(), below.ravel()
 
     def _id_shares(self) -> None:
         if self.fresh:
@@ -82,20 +82,20 @@ class _Model:
         near, before = self.last[:running], self.last_but_one[:running]
         self.at_near = near
         self.at_far = (near * 0x9E3779B1 + before * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - CONTEXT_BITS)
-        self.guess_far, self.guess_near = self.far[self.at_far], self.near[near]
-        self.conf_far, self.conf_near = self.far_conf[self.at_far], self.near_conf[near]
+        self.slot_far, self.slot_near = self.far[self.at_far], self.near[near]
+        self.guess_far, self.guess_near = self.slot_far >> 3, self.slot_near >> 3
         same = self.guess_far == self.guess_near
-        self.context = self.conf_far * _CONF + np.where(same, 0, self.conf_near)
+        self.context = (self.slot_far & 7) * _CONF + np.where(same, 0, self.slot_near & 7)
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        for table, confs, at, guess, conf in (
-            (self.far, self.far_conf, self.at_far, self.guess_far, self.conf_far),
-            (self.near, self.near_conf, self.at_near, self.guess_near, self.conf_near),
+        renewed = ids * _CONF + 1
+        for table, at, slot, guess in (
+            (self.far, self.at_far, self.slot_far, self.guess_far),
+            (self.near, self.at_near, self.slot_near, self.guess_near),
         ):
-            right = guess == ids
-            swap = ~right & (conf <= 1)
-            confs[at] = np.where(right, np.minimum(conf + 1, _CONF - 1), np.where(swap, 1, conf >> 1))
-            table[at] = np.where(swap, ids, guess)
+            conf = slot & 7
+            weaker = np.where(conf <= 1, renewed, slot - conf + (conf >> 1))
+            table[at] = np.where(guess == ids, slot + (conf < 7), weaker)
         seen = np.bincount(self.context * 3 + outcome, minlength=_CONF * _CONF * 3)
         self.outcomes += 2 * seen.reshape(-1, 3)
         if self.outcomes.max() > 1 << 20:
@@ -192,9 +192,8 @@ def _code(ids: np.ndarray, vocabulary: int, lanes: int) -> tuple[np.ndarray, np.
         model.look(running)
         now = ids[begins[:running] + step]
         outcome = np.where(now == model.guess_far, 0, np.where(now == model.guess_near, 1, 2))
-        coder.put(
-            slice(0, running), model.outcome_below[model.context, outcome], model.outcome_share[model.context, outcome], OUTCOME_BITS
-        )
+        at = model.context * 3 + outcome
+        coder.put(slice(0, running), model.outcome_below[at], model.outcome_share[at], OUTCOME_BITS)
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
             coder.put(rest, model.id_below[now[rest]], model.id_share[now[rest]], ID_BITS)
@@ -213,9 +212,9 @@ def _decode(n: int, vocabulary: int, words: np.ndarray, sizes_out: np.ndarray) -
         model.look(running)
         lane = slice(0, running)
         value = coder.peek(lane, OUTCOME_BITS)
-        below = model.outcome_below[model.context]
-        outcome = (value >= below[:, 1]).astype(np.int64) + (value >= below[:, 2])
-        coder.take(lane, model.outcome_below[model.context, outcome], model.outcome_share[model.context, outcome])
+        outcome = (value >= model.from_near[model.context]).astype(np.int64) + (value >= model.from_rest[model.context])
+        at = model.context * 3 + outcome
+        coder.take(lane, model.outcome_below[at], model.outcome_share[at])
         now = np.where(outcome == 0, model.guess_far, model.guess_near)
         rest = np.flatnonzero(outcome == 2)
         if len(rest):

@@ -65,7 +65,9 @@ class _Encoder:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], spec, end_id: int, block_ids: int) -> Iterator[pa.RecordBatch]:
-    encoder = _Encoder(spec.value)
+    held_here = spec.value  # stays with the worker process, and so does the encoder's cache of pieces
+    encoder = held_here.get("encoder") or _Encoder(held_here["spec"])
+    held_here["encoder"] = encoder
     vocabulary = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     part, block = TaskContext.get().partitionId(), 0
     keys: list[np.ndarray] = []
@@ -119,7 +121,7 @@ def write_tokens(
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
-        spec = spark.sparkContext.broadcast(file.read())
+        spec = spark.sparkContext.broadcast({"spec": file.read()})
     source = given(docs, doc_id=docs[id_col].cast("long"), text=F.coalesce(docs[text_col], F.lit("")))
     ordered = (
         source.withColumn("h", F.xxhash64("text"))

@@ -1,6 +1,7 @@
 """Training-data pipeline: stages over ``documents``, each written as Parquet and read again.
 
 Document ids are unique in ``documents``; every stage works on all rows its predecessor kept.
+Decisions are merged with the documents at every size, as a table of ids is no bounded broadcast.
 """
 
 from __future__ import annotations
@@ -23,19 +24,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no quality rule."""
     judged = cut(quality_rules(docs).select("doc_id", "kept"))  # a filter would repeat the measures' expressions
     kept = judged.filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the smallest id."""
     kept = exact_groups(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
     kept = near_groups(docs, shingle_words=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     shorter = repeated_passages(docs, min_words=50, seed_words=12).filter("n_removed > 0")
     shorter = shorter.select("doc_id", "n_words", "n_removed", "kept_text")
     text = F.coalesce("kept_text", "text")
-    joined = docs.join(shorter, "doc_id", "left").filter("n_removed IS NULL OR n_removed < n_words")
+    joined = docs.join(shorter.hint("merge"), "doc_id", "left").filter("n_removed IS NULL OR n_removed < n_words")
     return joined.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 

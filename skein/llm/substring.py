@@ -211,7 +211,7 @@ def repeated_passages(
     places = keyed.select("row", "text").mapInArrow(
         lambda b: _places(b, min_words, seed_words), "seed bigint, row bigint, at int"
     )
-    found = cut(places.join(seeds, "seed").groupBy("row").agg(F.collect_set("at").alias("at")))
+    found = cut(places.join(seeds.hint("merge"), "seed").groupBy("row").agg(F.collect_set("at").alias("at")))
 
     def earlier(df: DataFrame) -> DataFrame:
         """``df`` with ``later``: whether a smaller id has the same block.
@@ -223,7 +223,7 @@ def repeated_passages(
         return both.withColumn("later", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))).drop("block", "lo")
 
     blocks = cut(
-        keyed.join(found, "row")
+        keyed.join(found.hint("merge"), "row")
         .select("doc_id", "row", "text", "at")
         .mapInArrow(lambda b: _blocks(b, min_words, seed_words), "seed bigint, block bigint, doc_id bigint, row bigint, at int, n int")
     )
@@ -234,7 +234,7 @@ def repeated_passages(
     open_blocks = firsts.join(contested.select("seed"), "seed", "left_semi")
     open_rows = cut(open_blocks.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("at")))
     windows = cut(
-        keyed.join(open_rows, "row")
+        keyed.join(open_rows.hint("merge"), "row")
         .select("doc_id", "row", "text", "at")
         .mapInArrow(lambda b: _windows(b, min_words, seed_words), "seed bigint, block bigint, doc_id bigint, row bigint, at int")
     )
@@ -242,7 +242,7 @@ def repeated_passages(
     matches = judged.filter("later").select("row", "at", "n").union(single)
     matched = cut(matches.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("at")))
 
-    rest = keyed.join(matched, "row", "left").select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "text", "at")
+    rest = keyed.join(matched.hint("merge"), "row", "left").select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "text", "at")
     return rest.mapInArrow(
         lambda b: _cut_out(b, min_words),
         "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, "

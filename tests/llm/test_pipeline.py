@@ -79,3 +79,35 @@ def test_run_takes_the_table_of_the_folder(spark, table, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {r.doc_id for r in table.collect()}
     table.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_without_an_id_of_their_own(spark, texts):
+    """Null ids, repeated rows and one id with two texts, in every stage."""
+    quality, exact, near, substring, packing = (stage for _, stage in corpus_pipeline.STAGES)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+    def after(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], schema)
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, "").collect()), key=repr)
+
+    def whole(rows):
+        return sorted(rows, key=repr)
+
+    long = [t for t in texts.values() if len(SPLIT.findall(t)) in range(110, 160)][:6]
+    a, b, c, d, e, f = ("the and of to that it " + t for t in long)
+    near_a, near_b, near_e = (t.rsplit(" ", 1)[0] + " last" for t in (a, b, e))
+    bad = "too short"
+    rows = [(None, a), (None, a), (None, b), (1, bad), (1, c), (2, d), (2, d), (None, bad), (3, None)]
+    assert after(quality, rows) == whole([r for r in rows if r[1] not in (bad, None)])
+    rows = [(None, a), (None, a), (4, b), (None, b), (5, c), (5, c), (5, d), (6, d), (6, e), (None, ""), (None, None)]
+    left = after(exact, rows)
+    assert [r for r in left if r[1]] == whole([(None, a), (4, b), (5, c), (5, d), (6, e)]) and len(left) == 6
+    # Null ids and rows of one id are documents of their own, also as near copies of others.
+    rows = [(None, a), (7, near_a), (None, b), (8, near_b), (9, c), (9, c), (10, e), (10, near_e), (None, d), (None, f)]
+    left = after(near, rows)
+    assert [r for r in left if r[0] != 10] == whole([(None, a), (None, b), (9, c), (None, d), (None, f)]) and len(left) == 6
+    left = after(substring, [(None, a), (None, a), (11, b), (11, b + " tail"), (12, f"{c} x"), (None, d)])
+    assert [r for r in left if r[0] != 11] == whole([(None, a), (12, f"{c} x"), (None, d)])
+    assert sum(len(SPLIT.findall(t)) for i, t in left if i == 11) == len(SPLIT.findall(b)) + 1
+    docs = spark.createDataFrame([(i, a, "en", None, 1) for i in (None, None, 1, 1)], schema)
+    assert sum(r.size for r in packing(spark, docs, "").collect()) == 4 * len(SPLIT.findall(a))

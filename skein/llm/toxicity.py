@@ -2,14 +2,15 @@
 
 Model. Tokens are lowered runs of letters; each stands for itself and for its beginnings of
 4 to 9 bytes, hashed to a table of fixed size. A feature's score is its log-odds between the
-classes under an informative Dirichlet prior (the counts of both classes together), where it
-is significant; a token takes the score of its longest significant feature, less a drift, so
+classes under an informative Dirichlet prior (the counts of both classes together), where its
+z reaches a bound; the bound is the one of ``BOUNDS`` with the smallest log loss in a
+cross-validation inside the labels, so it follows their number. A token takes the score of its longest significant feature, less a drift, so
 that text without toxic words runs downhill.
 
 Search. All maximal scoring segments of a text are found in one pass over its tokens. A
 segment of score S in a text of n tokens has the extreme-value p-value
 ``1 - exp(-K n exp(-lambda S))``; lambda solves the score equation on clean tokens, K is
-fitted on clean texts. Segments under the significance level are the passages; the p-value
+fitted on clean texts that the features were not counted on, as is the curve below. Segments under the significance level are the passages; the p-value
 of the best few together, by the law of sums of such scores, gives the text's score through
 a one-variable logistic curve.
 
@@ -39,7 +40,12 @@ SAMPLE_ROWS = 20_000
 BEGINNINGS = (9, 8, 7, 6, 5, 4)
 #: Weight of the prior as a share of all counts.
 PRIOR_SHARE = 0.05
-LEAST_Z, HIGHEST, DRIFT = 5.5, 8.0, 0.4
+HIGHEST, DRIFT = 8.0, 0.4
+#: Bounds for |z| that cross-validation chooses from, and its parts.
+BOUNDS = tuple(x / 2 for x in range(2, 14))
+FOLDS = 5
+#: Columns of counts: clean and toxic texts of each part.
+COUNTS = [f"{label}{fold}" for fold in range(FOLDS) for label in ("clean", "toxic")]
 #: Most segments whose joint evidence is weighed.
 MOST_JOINED = 8
 SIGNIFICANT = 1e-3
@@ -75,18 +81,18 @@ def features(column: pa.Array) -> tuple[wordspans.Words, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of clean and of toxic texts with each feature."""
-    seen = np.zeros((2, BUCKETS), dtype=np.int64)
+    """Number of clean and of toxic texts with each feature, by part of the labels."""
+    seen = np.zeros((FOLDS, 2, BUCKETS), dtype=np.int32)
     for batch in batches:
         for part in slices(batch, "text"):
             words, buckets = features(part.column("text"))
-            for label, a, b in zip(part.column("toxic").to_pylist(), words.first[:-1], words.first[1:], strict=True):
-                seen[label][np.unique(buckets[:, a:b])] += 1
+            labels = zip(part.column("fold").to_pylist(), part.column("toxic").to_pylist(), strict=True)
+            for (fold, label), a, b in zip(labels, words.first[:-1], words.first[1:], strict=True):
+                seen[fold, label][np.unique(buckets[:, a:b])] += 1
+    seen = seen.reshape(2 * FOLDS, BUCKETS)
     at = np.flatnonzero(seen.any(axis=0))
-    if len(at):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(seen[0, at]), pa.array(seen[1, at])], ["bucket", "clean", "toxic"]
-        )
+    for some in np.array_split(at, 1 + len(at) // 65_536) if len(at) else ():
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *map(pa.array, seen[:, some])], ["bucket", *COUNTS])
 
 
 def log_odds(clean: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +108,15 @@ def log_odds(clean: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return delta, delta / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
 
 
-def token_scores(buckets: np.ndarray, fit: Fit) -> np.ndarray:
+def feature_scores(delta: np.ndarray, z: np.ndarray, bound: float) -> np.ndarray:
+    return np.where(np.abs(z) >= bound, np.clip(delta, -1.0, HIGHEST), 0.0).astype(np.float32)
+
+
+def token_scores(buckets: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Score of each token: its longest significant feature's, less the drift."""
-    best = fit.score[buckets[0]]
+    best = score[buckets[0]]
     for row in buckets[1:]:
-        best = np.where(best == 0, fit.score[row], best)
+        best = np.where(best == 0, score[row], best)
     return best - np.float32(DRIFT)
 
 
@@ -143,21 +153,31 @@ def top_sums(found: list[tuple[int, int, float]]) -> np.ndarray:
     return np.cumsum(best + [0.0] * (MOST_JOINED - len(best)))
 
 
-def _best(batches: Iterator[pa.RecordBatch], fit) -> Iterator[pa.RecordBatch]:
-    """Number of tokens and sums of the best segment scores of each text."""
+def _best(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
+    """Number of tokens of each text and, for each bound, sums of its best segment scores by the other parts' features."""
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for part in slices(batch, "text"):
             words, buckets = features(part.column("text"))
-            scores = token_scores(buckets, fit.value)
-            tops = [top_sums(segments(scores[a:b])) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            tops = []
+            for fold, a, b in zip(part.column("fold").to_pylist(), words.first[:-1], words.first[1:], strict=True):
+                if fold not in tables:
+                    tables[fold] = delta, z = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+                    at, delta[at], z[at] = models.value[fold]
+                own = np.unique(buckets[:, a:b], return_inverse=True)
+                delta, z = (x[own[0]] for x in tables[fold])
+                places = own[1].reshape(len(buckets), -1)
+                tops.append(np.concatenate([top_sums(segments(token_scores(places, feature_scores(delta, z, x)))) for x in BOUNDS]))
             columns = [pa.array(words.counts, pa.int64()), pa.array(tops, pa.list_(pa.float64())), part.column("toxic")]
-            yield pa.RecordBatch.from_arrays(columns, ["n", "top", "toxic"])
+            yield pa.RecordBatch.from_arrays(columns, ["n", "tops", "toxic"])
 
 
-def tail_of(scores: np.ndarray, weights: np.ndarray, n: np.ndarray, tops: np.ndarray) -> tuple[float, float]:
-    """lambda from the clean tokens' score distribution, K from the best scores of clean texts."""
+def lambda_of(scores: np.ndarray, weights: np.ndarray) -> float:
+    """lambda from the clean tokens' score distribution."""
+    scores, same = np.unique(scores, return_inverse=True)
+    weights = np.bincount(same, weights, minlength=len(scores))
     if not (scores > 0).any() or (scores * weights).sum() >= 0:
-        return 1.0, 1.0
+        return 1.0
     low, high = 1e-6, 1.0
     value = lambda lam: float((weights * np.exp(np.minimum(lam * scores, 80))).sum() / weights.sum())
     while value(high) < 1 and high < 64:
@@ -165,9 +185,7 @@ def tail_of(scores: np.ndarray, weights: np.ndarray, n: np.ndarray, tops: np.nda
     for _ in range(80):
         middle = (low + high) / 2
         low, high = (middle, high) if value(middle) < 1 else (low, middle)
-    lam = (low + high) / 2
-    rest = float((n * np.exp(-lam * tops)).sum())
-    return lam, max(1e-12, len(n) / rest) if rest > 0 else 1.0
+    return (low + high) / 2
 
 
 def tail_p(top, n, fit: Fit):
@@ -205,6 +223,34 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2
     return (float(w[0]), float(w[1])) if w[0] >= 0 else (0.0, float(w[1]))
 
 
+def log_loss(x: np.ndarray, y: np.ndarray, slope: float, offset: float) -> float:
+    p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+    return float(-np.log(np.where(y == 1, p, 1 - p)).mean())
+
+
+def choose(seen: np.ndarray, models: list, n: np.ndarray, tops: np.ndarray, toxic: np.ndarray) -> Fit:
+    """The fit on all parts at the bound with the smallest log loss; the largest such bound.
+
+    ``seen`` has the counts by part and class, ``models`` the features, log-odds and
+    z without each part, ``tops`` each text's sums by bound, from the features of the other parts.
+    """
+    found = []
+    clean = toxic == 0
+    held = [own[0, at] for own, (at, *_) in zip(seen, models, strict=True)]
+    weights = np.concatenate([*held, [seen[:, 0].sum(dtype=np.float64) - sum(x.sum(dtype=np.float64) for x in held)]])
+    for k, bound in enumerate(BOUNDS):
+        sums = tops[:, k]
+        scores = np.concatenate([*(feature_scores(delta, z, bound) for _, delta, z in models), [0.0]]) - DRIFT
+        lam = lambda_of(scores, weights)
+        rest = float((n * np.exp(-lam * sums[:, 0]))[clean].sum())
+        tail = Fit(np.zeros(0), lam, max(1e-12, clean.sum() / rest) if rest > 0 else 1.0)
+        x = strength(sums, n, tail)
+        curve = logistic(x, toxic.astype(float))
+        found.append((log_loss(x, toxic, *curve), -bound, lam, tail.k, *curve))
+    _, bound, *rest = min(found)
+    return Fit(feature_scores(*log_odds(*seen.sum(axis=0, dtype=np.float64)), -bound), *rest)
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -223,29 +269,26 @@ def fit_toxicity(
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     rows = given(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("text", "toxic")
     # Copies are one text, lest they pass for evidence.
-    rows = cut(rows.withColumn("h", F.xxhash64("text", "toxic")).dropDuplicates(["h"]).drop("h"))
-    counts = (
-        rows.mapInArrow(_counts, "bucket int, clean bigint, toxic bigint")
-        .groupBy("bucket")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .toPandas()
-    )
-    seen = np.zeros((2, BUCKETS))
-    seen[0, counts["bucket"]] = counts["clean"]
-    seen[1, counts["bucket"]] = counts["toxic"]
-    delta, z = log_odds(seen[0], seen[1])
-    sure = np.abs(z) >= LEAST_Z
-    score = np.where(sure, np.clip(delta, -1.0, HIGHEST), 0.0).astype(np.float32)
-    fit = Fit(score)
-    if not seen[0].any() or not seen[1].any():
-        return Fit(np.zeros_like(score), slope=0.0, offset=-4.0)
-    shared = spark.sparkContext.broadcast(fit)
-    best = rows.mapInArrow(lambda batches: _best(batches, shared), "n bigint, tops array<double>, toxic int").toPandas()
-    sums, n, toxic = np.stack(best["tops"].to_list()), best["n"].to_numpy(), best["toxic"].to_numpy()
-    weights = seen[0]
-    fit.lam, fit.k = tail_of(score - DRIFT, weights, n[toxic == 0], sums[toxic == 0, 0])
-    fit.slope, fit.offset = logistic(strength(sums, n, fit), toxic.astype(float))
-    return fit
+    rows = cut(rows.withColumn("h", F.xxhash64("text", "toxic")).dropDuplicates(["h"]).withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")).drop("h"))
+    counts = rows.mapInArrow(_counts, ", ".join(["bucket int", *(f"{c} int" for c in COUNTS)]))
+    counts = counts.groupBy("bucket").agg(*[F.sum(c).cast("int").alias(c) for c in COUNTS]).toArrow()
+    seen = np.zeros((2 * FOLDS, BUCKETS), dtype=np.float32)
+    for own, name in zip(seen, COUNTS, strict=True):
+        own[counts["bucket"].to_numpy()] = counts[name].to_numpy()
+    del counts
+    seen = seen.reshape(FOLDS, 2, BUCKETS)
+    every = seen.sum(axis=0)
+    if not every[0].any() or not every[1].any():
+        return Fit(np.zeros(BUCKETS, np.float32), slope=0.0, offset=-4.0)
+    models = []
+    for own in seen:
+        delta, z = log_odds(*(every - own).astype(np.float64))
+        at = np.flatnonzero(np.abs(z) >= BOUNDS[0])
+        models.append((at.astype(np.int32), delta[at].astype(np.float32), z[at].astype(np.float32)))
+    shared = spark.sparkContext.broadcast(models)
+    best = rows.mapInArrow(lambda batches: _best(batches, shared), "n bigint, tops array<double>, toxic int").toArrow()
+    tops = best["tops"].combine_chunks().flatten().to_numpy().reshape(-1, len(BOUNDS), MOST_JOINED)
+    return choose(seen, models, best["n"].to_numpy(), tops, best["toxic"].to_numpy())
 
 
 def _scored(batches: Iterator[pa.RecordBatch], fit) -> Iterator[pa.RecordBatch]:
@@ -254,7 +297,7 @@ def _scored(batches: Iterator[pa.RecordBatch], fit) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             words, buckets = features(part.column("text"))
-            scores = token_scores(buckets, model)
+            scores = token_scores(buckets, model.score)
             tops, passages = [], []
             for a, b in zip(words.first[:-1], words.first[1:], strict=True):
                 found = segments(scores[a:b])

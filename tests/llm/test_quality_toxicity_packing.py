@@ -87,6 +87,28 @@ def test_toxicity_held_out(spark):
     assert len({r.score for r in score_toxicity(df, nothing).collect()}) == 1
 
 
+def test_toxicity_of_few_labels_and_of_rare_words(spark):
+    """No toxic word is in 28 labelled toxic texts, by which a fixed bound of 5.5 would find it."""
+    letters = lambda k: "".join(chr(97 + int(c)) for c in f"{k:03d}")
+    for texts, kinds, many in ((160, 3, 3), (500, 20, 3)):
+        rng = random.Random(kinds)
+        calm, rude = [f"calm{letters(i)}" for i in range(200)], [f"{letters(i * 37)}vile" for i in range(kinds)]
+        rows, labels = [], []
+        for i in range(texts):
+            words = [rng.choice(calm) for _ in range(rng.randrange(20, 60))]
+            for k in rng.sample(range(len(words)), many if i % 5 == 0 else 0):
+                words[k] = rng.choice(rude)
+            rows.append((i, " ".join(words)))
+            labels.append((i, int(i % 5 == 0)))
+        known = [x for x in labels if x[0] % 4]
+        assert all(sum(w in rows[i][1] for i, toxic in known if toxic) < 28 for w in rude)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = score_toxicity(df, fit_toxicity(df, spark.createDataFrame(known, "doc_id bigint, toxic int"))).collect()
+        held = [r for r in got if r.doc_id % 4 == 0]
+        assert sum((r.score >= 0.3) == (r.doc_id % 5 == 0) for r in held) >= 0.95 * len(held)
+        assert all(r.passages for r in held if r.doc_id % 5 == 0 and r.score >= 0.3)
+
+
 def naive_put(bins, capacity, size, source, cluster):
     fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size and source not in b["sources"] and cluster not in b["clusters"] and b["room"] > 0]
     if not fits:

@@ -5,8 +5,10 @@ pages themselves: words of their text, and parts of host labels that are already
 by hyphens or digits. Counts meet the substrings of different labels in a join, so no
 dictionary is broadcast. Labels and hosts are handled once each, however many pages they own.
 
-The naive Bayes model learns from weak labels: hosts with a known word of unwanted sites among the parts
-of their labels against all others. Tokens are hashed to a vector of fixed size, which is
+The naive Bayes model learns from weak labels of hosts, by their segmented words: those with a
+known word of unwanted sites against those without. Hosts in which such a word is only part
+of a longer one are uncertain and teach nothing. Each host counts once, with the different
+tokens of its paths, however many pages it owns. Tokens are hashed to a vector of fixed size, which is
 all that is broadcast.
 """
 
@@ -25,9 +27,9 @@ from skein.llm.tables import cut, given, ship
 
 #: Words that mark unwanted hosts for the weak labels.
 SPAM_WORDS = (
-    "ads adserver adult adults bet bets betting bingo cams casino casinos cheap cialis crack dating escort farm free gambling hacked jackpot "
-    "keygen lottery loan loans nude payday pharma pharmacy pill pills poker porn porno prize replica roulette seo sex "
-    "slots spam sweepstakes torrent track tracker trackers tracking viagra warez webcam win winner xanax xxx"
+    "ads adserver adult adults bets betting bingo cams casino casinos cialis escort gambling hacked jackpot "
+    "keygen lottery nude payday pills poker porn porno roulette sex "
+    "slots spam sweepstakes torrent tracker trackers viagra warez webcam xanax xxx"
 ).split()
 LONGEST_WORD = 24
 BUCKETS = 1 << 18
@@ -171,20 +173,23 @@ def judge_urls(
     known = counted.union(set_apart.filter("word <> ''").groupBy("word").agg(F.count("*").alias("n")))
     words = cut(known.groupBy("word").agg(F.sum("n").alias("n")))
 
-    per_host = parts.groupBy("host").agg(F.count("*").alias("n"))
+    per_host = parts.select("host").distinct()
     split = segment_hosts(per_host, words)
     hosts = per_host.join(split, "host", "left").select(
-        "host", "n", F.coalesce("words", F.expr("CAST(array() AS array<string>)")).alias("words")
+        "host", F.coalesce("words", F.expr("CAST(array() AS array<string>)")).alias("words")
     )
-    blocked = F.arrays_overlap(F.split("host", r"[^a-z]+"), F.array(*map(F.lit, spam_words)))
-    hosts = cut(hosts.select("*", blocked.alias("blocked")))
-
-    pairs = parts.groupBy("host", "path").agg(F.count("*").alias("n")).join(hosts.select("host", "blocked"), "host")
-    tokens = hosts.select("blocked", "n", F.explode("words").alias("token")).union(
-        pairs.select("blocked", "n", F.explode(F.transform(path_tokens(F.col("path")), lambda x: F.concat(F.lit("/"), x))))
-    )
-    counts = tokens.groupBy(_bucket(F.col("token")).alias("bucket"), "blocked").agg(F.sum("n").alias("n"))
-    totals = hosts.agg(F.sum(F.when(F.col("blocked"), F.col("n"))), F.sum("n")).first()
+    named = F.arrays_overlap("words", F.array(*map(F.lit, spam_words)))
+    hidden = F.lit(False)
+    for word in spam_words:
+        hidden = hidden | F.contains("host", F.lit(word))
+    hosts = cut(hosts.select("host", "words", F.when(named, True).when(~hidden, False).alias("blocked")))
+
+    labelled = hosts.filter("blocked IS NOT NULL")
+    on_paths = parts.select("host", F.explode(F.transform(path_tokens(F.col("path")), lambda x: F.concat(F.lit("/"), x))).alias("token"))
+    on_paths = on_paths.distinct().join(labelled.select("host", "blocked"), "host").select("blocked", "token")
+    tokens = labelled.select("blocked", F.explode(F.array_distinct("words")).alias("token")).union(on_paths)
+    counts = tokens.groupBy(_bucket(F.col("token")).alias("bucket"), "blocked").agg(F.count("*").alias("n"))
+    totals = labelled.agg(F.count_if("blocked"), F.count("*")).first()
     weights, prior = fit_weights(counts, (totals[0] or 0) / max(1, totals[1] or 0))
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 

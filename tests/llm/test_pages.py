@@ -58,3 +58,17 @@ def test_rules_and_spam(spark):
     assert got[9].verdict == got[300].verdict == "block" and got[300].host_words[:2] == ["casino", "win"]
     assert {got[100 + i].verdict for i in range(60)} == {"allow"}
     assert judge_urls(df.limit(0), RULES).count() == 0
+
+
+def test_weak_labels_see_joined_words_and_leave_everyday_words(spark):
+    text = "<p>best casino win quiet river family farm</p>"
+    hosts = [f"river{i % 20}.example.org" for i in range(60)] + ["bestcasinowin.example.com"] * 40
+    hosts += ["casino-win.example.org"] * 2 + ["family-farm.example.com"] * 3
+    rows = [(i, f"http://{h}/en/{i}", text) for i, h in enumerate(hosts)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    blocked = {r.host for r in got if r.verdict == "block"}
+    assert blocked == {"bestcasinowin.example.com", "casino-win.example.org"}
+    # Without a host that has the words set apart, the joined ones are learned from all the same.
+    rows = [r for r in rows if "casino-win" not in r[1]]
+    got = judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.host for r in got if r.verdict == "block"} == {"bestcasinowin.example.com"}

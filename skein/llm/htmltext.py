@@ -5,7 +5,8 @@ by the share of link characters and link tags in it and in the page. The densiti
 node's children are summed; the node with the largest sum is the core. The smallest density
 on the path from the body to the core is the threshold: every node at or above it gives the
 subtree with the largest sum below it. If the core lies in an article or main element, that
-element as a whole is the result, so that short paragraphs stay.
+element as a whole belongs to the result too, so that short paragraphs stay, and so do the
+articles beside it that reach the threshold.
 
 Menus, footers, sidebars, notices, adverts, forms, comments and the like are left out by
 element, role and class or id words before densities are taken. Pages are independent: one
@@ -261,23 +262,19 @@ def main_text(source: str | None) -> str:
         if path[-1] == body:
             break
         path.append(page.parent[path[-1]])
-    if holder is None and core:
-        held = [i for i in blocks if page.tag[i] in _HOLDERS]
-        holder = max(held, key=lambda i: (chars[i], -i), default=None)
     chosen = [False] * n
-    if holder is not None:
-        chosen[holder] = True
-    else:
-        threshold = min(density[i] for i in path)
-        best = list(range(n))  # node of the largest sum in each subtree
-        for i in range(n - 1, 0, -1):
-            up = page.parent[i]
-            if score[best[i]] > score[best[up]] and page.tag[best[i]] in BLOCKS:
-                best[up] = best[i]
-        for i in blocks:
-            if density[i] >= threshold:
-                chosen[best[i]] = True
-        chosen[core] = True
+    threshold = min(density[i] for i in path)
+    best = list(range(n))  # node of the largest sum in each subtree
+    for i in range(n - 1, 0, -1):
+        up = page.parent[i]
+        if score[best[i]] > score[best[up]] and page.tag[best[i]] in BLOCKS:
+            best[up] = best[i]
+    for i in blocks:
+        if density[i] >= threshold:
+            chosen[best[i]] = True
+            if holder is not None and page.tag[i] == "article" and page.parent[i] == page.parent[holder]:
+                chosen[i] = True
+    chosen[core if holder is None else holder] = True
     for i in range(1, n):
         chosen[i] = chosen[i] or chosen[page.parent[i]]
 

@@ -72,3 +72,23 @@ def test_weak_labels_see_joined_words_and_leave_everyday_words(spark):
     rows = [r for r in rows if "casino-win" not in r[1]]
     got = judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert {r.host for r in got if r.verdict == "block"} == {"bestcasinowin.example.com"}
+
+
+def _paragraphs(first, count):
+    return "".join(f"<p>Paragraph {first + i} with quite a few words in it, enough to count as text.</p>" for i in range(count))
+
+
+def test_text_beside_article_teasers():
+    cards = "".join(f"<article><h3><a href=x>Teaser {i}</a></h3><p>Some <a href=y>more</a></p></article>" for i in range(3))
+    lines = main_text(f"<html><body><div id=story>{_paragraphs(0, 8)}</div>{cards}</body></html>").split("\n")
+    assert [x.split(" with")[0] for x in lines if x.startswith("Paragraph")] == [f"Paragraph {i}" for i in range(8)]
+
+
+def test_sibling_articles_are_kept():
+    parts = "".join(f"<article><h2>Part {k}</h2>{_paragraphs(10 * k, 4 - k)}<p>So.</p></article>" for k in range(3))
+    lines = main_text(f"<html><body><div class=top><a href=1>One</a></div><div id=live>{parts}</div></body></html>").split("\n")
+    assert [x.split(" with")[0] for x in lines] == [
+        *("Part 0", *(f"Paragraph {i}" for i in range(4)), "So."),
+        *("Part 1", *(f"Paragraph {i}" for i in range(10, 13)), "So."),
+        *("Part 2", "Paragraph 20", "Paragraph 21", "So."),
+    ]

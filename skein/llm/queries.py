@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from skein.llm.alignment import aligned_tokens
 from skein.llm.bpe import bpe_digests
 from skein.llm.catalog import ORACLES, QUERIES, query
+from skein.llm.divergence import source_divergence
 from skein.llm.exactdup import exact_groups
 from skein.llm.htmltext import extract_text
 from skein.llm.neardup import near_groups
@@ -17,6 +19,7 @@ from skein.llm.tables import documents, fresh_path, read, words
 from skein.llm.tokenbin import read_tokens, write_tokens
 from skein.llm.toxicity import fit_toxicity, score_toxicity
 from skein.llm.urls import judge_urls
+from skein.llm.warc import archived_pages, read_archives, write_archives
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -153,3 +156,66 @@ URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 @query("op8_url_filter")
 def op8(spark, sf):
     return judge_urls(read(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP11 = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS d FROM pages),
+b AS (SELECT page_id, t, list_transform(range(0, 8), lambda i: CAST('0x' || d[5 * i + 1:5 * i + 5] AS BIGINT)) AS g FROM h),
+p AS (SELECT page_id, t, list_transform(range(0, 32), lambda j: ((g[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1) AS n FROM b)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(n, lambda x: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[x]), '') AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM p WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query("op11_warc_revisits", OP11)
+def op11(spark, sf):
+    pages, path = read(spark, sf, "pages"), fresh_path(spark, "warc")
+    write_archives(pages, path, min_bytes=0)
+    kind = pages.schema["page_id"].dataType
+    found = archived_pages(read_archives(spark, path))
+    return found.select(
+        F.col("page_id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
+@query("op12_token_alignment")
+def op12(spark, sf):
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return aligned_tokens(documents(spark, sf), first, second)
+
+
+OP13 = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+w AS (SELECT lang, source, r, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS nl FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(nl)::HUGEINT AS m FROM k GROUP BY lang),
+t AS (SELECT lang, source, sum(n)::HUGEINT AS m FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(t.m, 0) + 2 * v.v) AS p,
+    1 + 1000000000::HUGEINT * (k.nl + 2) // (v.m + 2 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM y WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_source_divergence", OP13)
+def op13(spark, sf):
+    return source_divergence(documents(spark, sf), min_docs=10, top_terms=10)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.tables import cut, given, ship, split_count
+from skein.llm.tables import cut, freed, given, ship, split_count
 
 ARCHIVE_BYTES = 32 << 20
 #: Room for the headers of a record, for the size of archives.
@@ -186,7 +186,8 @@ def write_archives(
     written = records(responses, False).unionByName(records(later, True))
     mean = decided.filter(stays).agg(F.avg("size")).first()[0] or 0
     writer = written.write.option("lineSep", RECORD_END).option("compression", compression)
-    writer.option("maxRecordsPerFile", max(1, int(archive_bytes / (mean + HEADER_BYTES)))).text(path)
+    with freed(pages.sparkSession):
+        writer.option("maxRecordsPerFile", max(1, int(archive_bytes / (mean + HEADER_BYTES)))).text(path)
 
 
 def _members(content: bytes) -> bytes:

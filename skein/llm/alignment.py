@@ -17,6 +17,7 @@ import hashlib
 import os
 import sys
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ from skein.llm import pretokens, wordspans
 from skein.llm.tables import cut, given, ship
 
 BLOCK_BYTES = 16 << 20
-#: Aligned windows that a task remembers, and the ids of the longest of them; longer ones are aligned each time.
-HELD_WINDOWS, HELD_IDS = 1 << 19, 256
+SLICE_CHARS = 1 << 20
+#: Different pieces whose ids a worker remembers.
+HELD_PIECES = 1 << 18
 #: Fixed value: the space mark of pieces.
 MARK = "▁"
 #: Documents have ``part`` 0, blocks 1.
@@ -74,7 +76,7 @@ class First:
                 for i in range(max(names) + 1)
             ]
         )
-        self.pieces = pretokens.PieceIds(self._encode)
+        self.pieces = pretokens.PieceIds(self._encode, HELD_PIECES)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -104,51 +106,65 @@ class Second:
         return np.fromiter((i for x in lists for i in x), dtype=np.int64, count=bounds[-1]), bounds
 
 
-def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[str, list[tuple[int, int]], int]:
-    """Groups as text, linked pairs (with repeats), and the number of groups; ends are byte offsets."""
-    links, groups = [], []
-    i = j = from_a = from_b = 0
-    while i < len(a):
-        links.append((a[i], b[j]))
-        at_a, at_b = ends_a[i], ends_b[j]
-        i += at_a <= at_b
-        j += at_b <= at_a
-        if at_a == at_b:
-            groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-            from_a, from_b = i, j
-    return ";".join(groups), links, len(groups)
+class Numerals:
+    """Ids in decimals with what follows them: comma, bar or semicolon."""
+
+    def __init__(self, count: int):
+        written = [f"{i}{mark}".encode() for i in range(count) for mark in ",|;"]
+        self.table = TokenBytes(written)
+
+    def joined(self, ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        which = 3 * ids + marks
+        return self.table.joined(which), self.table.sizes[which]
 
 
 class Windows:
-    """Alignments of windows; the windows of one slice get numbers."""
+    """Alignments of the different windows of a slice, and which of them stands where.
 
-    def __init__(self, first: TokenBytes, second: TokenBytes):
-        self.first, self.second = first, second
-        self.known: dict[tuple[bytes, bytes], tuple] = {}
+    A window is known by its two id tuples: a hash tells them apart and is checked against
+    the ids, and each tuple pair is aligned once. All are aligned together: put end to end,
+    both sides cover the same bytes, and a stretch between neighbouring token ends of either
+    side belongs to one A and one B token, which is a link.
+    """
 
-    def _aligned(self, key: tuple[bytes, bytes]) -> tuple[str, int, np.ndarray, np.ndarray, int]:
-        a, b = (np.frombuffer(k, dtype=np.int32) for k in key)
-        text, links, n = align(
-            a.tolist(), b.tolist(), np.cumsum(self.first.sizes[a]).tolist(), np.cumsum(self.second.sizes[b]).tolist()
-        )
-        codes, times = np.unique([x << 32 | y for x, y in links], return_counts=True)
-        return text, n, codes, times, len(links)
-
-    def numbered(self, keys: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, list[tuple]]:
-        """Number of each key's alignment, and the alignments."""
-        if len(self.known) > HELD_WINDOWS:
-            self.known = {}
-        numbers: dict[tuple[bytes, bytes], int] = {}
-        which = np.fromiter((numbers.setdefault(k, len(numbers)) for k in keys), dtype=np.int64, count=len(keys))
-        found = []
-        for key in numbers:
-            one = self.known.get(key)
-            if one is None:
-                one = self._aligned(key)
-                if len(key[0]) + len(key[1]) <= 4 * HELD_IDS:
-                    self.known[key] = one
-            found.append(one)
-        return which, found
+    def __init__(self, a, b, cuts_a, cuts_b, first: TokenBytes, second: TokenBytes, numerals: Numerals):
+        self.which, sample = self._known(a, b, cuts_a, cuts_b)
+        from_a, from_b = cuts_a[:-1][sample], cuts_b[:-1][sample]
+        size_a, size_b = np.diff(cuts_a)[sample], np.diff(cuts_b)[sample]
+        a, b = pretokens.spread(a, from_a, size_a), pretokens.spread(b, from_b, size_b)
+        of_a = np.repeat(np.arange(len(sample)), size_a)  # window of each A token
+        ends_a, ends_b = np.cumsum(first.sizes[a]), np.cumsum(second.sizes[b])
+        ends = np.union1d(ends_a, ends_b)
+        link_a = np.searchsorted(ends_a, ends)
+        self.codes = a[link_a] << 32 | b[np.searchsorted(ends_b, ends)]
+        self.n_links = np.bincount(of_a[link_a], minlength=len(sample))
+        shared_a = ends_b[np.minimum(np.searchsorted(ends_b, ends_a), max(len(ends_b) - 1, 0))] == ends_a if len(a) else np.zeros(0, bool)
+        shared = ends_a[shared_a]
+        self.n_groups = np.bincount(of_a[shared_a], minlength=len(sample))
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        # Spelled group by group, A before B.
+        at_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, side="left")
+        at_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+        ids, marks = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        ids[at_a], ids[at_b] = a, b
+        marks[at_a[shared_a]] = 1
+        last_b = shared[group_b] == ends_b if len(b) else shared_a[:0]
+        marks[at_b[last_b]] = 2
+        self.text, sizes = numerals.joined(ids, marks)
+        total = np.append(0, np.cumsum(sizes))
+        ends_at = np.append(0, np.cumsum(size_a + size_b))
+        self.text_from, self.text_size = total[ends_at[:-1]], np.diff(total[ends_at])
+
+    @staticmethod
+    def _known(a, b, cuts_a, cuts_b) -> tuple[np.ndarray, np.ndarray]:
+        sides = [(x, cuts[:-1], np.diff(cuts)) for x, cuts in ((a, cuts_a), (b, cuts_b))]
+        seen = [wordspans.spans(wordspans.mix(x.astype(np.uint64) + np.uint64(1)), f, n) for x, f, n in sides]
+        _, sample, which = np.unique(wordspans.mix(seen[0]) + seen[1], return_index=True, return_inverse=True)
+        like = sample[which]
+        if all(np.array_equal(n, n[like]) and np.array_equal(x, pretokens.spread(x, f[like], n)) for x, f, n in sides):
+            return which, sample
+        every = np.arange(len(which))  # two windows with one hash
+        return every, every
 
 
 def _differs(joined: np.ndarray, ends: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -165,7 +181,7 @@ def _differs(joined: np.ndarray, ends: np.ndarray, data: np.ndarray, bounds: np.
 class _Slice:
     """Figures and linked pairs of the documents of one slice; ``doc`` and ``code`` are row and pair, once each."""
 
-    def __init__(self, texts: list[str], first: First, second: Second, windows: Windows):
+    def __init__(self, texts: list[str], first: First, second: Second, numerals: Numerals):
         spaced = [" " + t if t else "" for t in texts]
         a, bound_a = first.ids(spaced)
         b, bound_b = second.ids(texts)
@@ -176,56 +192,41 @@ class _Slice:
         wrong = _differs(first.bytes.joined(a), ends_a[bound_a], data, bounds)
         wrong |= _differs(second.bytes.joined(b), ends_b[bound_b], data, bounds)
         if wrong.any():
-            bad = np.flatnonzero(wrong)
-            keep_a, keep_b = np.ones(len(a), bool), np.ones(len(b), bool)
-            for d in bad:
-                keep_a[bound_a[d] : bound_a[d + 1]] = False
-                keep_b[bound_b[d] : bound_b[d + 1]] = False
             sizes_a, sizes_b = np.diff(bound_a), np.diff(bound_b)
-            sizes_a[bad] = sizes_b[bad] = 0
-            a, b = a[keep_a], b[keep_b]
-            bound_a, bound_b = np.append(0, np.cumsum(sizes_a)), np.append(0, np.cumsum(sizes_b))
+            a, b = a[np.repeat(~wrong, sizes_a)], b[np.repeat(~wrong, sizes_b)]
+            bound_a, bound_b = (np.append(0, np.cumsum(np.where(wrong, 0, x))) for x in (sizes_a, sizes_b))
             ends_a = np.append(0, np.cumsum(first.bytes.sizes[a]))
             ends_b = np.append(0, np.cumsum(second.bytes.sizes[b]))
         # A window begins where a text does, or where both have a space-marked token at one byte.
-        at_a = np.union1d(np.flatnonzero(first.bytes.spaced[a]), bound_a[:-1][np.diff(bound_a) > 0])
-        at_b = np.union1d(np.flatnonzero(second.bytes.spaced[b]), bound_b[:-1][np.diff(bound_b) > 0])
+        heads = [x.bytes.spaced[ids] for x, ids in ((first, a), (second, b))]
+        for head, bound in zip(heads, (bound_a, bound_b), strict=True):
+            head[bound[:-1][np.diff(bound) > 0]] = True
+        at_a, at_b = map(np.flatnonzero, heads)
         _, in_a, in_b = np.intersect1d(ends_a[at_a], ends_b[at_b], assume_unique=True, return_indices=True)
         from_a, from_b = at_a[in_a], at_b[in_b]
-        raw_a, raw_b = a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()
-        cuts_a, cuts_b = (4 * np.append(from_a, len(a))).tolist(), (4 * np.append(from_b, len(b))).tolist()
-        keys = [
-            (raw_a[s:e], raw_b[t:u]) for s, e, t, u in zip(cuts_a[:-1], cuts_a[1:], cuts_b[:-1], cuts_b[1:], strict=True)
-        ]
-        which, found = windows.numbered(keys)
+        windows = Windows(a, b, np.append(from_a, len(a)), np.append(from_b, len(b)), first.bytes, second.bytes, numerals)
+        which = windows.which
         of_doc = np.searchsorted(from_a, bound_a)  # first window of each text
-        groups = np.append(0, np.cumsum(np.array([x[1] for x in found], dtype=np.int64)[which]))
-        links = np.append(0, np.cumsum(np.array([x[4] for x in found], dtype=np.int64)[which]))
-        self.n_a, self.n_b = np.diff(bound_a), np.diff(bound_b)
-        self.n_groups, self.n_links = np.diff(groups[of_doc]), np.diff(links[of_doc])
-        spelled = [x[0] for x in found]
-        order = which.tolist()
+        groups, links, chars = (np.append(0, np.cumsum(x[which]))[of_doc] for x in (windows.n_groups, windows.n_links, windows.text_size))
+        self.n_a, self.n_b, self.n_groups, self.n_links = (np.diff(x) for x in (bound_a, bound_b, groups, links))
+        spelled = memoryview(pretokens.spread(windows.text, windows.text_from[which], windows.text_size[which]))
         self.digests = [
-            hashlib.sha256(";".join([spelled[w] for w in order[s:e]]).encode()).hexdigest() if e > s else ""
-            for s, e in zip(of_doc[:-1].tolist(), of_doc[1:].tolist(), strict=True)
+            hashlib.sha256(spelled[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(chars[:-1].tolist(), chars[1:].tolist(), strict=True)
         ]
-        sizes = np.array([len(x[2]) for x in found], dtype=np.int64)
-        offsets = np.cumsum(sizes) - sizes
-        codes = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.int64)
-        times = np.concatenate([x[3] for x in found]) if found else np.zeros(0, np.int64)
-        different, place = np.unique(codes, return_inverse=True)
-        doc = np.repeat(np.arange(len(texts)), np.diff(of_doc))
-        doc = np.repeat(doc, sizes[which])
-        mixed = doc * max(1, len(different)) + pretokens.spread(place, offsets[which], sizes[which])
-        weight = pretokens.spread(times, offsets[which], sizes[which])
-        pairs, inverse = np.unique(mixed, return_inverse=True)
+        different, place = np.unique(windows.codes, return_inverse=True)
+        sizes = windows.n_links
+        doc = np.repeat(np.repeat(np.arange(len(texts)), np.diff(of_doc)), sizes[which])
+        mixed = doc * max(1, len(different)) + pretokens.spread(place, (np.cumsum(sizes) - sizes)[which], sizes[which])
+        pairs, self.times = np.unique(mixed, return_counts=True)
         self.doc, self.code = pairs // max(1, len(different)), different[pairs % max(1, len(different))]
-        self.times = np.bincount(inverse, weights=weight, minlength=len(pairs)).astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], spec, block_bytes: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    first, second = First(spec.value["first"]), Second(spec.value["second"])
-    windows = Windows(first.bytes, second.bytes)
+    held_here = spec.value  # stays with the worker process, and so do the vocabularies
+    if "codec" not in held_here:
+        first, second = First(held_here["first"]), Second(held_here["second"])
+        held_here["codec"] = first, second, Numerals(max(len(first.bytes.sizes), len(second.bytes.sizes)))
+    first, second, numerals = held_here["codec"]
     number = TaskContext.get().partitionId() << 32
     held: list[tuple[pa.Array, _Slice]] = []
     size = 0
@@ -258,8 +259,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], spec, block_bytes: int, schema: p
 
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        for begin, end in pretokens.slices([len(t) for t in texts]):
-            held.append((batch.column("doc_id").slice(begin, end - begin), _Slice(texts[begin:end], first, second, windows)))
+        for begin, end in pretokens.slices([len(t) for t in texts], SLICE_CHARS):
+            held.append((batch.column("doc_id").slice(begin, end - begin), _Slice(texts[begin:end], first, second, numerals)))
             size += sum(map(len, texts[begin:end]))
             if size >= block_bytes:
                 yield from packed()
@@ -294,8 +295,6 @@ def _packed(docs: DataFrame, first_path: str, second_path: str, id_col: str, tex
     schema = _BLOCK.format(kind=source.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import chain
-
         head = next(batches, None)
         if head is None:
             return

@@ -86,14 +86,14 @@ def test_alignment(spark, docs, monkeypatch):
     assert marked[1000][3] > 5
 
 
-def test_alignment_forgets_windows(spark, monkeypatch):
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
     codec = alignment.First(open(FIRST, encoding="utf-8").read()), alignment.Second(open(SECOND, "rb").read())
-    texts = ["one two three " * 9, "four five six"]
-    full = alignment._Slice(texts, *codec, alignment.Windows(codec[0].bytes, codec[1].bytes))
-    monkeypatch.setattr(alignment, "HELD_WINDOWS", 0)
-    monkeypatch.setattr(alignment, "HELD_IDS", 0)
-    bare = alignment._Slice(texts, *codec, alignment.Windows(codec[0].bytes, codec[1].bytes))
-    assert full.digests == bare.digests and full.code.tolist() == bare.code.tolist()
+    numerals = alignment.Numerals(60_000)
+    texts = ["one two three " * 9, "four five six", "", "a▁b", "one two"]
+    full = alignment._Slice(texts, *codec, numerals)
+    monkeypatch.setattr(alignment.wordspans, "spans", lambda h, starts, sizes: (starts * 0).astype("uint64"))
+    bare = alignment._Slice(texts, *codec, numerals)
+    assert full.digests == bare.digests and full.code.tolist() == bare.code.tolist() and full.times.tolist() == bare.times.tolist()
 
 
 def test_alignment_of_nothing(spark, empty):

@@ -2,14 +2,15 @@
 
 A block is a bin of whole small scopes, or a position range of a large scope. Each
 kernel call settles a block on its own; results that cross blocks are exchanged with
-joins, round by round, until nothing changes. With no scope larger than a block (the
-usual case) there is exactly one pass and no loop.
+joins, round by round, until nothing changes. Scopes no larger than a block (the usual
+case) take exactly one pass and no loop, also where others are larger.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import cached_property
+from copy import copy
+from functools import cached_property, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from skein.operators import kernels
 from skein.operators.edges import SESSION, edges, node_index
 from skein.operators.lineage import cut
+from skein.operators.ordering import running_sum
 
 BLOCK_ROWS = 1 << 16
 
@@ -27,6 +29,31 @@ BLOCK_ROWS = 1 << 16
 cloudpickle.register_pickle_by_value(kernels)
 
 
+def by_size(method: Callable) -> Callable:
+    """Where a few scopes are larger than a block, only those take the way over blocks.
+
+    The method runs once for the small scopes and once for the large ones; both results
+    together are the result.
+    """
+
+    @wraps(method)
+    def run(self, *args, **kwargs):
+        if self.big is None:
+            return method(self, *args, **kwargs)
+        results = []
+        for large in (False, True):
+            half = copy(self)
+            half.__dict__.pop("profile", None)
+            half.large, half.big = large, None
+            half.nodes, half.edges = (self.of_size(t, large) for t in (self.nodes, self.edges))
+            own = [self.of_size(a, large) if isinstance(a, DataFrame) else a for a in args]
+            named = {k: self.of_size(a, large) if isinstance(a, DataFrame) else a for k, a in kwargs.items()}
+            results.append(method(half, *own, **named))
+        return results[0].unionByName(results[1])
+
+    return run
+
+
 class TraceGraph:
     """Nodes and local edges of an event table, cut into blocks per scope."""
 
@@ -50,6 +77,15 @@ class TraceGraph:
         spark = self.nodes.sparkSession
         wanted = -(-(size["n"] or 0) // self.block_rows)
         self.bins = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.big = None  # the large scopes, where there are small ones, too
+        if self.large:
+            sizes = cut(self.nodes.groupBy(*self.scope).agg((F.max("pos") > self.block_rows).alias("big")))
+            if not sizes.filter(~F.col("big")).isEmpty():
+                self.big = sizes.filter("big").select(*self.scope)
+
+    def of_size(self, table: DataFrame, large: bool) -> DataFrame:
+        """Rows of the large or of the small scopes."""
+        return table.join(self.big, self.scope, "left_semi" if large else "left_anti")
 
     # -- block plumbing -------------------------------------------------------
 
@@ -114,6 +150,7 @@ class TraceGraph:
 
     # -- fixpoints ------------------------------------------------------------
 
+    @by_size
     def spread(self, nodes: DataFrame, value: Column, links: DataFrame) -> DataFrame:
         """Largest ``value`` among a node and all nodes leading to it along ``links``."""
         keys = [*self.scope, "pos"]
@@ -141,6 +178,7 @@ class TraceGraph:
             )
             out = cut(settle(merged, F.col("value")))
 
+    @by_size
     def levels(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
         """Longest-path level below the nodes without incoming links.
 
@@ -208,6 +246,10 @@ class TraceGraph:
     @cached_property
     def profile(self) -> DataFrame:
         """Per node: ``up`` and ``out`` degree, ``level`` and ``height`` (null off the order)."""
+        return self._profile()
+
+    @by_size
+    def _profile(self) -> DataFrame:
         keys = [*self.scope, "pos"]
         if not self.large:
             rows = self._node_rows(self.nodes).unionByName(self._edge_rows(self.down()))
@@ -231,6 +273,7 @@ class TraceGraph:
             joined = joined.join(part, keys, "left")
         return cut(joined.fillna(0, ["up", "out"]))
 
+    @by_size
     def extent(self, links: DataFrame, nodes: DataFrame | None = None, value: str = "pos") -> DataFrame:
         """Least and greatest ``value`` among a node and all nodes leading to it."""
         nodes = self.nodes if nodes is None else nodes
@@ -262,6 +305,7 @@ class TraceGraph:
 
         return self._run(rows, kernel, ["occurrences"], "pattern array<string>")
 
+    @by_size
     def closure(self, seeds: DataFrame, links: DataFrame) -> DataFrame:
         """Pairs (start, pos, dist): all nodes each seed reaches, itself included.
 
@@ -279,7 +323,7 @@ class TraceGraph:
                 F.col("pos").cast("bigint").alias("b"),
                 F.col("dist").cast("bigint").alias("v"),
             )
-            return self._run(base.unionByName(rows), lambda b: kernels.pairs(b, False), cols)
+            return self._run(base.unionByName(rows), kernels.pairs, cols)
 
         front = seeds.select(*self.scope, "start", "pos", F.lit(0).alias("dist"))
         found = settle(front)
@@ -302,43 +346,113 @@ class TraceGraph:
             )
             found = cut(found.unionByName(fresh))
 
-    def reach(self, seeds: DataFrame, links: DataFrame, value: str | None = None) -> DataFrame:
-        """Per seed: distinct nodes reached (itself included), least and greatest value."""
-        if not self.large:
-            rows = seeds.select(
+    def _seed_rows(self, seeds: DataFrame) -> DataFrame:
+        return seeds.select(
+            *self.scope,
+            self.part("pos").alias("part"),
+            F.lit(2).alias("kind"),
+            F.col("pos").cast("bigint").alias("a"),
+            F.col("pos").cast("bigint").alias("b"),
+            F.lit(0).cast("bigint").alias("v"),
+        )
+
+    def flow(self, seeds: DataFrame, links: DataFrame, forward_only: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Which seeds lead to which node, 64 to a row: ``pos, word, mask``; and each seed's ``lane``.
+
+        Bits pass through a block at once and cross blocks in rounds, with OR; a round is
+        needed for each block border that a path crosses. ``forward_only`` keeps a seed's bit
+        away from nodes before the seed.
+        """
+        keys = [*self.scope, "pos"]
+        marked = self.nodes.select(*keys).join(seeds.select(*keys).distinct().withColumn("_s", F.lit(1)), keys, "left")
+        upto = cut(running_sum(marked, {"upto": F.coalesce("_s", F.lit(0))}, self.scope))
+        lanes = upto.filter("_s = 1").select(*keys, (F.col("upto") - 1).alias("lane"))
+        base = self._node_rows(upto, F.col("upto")).unionByName(self._edge_rows(links))
+
+        def settle(front: DataFrame) -> DataFrame:
+            rows = front.select(
                 *self.scope,
                 self.part("pos").alias("part"),
                 F.lit(2).alias("kind"),
-                F.col("pos").cast("bigint").alias("a"),
+                F.col("word").cast("bigint").alias("a"),
                 F.col("pos").cast("bigint").alias("b"),
-                F.lit(0).cast("bigint").alias("v"),
-            )
-            own = F.col(value) if value else None
-            rows = (
-                self._node_rows(self.nodes, own)
-                .unionByName(self._edge_rows(links))
-                .unionByName(rows)
-            )
-            out = self._run(
-                rows, lambda b: kernels.pairs(b, True), ["start", "reached", "low", "high"]
+                F.col("mask").alias("v"),
             )
-            empty = F.col("high") == kernels.NONE
-            return out.withColumn("low", F.when(~empty, F.col("low"))).withColumn(
-                "high", F.when(~empty, F.col("high"))
+            return self._run(base.unionByName(rows), lambda b: kernels.masks(b, forward_only), ["pos", "word", "mask"])
+
+        word = F.floor(F.col("lane") / 64)
+        bit = F.expr("shiftleft(1L, cast(pmod(lane, 64) AS int))")
+        front = lanes.select(*keys, word.alias("word"), bit.alias("mask"))
+        front = front.groupBy(*keys, "word").agg(F.bit_or("mask").alias("mask"))
+        found = fresh = cut(settle(front))
+        crossing = cut(self._crossing(links))
+        while True:
+            arriving = (
+                fresh.join(crossing.withColumnRenamed("src", "pos"), keys)
+                .groupBy(*self.scope, F.col("dst").alias("pos"), "word")
+                .agg(F.bit_or("mask").alias("mask"))
             )
+            if forward_only:
+                room = F.col("upto") - 64 * F.col("word")
+                bits = F.when(room >= 64, F.lit(-1).cast("bigint")).when(room <= 0, 0).otherwise(F.expr("shiftleft(1L, cast(upto - 64 * word AS int)) - 1"))
+                arriving = arriving.join(upto, keys).select(*keys, "word", F.col("mask").bitwiseAND(bits).alias("mask"))
+            known = found.select(*keys, "word", F.col("mask").alias("_m"))
+            new = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_m", F.lit(0).cast("bigint"))))
+            front = cut(arriving.join(known, [*keys, "word"], "left").select(*keys, "word", new.alias("mask")).filter("mask <> 0"))
+            if front.isEmpty():
+                return found, lanes
+            settled = cut(settle(front))
+            fresh = settled.join(known, [*keys, "word"], "left").select(*keys, "word", new.alias("mask")).filter("mask <> 0")
+            fresh = cut(fresh)
+            found = cut(found.unionByName(fresh).groupBy(*keys, "word").agg(F.bit_or("mask").alias("mask")))
+
+    @by_size
+    def reach(self, seeds: DataFrame, links: DataFrame, value: str | None = None) -> DataFrame:
+        """Per seed: distinct nodes reached (itself included), least and greatest value.
+
+        Seeds travel as bits of a node's row, so no pair of seed and node is ever a row.
+        """
         own = F.col(value) if value else F.lit(None).cast("bigint")
-        found = self.closure(seeds.withColumn("start", F.col("pos")), links)
-        values = self.nodes.select(*self.scope, "pos", own.alias("_v"))
-        return (
-            found.join(values, [*self.scope, "pos"])
-            .groupBy(*self.scope, "start")
-            .agg(
-                F.count("*").alias("reached"),
-                F.min("_v").alias("low"),
-                F.max("_v").alias("high"),
+        if not self.large:
+            rows = self._node_rows(self.nodes, own).unionByName(self._edge_rows(links)).unionByName(self._seed_rows(seeds))
+            out = self._run(rows, kernels.reach, ["start", "reached", "low", "high"])
+        else:
+            found, lanes = self.flow(seeds, links)
+            valued = found.join(self.nodes.select(*self.scope, "pos", own.alias("value")), [*self.scope, "pos"])
+            scope, types = self.scope, dict(found.dtypes)
+            schema = ", ".join(f"`{c}` {types[c]}" for c in scope) + ", word bigint, bit bigint, n bigint, low bigint, high bigint"
+            sums = valued.select(*scope, "word", "mask", "value").mapInArrow(lambda batches: kernels.bit_sums(batches, scope), schema)
+            sums = sums.groupBy(*scope, (F.col("word") * 64 + F.col("bit")).alias("lane")).agg(
+                F.sum("n").alias("reached"), F.min("low").alias("low"), F.max("high").alias("high")
             )
-        )
+            out = sums.join(lanes, [*scope, "lane"]).select(*scope, F.col("pos").alias("start"), "reached", "low", "high")
+        empty = F.col("high") == kernels.NONE
+        return out.withColumn("low", F.when(~empty, F.col("low"))).withColumn("high", F.when(~empty, F.col("high")))
 
+    @by_size
+    def arrivals(self, seeds: DataFrame, links: DataFrame) -> DataFrame:
+        """Per node: the number of seeds that lead to it (itself included); no pair is a row."""
+        if not self.large:
+            rows = self._node_rows(self.nodes).unionByName(self._edge_rows(links)).unionByName(self._seed_rows(seeds))
+            return self._run(rows, kernels.arrivals, ["pos", "seeds"])
+        found, _ = self.flow(seeds, links)
+        return found.groupBy(*self.scope, "pos").agg(F.sum(F.bit_count("mask")).cast("bigint").alias("seeds"))
+
+    @by_size
+    def closing(self, links: DataFrame) -> DataFrame:
+        """Links (src, dst) to an earlier node or itself that close a cycle of nodes from ``dst`` on."""
+        back = links.filter("src >= dst")
+        seeds = back.select(*self.scope, F.col("dst").alias("pos")).distinct()
+        if not self.large:
+            rows = self._node_rows(self.nodes).unionByName(self._edge_rows(links)).unionByName(self._seed_rows(seeds))
+            return self._run(rows, kernels.closing, ["src", "dst"])
+        found, lanes = self.flow(cut(seeds), links, forward_only=True)
+        at = back.join(lanes.withColumnRenamed("pos", "dst"), [*self.scope, "dst"]).withColumn("word", F.floor(F.col("lane") / 64))
+        bits = found.withColumnRenamed("pos", "src")
+        hit = F.expr("shiftright(mask, cast(pmod(lane, 64) AS int)) & 1") == 1
+        return at.join(bits, [*self.scope, "src", "word"]).filter(hit).select(*self.scope, "src", "dst")
+
+    @by_size
     def labels(self, links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         """Smallest position in each node's weakly connected piece."""
         nodes = self.nodes if nodes is None else nodes

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 NONE = np.iinfo(np.int64).min
 PAIR_BUDGET = 4_000_000
+#: Words of 64 seeds that pass a block together.
+WORDS = 8
 
 
 class Block:
@@ -214,7 +216,157 @@ def labels(block: Block) -> pa.RecordBatch:
     return block.out(idx, pos=block.pos, value=block.pos[lab])
 
 
-def pairs(block: Block, reduce: bool):
+def flow(adj: Adjacency, mask: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Pass bit rows along edges with OR until nothing changes; ``allowed`` bits may enter a node."""
+    front = np.flatnonzero(mask.any(axis=1))
+    while len(front):
+        which, nxt = adj.expand(front)
+        if not len(nxt):
+            break
+        order = np.argsort(nxt, kind="stable")
+        nxt = nxt[order]
+        first = np.flatnonzero(np.r_[True, nxt[1:] != nxt[:-1]])
+        arriving = np.bitwise_or.reduceat(mask[front[which[order]]], first, axis=0)
+        front = nxt[first]
+        if allowed is not None:
+            arriving &= allowed[front]
+        arriving &= ~mask[front]
+        new = arriving.any(axis=1)
+        front = front[new]
+        mask[front] |= arriving[new]
+    return mask
+
+
+def below(count: np.ndarray) -> np.ndarray:
+    """Words whose lowest ``count`` bits are set, ``count`` cut to 0..64."""
+    count = np.clip(count, 0, 64)
+    ones = np.left_shift(np.uint64(1), np.minimum(count, 63).astype(np.uint64)) - np.uint64(1)
+    return np.where(count == 64, ~np.uint64(0), ones)
+
+
+class Lanes:
+    """Seeds of a block numbered per scope by position; each is one bit of a node's row."""
+
+    def __init__(self, block: Block):
+        self.block = block
+        self.adj = Adjacency(block.n, block.src, block.dst)
+        self.seed = np.unique(block.seed_node)
+        own = block.code[self.seed]
+        self.lane = np.arange(len(self.seed)) - np.searchsorted(own, own)
+
+    def passed(self, forward_only: bool = False):
+        """Seeds, and node rows of their bits after the pass, ``WORDS * 64`` lanes at a time.
+
+        ``forward_only`` keeps a seed's bit away from nodes before the seed.
+        """
+        block = self.block
+        for low in range(0, int(self.lane.max(initial=-1)) + 1, 64 * WORDS):
+            some = np.flatnonzero((self.lane >= low) & (self.lane < low + 64 * WORDS))
+            lane = self.lane[some] - low
+            words = int(lane.max()) // 64 + 1
+            mask = np.zeros((block.n, words), dtype=np.uint64)
+            np.bitwise_or.at(mask, (self.seed[some], lane // 64), np.left_shift(np.uint64(1), (lane % 64).astype(np.uint64)))
+            allowed = None
+            if forward_only:
+                before = np.searchsorted(self.seed, np.arange(block.n), side="right")
+                before -= np.searchsorted(block.code[self.seed], block.code) + low
+                allowed = np.stack([below(before - 64 * w) for w in range(words)], axis=1)
+            yield self.seed[some], lane, flow(self.adj, mask, allowed)
+
+
+def _bit(mask: np.ndarray, lane: int) -> np.ndarray:
+    return (mask[:, lane // 64] >> np.uint64(lane % 64)) & np.uint64(1) != 0
+
+
+def reach(block: Block):
+    """Per seed: nodes reached (itself included), least and greatest value among them."""
+    lanes = Lanes(block)
+    scopes, starts = np.unique(block.code, return_index=True)
+    most = np.iinfo(np.int64).max
+    for seed, lane, mask in lanes.passed():
+        place = np.searchsorted(scopes, block.code[seed])
+        found = np.zeros((3, len(seed)), dtype=np.int64)
+        for one in np.unique(lane):
+            inside = _bit(mask, int(one))
+            known = inside & (block.value != NONE)
+            sums = (
+                np.add.reduceat(inside.astype(np.int64), starts),
+                np.minimum.reduceat(np.where(known, block.value, most), starts),
+                np.maximum.reduceat(np.where(known, block.value, NONE), starts),
+            )
+            own = lane == one
+            for row, values in zip(found, sums, strict=True):
+                row[own] = values[place[own]]
+        yield block.out(seed, start=block.pos[seed], reached=found[0], low=found[1], high=found[2])
+
+
+def arrivals(block: Block) -> pa.RecordBatch:
+    """Per node: how many seeds lead to it (itself included)."""
+    total = np.zeros(block.n, dtype=np.int64)
+    for _, _, mask in Lanes(block).passed():
+        total += np.bitwise_count(mask).sum(axis=1, dtype=np.int64)
+    return block.out(np.arange(block.n), pos=block.pos, seeds=total)
+
+
+def closing(block: Block):
+    """Edges that lead to a seed from a node which the seed reaches without passing a node before it."""
+    back = np.flatnonzero(block.src >= block.dst)
+    for seed, lane, mask in Lanes(block).passed(forward_only=True):
+        at = np.searchsorted(seed, block.dst[back])
+        own = back[(at < len(seed)) & (seed[np.minimum(at, len(seed) - 1)] == block.dst[back])]
+        bit = lane[np.searchsorted(seed, block.dst[own])]
+        word = mask[block.src[own], bit // 64] >> (bit % 64).astype(np.uint64)
+        own = own[word & np.uint64(1) != 0]
+        yield block.out(block.src[own], src=block.pos[block.src[own]], dst=block.pos[block.dst[own]])
+
+
+def masks(block: Block, forward_only: bool):
+    """Rows (node, word, bits) after a pass that starts at the given rows: kind 2 with node, word and bits.
+
+    With ``forward_only`` a node's value is the number of seeds of its scope up to it.
+    """
+    adj = Adjacency(block.n, block.src, block.dst)
+    word, bits = block.seed_start, block.seed_dist.view(np.uint64)
+    for one in np.unique(word):
+        some = word == one
+        mask = np.zeros((block.n, 1), dtype=np.uint64)
+        np.bitwise_or.at(mask, (block.seed_node[some], 0), bits[some])
+        allowed = below(block.value - 64 * one)[:, None] if forward_only else None
+        flow(adj, mask, allowed)
+        idx = np.flatnonzero(mask[:, 0])
+        yield block.out(idx, pos=block.pos[idx], word=np.full(len(idx), one), mask=mask[idx, 0].view(np.int64))
+
+
+def bit_sums(batches, scope: list[str]):
+    """Per (scope, word, bit) of rows with ``word, mask, value``: rows, least and greatest value."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        codes = np.zeros(table.num_rows, dtype=np.int64)
+        for name in [*scope, "word"]:
+            enc = table[name].combine_chunks().dictionary_encode()
+            codes = codes * max(len(enc.dictionary), 1) + enc.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        if not len(order):
+            continue
+        starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+        mask = table["mask"].to_numpy()[order].view(np.uint64)[:, None]
+        value = table["value"].fill_null(NONE).to_numpy()[order]
+        heads = table.select([*scope, "word"]).take(pa.array(order[starts])).combine_chunks()
+        for bit in range(64):
+            inside = _bit(mask, bit)
+            known = inside & (value != NONE)
+            n = np.add.reduceat(inside.astype(np.int64), starts)
+            low = np.minimum.reduceat(np.where(known, value, np.iinfo(np.int64).max), starts)
+            high = np.maximum.reduceat(np.where(known, value, NONE), starts)
+            keep = np.flatnonzero(n)
+            own = heads.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(
+                [*(own[c].combine_chunks() if isinstance(own[c], pa.ChunkedArray) else own[c] for c in [*scope, "word"]), pa.array(np.full(len(keep), bit)), *(pa.array(x[keep]) for x in (n, low, high))],
+                names=[*scope, "word", "bit", "n", "low", "high"],
+            )
+
+
+def pairs(block: Block):
     """Everything reachable from each seed, breadth first, in bounded slices of seeds."""
     adj = Adjacency(block.n, block.src, block.dst)
     begin = np.searchsorted(block.code, block.code)
@@ -259,19 +411,4 @@ def pairs(block: Block, reduce: bool):
             fl, fn = fl[which], nxt
             step += 1
         ol, on, od = np.concatenate(out_l), np.concatenate(out_n), np.concatenate(out_d)
-        if not reduce:
-            yield block.out(on, start=lane_start[ol], pos=block.pos[on], dist=od)
-            continue
-        val = block.value[on]
-        known = val != NONE
-        low = np.full(len(lanes), np.iinfo(np.int64).max)
-        high = np.full(len(lanes), NONE)
-        np.minimum.at(low, ol[known], val[known])
-        np.maximum.at(high, ol[known], val[known])
-        yield block.out(
-            heads[lanes],
-            start=lane_start,
-            reached=np.bincount(ol, minlength=len(lanes)),
-            low=low,
-            high=high,
-        )
+        yield block.out(on, start=lane_start[ol], pos=block.pos[on], dist=od)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.columns import iso_timestamp, parse_parents
+from skein.operators.lineage import cut
 
 SLICE_ROWS = 1 << 16
 MINUTE_PREFIX = 16  # "YYYY-MM-DDTHH:MM": an order-preserving prefix of ISO text
@@ -26,35 +27,55 @@ def with_position(
     seq_col: str = "ingest_seq",
     out: str = "pos",
     prefix: int = MINUTE_PREFIX,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position in (timestamp text, ingest order) within the scope.
 
-    Rows are sliced by the first ``prefix`` characters of the text.
+    Rows are sliced by the first ``prefix`` characters of the text. Slices of more than
+    ``slice_rows`` rows, as tied timestamps make them, are ranked over sampled ranges instead.
     """
     scope = list(scope)
-    cut = events.withColumn("_slice", F.coalesce(F.substring(ts_col, 1, prefix), F.lit("")))
-    local = cut.withColumn(
-        "_rn",
-        F.row_number().over(Window.partitionBy(*scope, "_slice").orderBy(ts_col, seq_col)),
-    )
+    keys = [*scope, "_slice"]
+    sliced = events.withColumn("_slice", F.coalesce(F.substring(ts_col, 1, prefix), F.lit("")))
     before = (
         Window.partitionBy(*scope)
         .orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        cut.groupBy(*scope, "_slice")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+    counts = sliced.groupBy(*keys).agg(F.count("*").alias("_n"))
+    offsets = cut(counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    hot = offsets.filter(F.col("_n") > (slice_rows or SLICE_ROWS)).select(*keys)
+    crowded = not hot.isEmpty()
+    calm = sliced.join(hot, keys, "left_anti") if crowded else sliced
+    ranked = calm.withColumn(
+        "_rn",
+        F.row_number().over(Window.partitionBy(*keys).orderBy(ts_col, seq_col)),
     )
+    if crowded:
+        ranked = ranked.unionByName(_ranked_over_ranges(sliced.join(hot, keys, "left_semi"), keys, [ts_col, seq_col]))
     return (
-        local.join(offsets, [*scope, "_slice"])
+        ranked.join(offsets.drop("_n"), keys)
         .withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint"))
         .drop("_slice", "_rn", "_off")
     )
 
 
+def _ranked_over_ranges(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``_rn``, the rank by ``order`` within ``keys``, without bringing the rows of a key together.
+
+    Sampled ranges of (keys, order) are written sorted, one file each. A row's place in its
+    file, less its key's first place there, plus the key's rows in earlier files is its rank.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = cut(dealt).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    runs = placed.groupBy(*keys, "_file").agg(F.min("_row").alias("_first"), F.count("*").alias("_run"))
+    before = Window.partitionBy(*keys).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "_file", (F.coalesce(F.sum("_run").over(before), F.lit(0)) - F.col("_first") + 1).alias("_to"))
+    # A row for each key and file that has it: at most as many as files and keys together.
+    return placed.join(runs, [*keys, "_file"]).withColumn("_rn", F.col("_row") + F.col("_to")).drop("_file", "_row", "_to")
+
+
 def prepare(events: DataFrame) -> DataFrame:
     """Event table with ``pos``, parsed ``parents`` and a timestamp column ``ts``."""
     if "ingest_seq" not in events.columns:

@@ -415,11 +415,12 @@ def _reached(g: TraceGraph, starts: DataFrame, links: DataFrame, name: str) -> D
 def branch_collapse_pairs(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None):
     """(event, root) rows for every event that at least two roots reach."""
     g = graph_of(events, scope, graph)
-    found = cut(_root_pairs(g))
-    many = found.groupBy(*g.scope, "pos").agg(F.count("*").alias("k")).filter("k >= 2").drop("k")
+    many = _collapsed(g).select(*g.scope, "pos")
+    tops = root_nodes(g).select(*g.scope, "pos", F.col("pos").alias("start"))
     heads = _ids(g).select(*g.scope, F.col("pos").alias("start"), F.col("event_id").alias("root_id"))
     return (
-        found.join(many, [*g.scope, "pos"], "left_semi")
+        g.closure(tops, g.down())
+        .join(many, [*g.scope, "pos"], "left_semi")
         .join(heads, [*g.scope, "start"])
         .join(_ids(g), [*g.scope, "pos"])
         .select(*g.scope, "event_id", "root_id")
@@ -430,18 +431,14 @@ def branch_collapse(events, scope: Sequence[str] = SESSION, graph: TraceGraph |
     """Events that at least two roots reach, with the number of such roots."""
     g = graph_of(events, scope, graph)
     return (
-        _root_pairs(g)
-        .groupBy(*g.scope, "pos")
-        .agg(F.count("*").alias("incoming_branches"))
-        .filter("incoming_branches >= 2")
+        _collapsed(g)
         .join(_ids(g), [*g.scope, "pos"])
-        .select(*g.scope, "event_id", "tool_name", "incoming_branches")
+        .select(*g.scope, "event_id", "tool_name", F.col("seeds").alias("incoming_branches"))
     )
 
 
-def _root_pairs(g: TraceGraph) -> DataFrame:
-    tops = root_nodes(g).select(*g.scope, "pos", F.col("pos").alias("start"))
-    return g.closure(tops, g.down())
+def _collapsed(g: TraceGraph) -> DataFrame:
+    return g.arrivals(root_nodes(g).select(*g.scope, "pos"), g.down()).filter("seeds >= 2")
 
 
 def collapsed_sessions(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None):
@@ -565,31 +562,25 @@ def cycle_nodes(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None
     )
 
 
+def closing_links(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None) -> DataFrame:
+    """Parent references that :func:`break_cycles` drops: ``event_id, parent``."""
+    g = graph_of(events, scope, graph)
+    child = _ids(g).select(*g.scope, F.col("pos").alias("dst"), "event_id")
+    parent = _ids(g).select(*g.scope, F.col("pos").alias("src"), F.col("event_id").alias("parent"))
+    dropped = g.closing(g.down()).distinct()
+    return dropped.join(child, [*g.scope, "dst"]).join(parent, [*g.scope, "src"]).select(*g.scope, "event_id", "parent")
+
+
 def break_cycles(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None) -> DataFrame:
     """Drop parent references that close a cycle, in event order.
 
-    Each round the earliest event of every remaining cyclic group loses its parents inside
-    the group, which is what a scan over the events in order does. Acyclic input costs one
-    check and no round.
+    A scan over the events in order leaves no cycle through an event it has passed. So a
+    reference falls exactly if the event leads to that parent over events from itself on,
+    in the graph as it was. That is one pass of bits, whatever the number of cycles.
     """
     g = graph_of(events, scope, graph)
-    down = g.down()
-    dropped = None
-    while True:
-        group = cyclic_groups(g, down)
-        if group.isEmpty():
-            break
-        first = group.groupBy(*g.scope, "colour").agg(F.min("pos").alias("dst"))
-        inside = group.select(*g.scope, "colour", F.col("pos").alias("src"))
-        gone = cut(
-            down.join(first, [*g.scope, "dst"])
-            .join(inside, [*g.scope, "colour", "src"], "left_semi")
-            .select(*g.scope, "src", "dst")
-            .distinct()
-        )
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        down = cut(down.join(gone, [*g.scope, "src", "dst"], "left_anti"))
-    if dropped is None:
+    dropped = cut(g.closing(g.down()).distinct())
+    if dropped.isEmpty():
         return events
     names = _ids(g)
     lost = (

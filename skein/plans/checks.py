@@ -73,6 +73,23 @@ def broken_cycles(spark, sf):
     )
 
 
+@query(
+    "closing_links",
+    CYCLES.replace("WITH", "WITH RECURSIVE", 1).replace("RECURSIVE RECURSIVE", "RECURSIVE", 1)
+    + """,
+fw AS (  -- what an event leads to over events from itself on
+  SELECT session_id, cpos AS a, cpos AS b FROM de WHERE ppos >= cpos
+  UNION
+  SELECT fw.session_id, fw.a, de.cpos FROM fw JOIN de ON de.session_id = fw.session_id AND de.ppos = fw.b AND de.cpos >= fw.a)
+SELECT DISTINCT de.session_id, c.event_id, p.event_id AS parent FROM de
+JOIN fw ON fw.session_id = de.session_id AND fw.a = de.cpos AND fw.b = de.ppos
+JOIN td c ON c.session_id = de.session_id AND c.pos = de.cpos JOIN td p ON p.session_id = de.session_id AND p.pos = de.ppos
+WHERE de.ppos >= de.cpos""",
+)
+def closing_links(spark, sf):
+    return S.closing_links(trace_dirty(spark, sf))
+
+
 @query(
     "duplicate_ids",
     """SELECT CAST(user_id AS VARCHAR) AS session_id, props AS event_id, count(*) AS copies

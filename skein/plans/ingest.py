@@ -465,6 +465,11 @@ ld AS (SELECT *, last_value(eid IGNORE NULLS) OVER (PARTITION BY session_id ORDE
 SELECT d.session_id, d.eid AS event_id, p.last_done AS parent_event_id, d.kind AS tool_name, (d.ms - d.pms)::DOUBLE AS duration_ms
 FROM ld d JOIN ld p ON p.session_id = d.session_id AND p.pos = d.ppos WHERE d.eid IS NOT NULL"""
 )
+HOOKS_WHOLE = HOOKS.replace(
+    "d.kind AS tool_name,",
+    """d.kind AS tool_name, 'tool_call' AS event_type, '{"command":"ls"}' AS tool_input, 'fine' AS tool_output, 'claude-code' AS agent,
+strftime(make_timestamp(d.ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') AS timestamp,""",
+)
 
 
 def hook_records(spark, sf):
@@ -573,7 +578,7 @@ def read_events(spark, sf):
     """Events written as JSON lines and read back."""
     path = fresh_path(spark, "events")
     raw.write_events(trace_native(spark, sf), path)
-    back = raw.read_events(spark, f"{path}/*/*.json")
+    back = raw.read_events(spark, path)
     return back.select(
         "session_id", "event_id", "tool_name", "timestamp", "duration_ms", F.coalesce("parent_event_id", F.lit("")).alias("parents")
     )

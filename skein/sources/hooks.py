@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.ordering import running_last
@@ -25,6 +25,21 @@ HOOK_INPUT_KEYS = (
 OUTPUT_LIMIT = 500
 
 
+def hook_input(name: str) -> Column:
+    """Kept arguments of a hook record, as JSON text."""
+    return F.coalesce(kept_keys(F.try_parse_json(name), HOOK_INPUT_KEYS), F.lit("{}"))
+
+
+def hook_output(name: str) -> Column:
+    """Start of the output, or of the whole result where it names none."""
+    out = F.try_variant_get(F.try_parse_json(name), "$.output", "string")
+    return F.substring(F.coalesce(out, name), 1, OUTPUT_LIMIT)
+
+
+def hook_time(name: str) -> Column:
+    return F.date_format(F.timestamp_millis(name), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+
 def pair_hooks(raw: DataFrame) -> DataFrame:
     """Completed calls: each after-record with the latest open before-record of its tool.
 
@@ -49,7 +64,6 @@ def pair_hooks(raw: DataFrame) -> DataFrame:
     pres = df.filter(is_pre).select(
         "session_id", F.col("line_no").alias("pre_line"), F.col("last_done").alias("parent_event_id")
     )
-    out = F.try_variant_get(F.try_parse_json("tool_result"), "$.output", "string")
     events = (
         df.filter("event_id IS NOT NULL")
         .withColumn("pre_line", F.col("before.pre_line"))
@@ -61,9 +75,9 @@ def pair_hooks(raw: DataFrame) -> DataFrame:
             "event_id",
             "parent_event_id",
             "tool_name",
-            F.coalesce(kept_keys(F.try_parse_json("tool_input"), HOOK_INPUT_KEYS), F.lit("{}")).alias("tool_input"),
-            F.substring(F.coalesce(out, "tool_result"), 1, OUTPUT_LIMIT).alias("tool_output"),
-            F.date_format(F.timestamp_millis("arrived_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"),
+            hook_input("tool_input").alias("tool_input"),
+            hook_output("tool_result").alias("tool_output"),
+            hook_time("arrived_ms").alias("timestamp"),
             (F.col("arrived_ms") - F.col("before.pre_ms")).cast("double").alias("duration_ms"),
             F.lit("claude-code").alias("agent"),
         )

@@ -7,6 +7,8 @@ so a repeated ingest gives the same ids.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +19,19 @@ LINE_DIGITS = 20
 SLICE_DIGITS = 15  # slices of 100,000 lines
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text logs; the file name without suffix is the session."""
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of text logs with their ``file``; its name without suffix is the session."""
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         name.alias("session_id"),
+        F.col("_metadata.file_path").alias("file"),
         "value",
         F.lpad(F.col("_metadata.file_block_start").cast("string"), LINE_DIGITS, "0").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
     # Row ids grow inside a block of a file; the block's offset orders the blocks.
     numbered = with_position(lines, ["session_id"], "_block", "_row", "line_no", LINE_DIGITS)
-    return numbered.select("session_id", (F.col("line_no") - 1).alias("line_no"), "value")
+    return numbered.select("session_id", (F.col("line_no") - 1).alias("line_no"), "value", "file")
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -95,17 +98,50 @@ def block_chain(col: str, order: str) -> Column:
     return F.lag(col).over(Window.partitionBy("session_id", "line_no").orderBy(order))
 
 
+#: Room for the rows of one commit in the order of a store: order = commit * 2^40 + place.
+COMMIT_BITS = 40
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path of a folder, wherever it lies."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
+
+
+def commits(spark: SparkSession, path: str) -> dict[str, tuple[int, bool]]:
+    """Commits of a store by writer: number, and whether its files are complete."""
+    fs, folder = _folder(spark, path)
+    found = {}
+    if fs.exists(folder):
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("commit="):
+                number, _, writer = name.removeprefix("commit=").partition(".")
+                done = fs.exists(status.getPath().suffix("/_SUCCESS"))
+                found[writer] = (int(number), done)
+    return found
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Stored event lines; absent fields are null, the session defaults to the file name.
 
-    The order is the stored ``ingest_seq``; lines without one, as other writers leave them,
-    follow the order of their file.
+    ``path`` is a store that :func:`write_events` made, or event files of other writers. The
+    order is (commit, stored order) in a store; lines without an order follow their file.
+    Commits without their success mark are left out.
     """
-    lines = read_lines(spark, path)
+    own = commits(spark, path) if not any(c in path for c in "*?[{") else {}
+    done = [f"{path.rstrip('/')}/commit={n:012d}.{writer}" for writer, (n, whole) in sorted(own.items()) if whole]
+    if own and not done:
+        return conform_events(spark.createDataFrame([], EVENT_SCHEMA).withColumn("ingest_seq", F.lit(0).cast("bigint")))
+    lines = read_lines(spark, done or path)
     fields = F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE"})
-    seq = F.get_json_object("value", "$.ingest_seq").cast("bigint")
+    seq = F.coalesce(F.get_json_object("value", "$.ingest_seq").cast("bigint"), "line_no")
+    number = F.coalesce(F.try_to_number(F.regexp_extract("file", r"/commit=([0-9]{12})\.[^/]*/", 1), F.lit("9" * 12)).cast("bigint"), F.lit(0))
     rows = lines.filter(F.trim("value") != "").select(
-        F.col("session_id").alias("_file"), F.coalesce(seq, "line_no").alias("line_no"), fields.alias("e")
+        F.col("session_id").alias("_file"),
+        (F.shiftleft(number, COMMIT_BITS) + seq).alias("line_no"),
+        fields.alias("e"),
     )
     return conform_events(
         rows.filter("e.event_id IS NOT NULL").select(
@@ -116,13 +152,20 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_events(events: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append events in folders per session; JSON lines leave out nulls.
+def write_events(events: DataFrame, path: str, writer: str | None = None) -> int:
+    """Append events to a store as one commit, in folders per session; JSON lines leave out nulls.
+
+    Commits are numbered as they come, so what is appended later is later in order, also
+    where timestamps are tied. A commit counts once its success mark is written. ``writer``
+    names a commit that may be repeated: written again, it keeps its number and replaces what
+    is there. One writer appends at a time; two that begin together may take one number, and
+    then share its place in order.
 
     Rows are spread by ranges of (session, order), so a session with very many events is not
     written by one task. The order itself is stored as ``ingest_seq`` (``pos`` where it is
-    known), so sessions with tied timestamps are read back as they were.
+    known). Returns the commit's number.
     """
+    spark = events.sparkSession
     known = conform_events(events)
     order = [F.col(c) for c in ("pos", "ingest_seq") if c in known.columns]
     rows = known.select(*EVENT_FIELDS, F.coalesce(*order, F.lit(None).cast("bigint")).alias("ingest_seq"))
@@ -132,4 +175,9 @@ def write_events(events: DataFrame, path: str, fmt: str = "json") -> None:
     )
     rows = rows.repartitionByRange("session_id", "ingest_seq", "timestamp")
     rows = rows.sortWithinPartitions("session_id", "ingest_seq", "timestamp")
-    rows.write.mode("append").partitionBy("session").format(fmt).save(path)
+    there = commits(spark, path)
+    writer = writer or uuid.uuid4().hex
+    number = there[writer][0] if writer in there else 1 + max((n for n, _ in there.values()), default=0)
+    target = f"{path.rstrip('/')}/commit={number:012d}.{writer}"
+    rows.write.mode("overwrite").partitionBy("session").json(target)
+    return number

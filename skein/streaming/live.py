@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-import skein.streaming as package
 from skein.functions.columns import fingerprint, iso_timestamp, parse_parents
 from skein.operators.lineage import fresh_path
-from skein.schema import EVENT_SCHEMA
+from skein.schema import EVENT_FIELDS, EVENT_SCHEMA, conform_events
+from skein.sources.hooks import hook_input, hook_output, hook_time
+from skein.sources.raw import write_events
+from skein.streaming import state
+from skein.streaming.state import Chaining, Pairing
 
-# Executors need not have this package installed: state functions travel with the task.
-cloudpickle.register_pickle_by_value(package)
+# Executors need not have this package installed: state classes travel with the task.
+cloudpickle.register_pickle_by_value(state)
 
 
 def stream_events(spark: SparkSession, path: str, fmt: str = "json", schema=EVENT_SCHEMA) -> DataFrame:
@@ -24,14 +25,19 @@ def stream_events(spark: SparkSession, path: str, fmt: str = "json", schema=EVEN
     return spark.readStream.schema(schema).format(fmt).load(path)
 
 
-def append_events(stream: DataFrame, path: str, checkpoint: str, fmt: str = "json"):
-    """Start appending a stream of events to files."""
-    return (
-        stream.writeStream.format(fmt)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+def append_events(stream: DataFrame, path: str, checkpoint: str):
+    """Writer that appends a stream of events to a store; start it with a trigger of your own.
+
+    Each micro-batch is one commit of the store. A batch that is repeated after a restart
+    takes the place of its first attempt, so no line is there twice (see
+    :func:`skein.sources.raw.write_events`).
+    """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def commit(batch: DataFrame, number: int) -> None:
+        write_events(batch, path, writer=f"{writer}.{number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(commit)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -53,80 +59,63 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 PAIR_OUT = (
-    "session_id string, event_id string, parent_event_id string, tool_name string, duration_ms double"
+    "session_id string, event_id string, parent_event_id string, tool_name string, tool_input string, "
+    "tool_output string, timestamp string, duration_ms double, agent string"
 )
-PAIR_STATE = "last string, tools array<string>, ms array<bigint>, parents array<string>"
-
-
-def _pairing(ttl_ms: int | None):
-    """State function that matches one session's records."""
-
-    def pair(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, tools, ms, parents = state.get if state.exists else (None, [], [], [])
-        waiting = {t: (m, p) for t, m, p in zip(tools, ms, parents)}
-        batch = pd.concat(list(chunks)).sort_values("line_no")
-        done = []
-        for r in batch.itertuples(index=False):
-            if r.hook_event_name == "PreToolUse":
-                waiting[r.tool_name] = (int(r.arrived_ms), last)
-            elif r.hook_event_name == "PostToolUse" and r.tool_name in waiting:
-                begun, parent = waiting.pop(r.tool_name)
-                if ttl_ms is not None and r.arrived_ms - begun > ttl_ms:
-                    continue
-                last = f"{key[0]}:{r.line_no}"
-                done.append((key[0], last, parent, r.tool_name, float(r.arrived_ms - begun)))
-        kept = {
-            t: v for t, v in waiting.items() if ttl_ms is None or batch.arrived_ms.max() - v[0] <= ttl_ms
-        }
-        state.update((last, list(kept), [m for m, _ in kept.values()], [p for _, p in kept.values()]))
-        yield pd.DataFrame(
-            done, columns=["session_id", "event_id", "parent_event_id", "tool_name", "duration_ms"]
-        )
 
-    return pair
 
-
-def stream_pair_hooks(raw: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Completed calls from a stream of hook records.
-
-    Input columns as for the batch form. Rows of one micro-batch are taken in arrival
-    order. A before-record that waits longer than ``ttl_ms`` (by arrival time) is forgotten.
-    """
-    return (
-        raw.select("session_id", "line_no", "arrived_ms", "hook_event_name", "tool_name")
-        .groupBy("session_id")
-        .applyInPandasWithState(
-            _pairing(ttl_ms), PAIR_OUT, PAIR_STATE, "append", GroupStateTimeout.NoTimeout
-        )
+def _keeps_state(spark: SparkSession) -> None:
+    """The state store that named states, timers and TTL need."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
 
 
-CHAIN_OUT = "session_id string, event_id string, parent_event_id string, tool_name string"
-
+def stream_pair_hooks(raw: DataFrame, ttl_ms: int | None = None, delay: str | None = "1 minute") -> DataFrame:
+    """Completed calls from a stream of hook records, as whole events.
 
-def _chain(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Link one session's arriving events; state: the last event."""
-    last = state.get[0] if state.exists else None
-    batch = pd.concat(list(chunks)).sort_values("ingest_seq")
-    out = []
-    for r in batch.itertuples(index=False):
-        if r.new_group:
-            last = None
-        out.append((key[0], r.event_id, r.parent_event_id or last, r.tool_name))
-        last = r.event_id
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["session_id", "event_id", "parent_event_id", "tool_name"])
+    Input columns and results as for the batch form. Records of one micro-batch are taken in
+    arrival order. A before-record that waits longer than ``ttl_ms`` is forgotten: by arrival
+    time, once the watermark (``delay`` behind the latest arrival) has passed it, or by the
+    clock where ``delay`` is None. Records later than the watermark are dropped.
+    """
+    spark = raw.sparkSession
+    _keeps_state(spark)
+    by_event_time = delay is not None
+    rows = raw.filter(F.col("hook_event_name").isin("PreToolUse", "PostToolUse")).select(
+        "session_id",
+        "line_no",
+        "arrived_ms",
+        "hook_event_name",
+        "tool_name",
+        hook_input("tool_input").alias("tool_input"),
+        hook_output("tool_result").alias("tool_output"),
+        hook_time("arrived_ms").alias("timestamp"),
+        F.lit("claude-code").alias("agent"),
+    )
+    if by_event_time and ttl_ms is not None:
+        rows = rows.withColumn("arrived", F.timestamp_millis("arrived_ms")).withWatermark("arrived", delay)
+    mode = "None" if ttl_ms is None else "EventTime" if by_event_time else "ProcessingTime"
+    paired = rows.groupBy("session_id").transformWithStateInPandas(
+        Pairing(ttl_ms, by_event_time), PAIR_OUT, "Append", mode
+    )
+    return conform_events(paired)
 
 
-def stream_chain(events: DataFrame) -> DataFrame:
-    """Give arriving events the session's previous event as parent.
+def stream_chain(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Give arriving events the session's previous event as parent; events stay whole.
 
-    A recorded parent wins. ``new_group`` starts a new chain at its event.
+    A recorded parent wins. ``new_group`` starts a new chain at its event, and so does an
+    event that comes more than ``idle_ms`` (by the clock) after the session's last one.
     """
-    return (
-        events.select("session_id", "event_id", "parent_event_id", "tool_name", "ingest_seq", "new_group")
-        .groupBy("session_id")
-        .applyInPandasWithState(_chain, CHAIN_OUT, "last string", "append", GroupStateTimeout.NoTimeout)
+    _keeps_state(events.sparkSession)
+    known = conform_events(events)
+    rows = known.select(*EVENT_FIELDS, F.col("ingest_seq").cast("bigint").alias("ingest_seq"), "new_group")
+    columns = [*EVENT_FIELDS, "ingest_seq"]
+    schema = ", ".join(f"{c} {t}" for c, t in EVENT_FIELDS.items()) + ", ingest_seq bigint"
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        Chaining(columns, idle_ms), schema, "Append", "None" if idle_ms is None else "ProcessingTime"
     )
 
 
@@ -140,24 +129,41 @@ def stream_dedup(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def stream_transitions(
-    events: DataFrame, known: DataFrame, window: str = "1 day", delay: str = "1 day"
-) -> DataFrame:
-    """Counts of (parent tool, tool) per time window of the child.
+def stream_links(events: DataFrame, delay: str = "1 day", horizon: str = "1 day") -> DataFrame:
+    """Recorded links between events of one stream: time and tool of the child, tool of the parent.
 
-    ``known`` is the stored event table parents are looked up in.
+    A parent may arrive before or after its child. Both sides wait for each other as long as
+    their times differ by at most ``horizon``; after that, and the ``delay`` of the
+    watermark, their state ends.
     """
-    child = events.select(
+    timed = events.withColumn("ts", iso_timestamp("timestamp"))
+    # The watermark stands before the links are taken, so events without parents move it, too.
+    child = timed.withWatermark("ts", delay).select(
         "session_id",
-        iso_timestamp("timestamp").alias("ts"),
+        "ts",
         F.col("tool_name").alias("to_tool"),
         F.explode(parse_parents("parent_event_id")).alias("parent"),
-    ).withWatermark("ts", delay)
-    parents = known.select(
-        "session_id", F.col("event_id").alias("parent"), F.col("tool_name").alias("from_tool")
     )
+    parents = timed.select(
+        F.col("session_id").alias("parent_session"),
+        F.col("event_id").alias("parent_id"),
+        F.col("tool_name").alias("from_tool"),
+        F.col("ts").alias("parent_ts"),
+    ).withWatermark("parent_ts", delay)
+    near = F.expr(f"parent_ts >= ts - INTERVAL {horizon} AND parent_ts <= ts + INTERVAL {horizon}")
+    same = (F.col("session_id") == F.col("parent_session")) & (F.col("parent") == F.col("parent_id"))
+    return child.join(parents, same & near).select("session_id", "ts", "from_tool", "to_tool")
+
+
+def stream_transitions(
+    events: DataFrame, window: str = "1 day", delay: str = "1 day", horizon: str = "1 day"
+) -> DataFrame:
+    """Counts of (parent tool, tool) per time window of the child; parents come from the same stream.
+
+    In append mode a window appears once no link can fall into it any more.
+    """
     return (
-        child.join(parents, ["session_id", "parent"])
+        stream_links(events, delay, horizon)
         .groupBy(F.window("ts", window).alias("w"), "from_tool", "to_tool")
         .agg(F.count("*").alias("count"))
         .select(F.col("w.start").alias("window_start"), "from_tool", "to_tool", "count")

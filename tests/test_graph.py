@@ -128,7 +128,7 @@ def tangled(make):
 
 @pytest.mark.parametrize(
     "name",
-    ["session_stats", "components", "branch_persistence", "frontier_width"],
+    ["session_stats", "components", "branch_persistence", "frontier_width", "find_roots", "branch_collapse", "closing_links"],
 )
 def test_blocks_agree(tangled, name):
     """Cutting sessions into small blocks changes nothing."""
@@ -145,3 +145,77 @@ def test_long_chain(make):
     g = TraceGraph(ev, block_rows=60)
     assert S.node_depths(ev, graph=g).agg({"depth": "max"}).first()[0] == n - 1
     assert E.roots(ev).count() == 1
+
+
+def random_sessions(seed, sessions, size, ahead):
+    rnd = random.Random(seed)
+    out = {}
+    for s in range(sessions):
+        nodes = []
+        for i in range(size):
+            ps = {rnd.randrange(i) for _ in range(rnd.choice((0, 1, 1, 2)))} if i else set()
+            if rnd.random() < ahead:
+                ps.add(rnd.randrange(size))
+            nodes.append((f"e{i}", rnd.choice("ABC"), ",".join(f"e{p}" for p in sorted(ps))))
+        out[f"s{s}"] = nodes
+    return out
+
+
+def scan_breaks(nodes):
+    """References that a scan in event order drops, by searching back from each parent."""
+    graph = {e: [p for p in ps.split(",") if p] for e, _, ps in nodes}
+    lost = set()
+    for e, _, _ in nodes:
+        kept = []
+        for p in graph[e]:
+            seen, todo = set(), [p]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += graph.get(x, [])
+            if e in seen:
+                lost.add((e, p))
+            else:
+                kept.append(p)
+        graph[e] = kept
+    return lost
+
+
+@pytest.mark.parametrize("block_rows", [None, 7])
+def test_dropped_references(make, block_rows):
+    """Rings, overlapping rings and loops, reference by reference; whole blocks and small ones."""
+    sessions = random_sessions(11, 12, 14, 0.35)
+    sessions["ring"] = [("a", "A", "c"), ("b", "A", "a"), ("c", "A", "b,e"), ("d", "A", "c"), ("e", "A", "d,e")]
+    ev = make(sessions)
+    got = {}
+    for r in S.closing_links(ev, graph=TraceGraph(ev, block_rows=block_rows)).collect():
+        got.setdefault(r.session_id, set()).add((r.event_id, r.parent))
+    want = {s: lost for s, nodes in sessions.items() if (lost := scan_breaks(nodes))}
+    assert got == want and len(want) > 6
+    kept = S.break_cycles(ev, graph=TraceGraph(ev, block_rows=block_rows))
+    assert S.cycle_nodes(kept).count() == 0
+
+
+def test_few_large_sessions_leave_the_others_on_one_pass(make):
+    """Sessions larger than a block go over blocks, the others do not, and results are the same."""
+    sessions = random_sessions(3, 3, 40, 0.0)
+    for s, nodes in random_sessions(4, 9, 6, 0.1).items():
+        sessions[f"small-{s}"] = nodes
+    ev = make(sessions).cache()
+    for fn in (S.session_stats, S.find_roots, S.branch_collapse, S.branch_persistence, S.closing_links, S.node_depths, S.components):
+        whole, mixed = TraceGraph(ev), TraceGraph(ev, block_rows=16)
+        assert mixed.big is not None and mixed.big.count() == 3
+        assert sorted(map(tuple, fn(ev, graph=whole).collect())) == sorted(map(tuple, fn(ev, graph=mixed).collect())), fn.__name__
+
+
+def test_more_seeds_than_bits(make):
+    """More than 512 roots in a session: counts over several passes of words."""
+    n = 700
+    nodes = [(f"r{i}", "A", "") for i in range(n)] + [("end", "B", ",".join(f"r{i}" for i in range(n)))]
+    ev = make({"s": nodes, "t": nodes[:3]})
+    for block_rows in (None, 300):
+        g = TraceGraph(ev, block_rows=block_rows)
+        assert [(r.event_id, r.incoming_branches) for r in S.branch_collapse(ev, graph=g).collect()] == [("end", n)]
+        down = S.find_roots(ev, graph=g)
+        assert {(r.session_id, r.downstream_count): r["count"] for r in down.groupBy("session_id", "downstream_count").count().collect()} == {("s", 1): n, ("t", 0): 3}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein import schema
 from skein.functions.columns import valid_session_id
 from skein.operators.corpus import set_digest
+from skein.operators.lineage import cut
 from skein.operators.metadata import complete, present
 from skein.operators.ordering import with_position
 
@@ -70,7 +71,7 @@ PROHIBITED_KEYS = (
     "shell",
     "subprocess",
 )
-VOLATILE_KEYS = ("experiment_id", "generated_at", "output_dir", "queue_hash")
+VOLATILE_KEYS = ("experiment_id", "generated_at", "output_dir", "queue_hash", "validation")
 DENSITY_TARGET = 0.1
 SCARCE = 10
 DOMINANT_SHARE = 0.6
@@ -395,10 +396,10 @@ def plan_scenarios(gaps: DataFrame) -> DataFrame:
 def lint_plans(plans: DataFrame) -> DataFrame:
     """Rule violations of plans given as (plan_id, plan JSON): rows (plan_id, issue).
 
-    Prohibited keys are looked for at any depth: in JSON text a key is the only string
-    that follows ``{`` or ``,`` and precedes a colon.
+    Prohibited keys are looked for at any depth; each place that has one is an issue. A plan
+    that is no JSON breaks every rule on fields.
     """
-    v = F.parse_json("plan")
+    v = F.try_parse_json("plan")
 
     def get(path: str, dtype: str) -> Column:
         return F.try_variant_get(v, path, dtype)
@@ -434,32 +435,67 @@ def lint_plans(plans: DataFrame) -> DataFrame:
             F.lit(" must be descriptor_only"),
         ),
     )
-    keys = "|".join(PROHIBITED_KEYS)
-    hits = F.array_distinct(
-        F.regexp_extract_all("plan", F.lit(rf'[{{,]\s*"({keys})"\s*:'), F.lit(1))
-    )
-    hits = F.transform(hits, lambda k: F.concat(F.lit("prohibited execution key: "), k))
     empty = F.expr("cast(array() as array<string>)")
-    return plans.select("plan_id", F.explode(F.concat(empty, *checks, loose, hits)).alias("issue"))
+    fields = plans.select("plan_id", F.explode(F.concat(empty, *checks, loose)).alias("issue"))
+    hits = plan_entries(plans).filter(F.col("key").isin(*PROHIBITED_KEYS))
+    return fields.unionByName(hits.select("plan_id", F.concat(F.lit("prohibited execution key: "), "path").alias("issue")))
+
+
+def plan_entries(plans: DataFrame, skipped: Sequence[str] = ()) -> DataFrame:
+    """Every value inside each plan: ``plan_id, plan, path, steps, key, leaf``.
+
+    Objects and arrays are opened level by level, as deep as the deepest plan goes. ``path``
+    reads like ``$.a[0].b``, ``steps`` tells keys from places; ``key`` is null in arrays and
+    ``leaf`` (JSON text) in objects and arrays that hold something. What lies under a
+    ``skipped`` key is left out.
+    """
+    spark = plans.sparkSession
+    level = plans.select(
+        "plan_id", "plan", F.lit("$").alias("path"), F.expr("cast(array() AS array<string>)").alias("steps"), F.try_parse_json("plan").alias("v")
+    )
+    found = None
+    while True:
+        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("plan_id", "plan", "path", "steps", "pos", "key", "value")
+        if skipped:
+            inside = inside.filter(F.col("key").isNull() | ~F.col("key").isin(*skipped))
+        in_array = F.col("key").isNull()
+        kind = F.schema_of_variant("value")
+        full = kind.rlike("^(OBJECT<[^>]|ARRAY<(?!VOID>$))")
+        inside = inside.select(
+            "plan_id",
+            "plan",
+            F.when(in_array, F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), "key")).alias("path"),
+            F.array_append("steps", F.when(in_array, F.format_string("[%09d", "pos")).otherwise(F.concat(F.lit("."), "key"))).alias("steps"),
+            "key",
+            F.when(~full, F.to_json("value")).alias("leaf"),
+            F.when(full, F.to_json("value")).alias("rest"),
+        )
+        inside = cut(inside)
+        rows = inside.drop("rest")
+        found = rows if found is None else found.unionByName(rows)
+        deeper = inside.filter("rest IS NOT NULL")
+        if deeper.isEmpty():
+            return found
+        level = deeper.select("plan_id", "plan", "path", "steps", F.parse_json("rest").alias("v"))
 
 
-def plan_signature(plan: Column | str) -> Column:
-    """Digest of a plan without its volatile fields; key order does not matter."""
-    text = F.to_json(F.parse_json(plan))
-    for key in VOLATILE_KEYS:
-        text = F.regexp_replace(text, rf'"{key}":("(?:[^"\\]|\\.)*"|[^,{{}}\[\]"]+),?', "")
-    text = F.regexp_replace(text, r'"validation":\{[^{}]*\},?', "")
-    return F.sha2(F.regexp_replace(text, r",\}", "}"), 256)
+def plan_signatures(plans: DataFrame) -> DataFrame:
+    """``plan_id, plan, signature``: digest of each plan without volatile fields at any depth; key order does not matter."""
+    leaves = plan_entries(plans, VOLATILE_KEYS).filter("leaf IS NOT NULL").select("plan_id", "plan", "steps", "leaf").distinct()
+    # A plan's leaves come from one text, so they fit where the text did.
+    own = leaves.groupBy("plan_id", "plan").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("steps", "leaf")))), 256).alias("signature"))
+    bare = F.sha2(F.lit(""), 256)
+    return plans.select("plan_id", "plan").join(own, ["plan_id", "plan"], "left").withColumn("signature", F.coalesce("signature", bare))
 
 
 def validate_plans(plans: DataFrame, gaps: DataFrame) -> DataFrame:
     """Is each plan well formed, unique and still needed?"""
-    v = F.parse_json("plan")
-    df = plans.select(
+    v = F.try_parse_json("plan")
+    df = plan_signatures(plans).select(
         "plan_id",
         F.coalesce(F.try_variant_get(v, "$.target_subset", "string"), F.lit("unknown")).alias("subset_id"),
         F.coalesce(F.try_variant_get(v, "$.required_sessions", "bigint"), F.lit(0)).alias("required_sessions"),
-        plan_signature("plan").alias("signature"),
+        "signature",
     )
     copies = df.groupBy("signature").agg((F.count("*") - 1).alias("duplicates"))
     bad = lint_plans(plans).groupBy("plan_id").agg(F.count("*").alias("issues"))

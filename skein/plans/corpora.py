@@ -651,8 +651,13 @@ def plans(spark, sf):
         F.array(scenario).alias("bde_scenarios"),
         F.when(k % 21 == 0, F.struct(F.struct(F.lit("ls").alias("shell")).alias("deep"))).alias("extra"),
         F.concat(F.lit('{"command": '), (k % 2).cast("string")).alias("note"),
+        F.struct(F.struct(k.alias("run")).alias("of"), F.lit("ok").alias("state")).alias("validation"),
+        F.when(k % 14 == 0, F.array(F.create_map(F.lit("cmd"), F.lit("a")), F.create_map(F.lit("shell"), F.lit("b")))).alias("steps"),
     )
-    return table(spark, sf, "customer").select(k.cast("string").alias("plan_id"), F.to_json(doc).alias("plan"))
+    text = F.to_json(doc)
+    escaped = F.concat(F.expr("left(plan, length(plan) - 1)"), F.lit(',"\\u0062ash":1}'))
+    named = table(spark, sf, "customer").select(k.cast("string").alias("plan_id"), text.alias("plan"), k.alias("k"))
+    return named.select("plan_id", F.when(F.col("k") % 26 == 0, escaped).otherwise(F.col("plan")).alias("plan"))
 
 
 PLANS = """
@@ -662,7 +667,9 @@ pk AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS plan_id,
 li AS (SELECT plan_id, 'execution_mode must be external_only' AS issue FROM pk WHERE k % 10 = 0
   UNION ALL SELECT plan_id, 'must_not_execute must be true' FROM pk WHERE k % 15 = 0
   UNION ALL SELECT plan_id, 'scenario s1 must be descriptor_only' FROM pk WHERE k % 6 = 0
-  UNION ALL SELECT plan_id, 'prohibited execution key: shell' FROM pk WHERE k % 21 = 0)
+  UNION ALL SELECT plan_id, 'prohibited execution key: $.extra.deep.shell' FROM pk WHERE k % 21 = 0
+  UNION ALL SELECT plan_id, 'prohibited execution key: $.steps' || unnest(['[0].cmd', '[1].shell']) FROM pk WHERE k % 14 = 0
+  UNION ALL SELECT plan_id, 'prohibited execution key: $.bash' FROM pk WHERE k % 26 = 0)
 """
 
 
@@ -675,7 +682,7 @@ def lint_plans(spark, sf):
     "validate_plans",
     UNITS
     + f""", {PLANS},
-sg AS (SELECT *, count(*) OVER (PARTITION BY k % 4, k % 97, k % 10 = 0, k % 15 = 0, k % 6 = 0, k % 21 = 0, k % 2) - 1 AS duplicates FROM pk),
+sg AS (SELECT *, count(*) OVER (PARTITION BY k % 4, k % 97, k % 10 = 0, k % 15 = 0, k % 6 = 0, k % 21 = 0, k % 2, k % 14 = 0, k % 26 = 0) - 1 AS duplicates FROM pk),
 pv_ AS (SELECT s.plan_id, s.subset_id, s.required_sessions, g.missing_sessions, s.duplicates, coalesce(l.n, 0) AS issues,
    g.missing_sessions > 0 AND s.required_sessions > 0 AS sampling_needed
    FROM sg s JOIN ga g USING (subset_id) LEFT JOIN (SELECT plan_id, count(*) AS n FROM li GROUP BY 1) l USING (plan_id))

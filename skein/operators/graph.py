@@ -401,8 +401,7 @@ class TraceGraph:
             front = cut(arriving.join(known, [*keys, "word"], "left").select(*keys, "word", new.alias("mask")).filter("mask <> 0"))
             if front.isEmpty():
                 return found, lanes
-            settled = cut(settle(front))
-            fresh = settled.join(known, [*keys, "word"], "left").select(*keys, "word", new.alias("mask")).filter("mask <> 0")
+            fresh = settle(front).join(known, [*keys, "word"], "left").select(*keys, "word", new.alias("mask")).filter("mask <> 0")
             fresh = cut(fresh)
             found = cut(found.unionByName(fresh).groupBy(*keys, "word").agg(F.bit_or("mask").alias("mask")))
 

@@ -93,19 +93,16 @@ SCALAR_FACTS = (
     "multi_root_sessions",
 )
 
+# Which lane a task source points to.
 LANE_HINTS = {
-    "demo": "demo-lane candidate (keep separate from controlled_benchmark)",
-    "real_work": "native candidate",
-    "proxy": "proxy-mediated candidate",
-    "routed_prompt_intervention": "routed-prompt intervention lane (keep separate from native)",
-    "superpowers_workflow_intervention": (
-        "superpowers workflow intervention lane (keep separate from native)"
-    ),
-    "controlled_prompt_morphology": (
-        "controlled prompt morphology lane (keep separate from native)"
-    ),
+    "demo": "demo",
+    "real_work": "native",
+    "proxy": "proxy",
+    "routed_prompt_intervention": "routed_prompt",
+    "superpowers_workflow_intervention": "superpowers_workflow",
+    "controlled_prompt_morphology": "prompt_morphology",
 }
-NO_HINT = "manual classification needed"
+NO_HINT = "by_hand"
 
 
 # -- digests -----------------------------------------------------------------

@@ -283,7 +283,12 @@ def lane_counts(sidecar: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def classify_unlabeled(sidecar: DataFrame, min_confidence: str = "high") -> DataFrame:
-    """Proposed lane, confidence and evidence (or the skip reason) of sessions without one."""
+    """Proposed lane, confidence and evidence (or the skip reason) of sessions without one, as codes.
+
+    Evidence: ``origin`` alone, ``native_real_work_unmarked`` or ``native_unmarked``. A session
+    is skipped as ``marked`` if it carries trace tags, and as ``no_rule`` else; the fields that
+    the rules look at are in the row.
+    """
     df = complete(sidecar)
     source, origin = F.coalesce("task_source", F.lit("")), F.coalesce("data_origin", F.lit(""))
     lane = F.coalesce("intervention_lane", F.lit(""))
@@ -300,35 +305,20 @@ def classify_unlabeled(sidecar: DataFrame, min_confidence: str = "high") -> Data
         proposed.isNotNull(), F.when(likely, "medium").otherwise("high")
     )
     evidence = (
-        F.when(origin.isin("external_trajectory", "controlled_benchmark"), F.concat(F.lit("data_origin="), origin))
-        .when(
-            native & ~marked,
-            F.concat(F.lit("data_origin=native, task_source="), source, F.lit(", no intervention markers")),
-        )
-        .when(likely & ~marked, F.lit("data_origin=native, no task_source, no intervention markers"))
-    )
-
-    def shown(col: Column) -> Column:
-        return F.when(col == "", "unset").otherwise(col)
-
-    runtime = F.coalesce("runtime", F.lit(""))
-    reason = F.when(
-        proposed.isNull(),
-        F.when(native, "has intervention markers despite native+real_work")
-        .when(likely, "native data_origin but has intervention markers")
-        .otherwise(
-            F.concat(
-                F.lit("no matching rule (do="), origin, F.lit(", ts="), shown(source),
-                F.lit(", rt="), shown(runtime), F.lit(")"),
-            )
-        ),
+        F.when(origin.isin("external_trajectory", "controlled_benchmark"), "origin")
+        .when(native & ~marked, "native_real_work_unmarked")
+        .when(likely & ~marked, "native_unmarked")
     )
+    reason = F.when(proposed.isNull(), F.when(native | likely, "marked").otherwise("no_rule"))
     return open_rows.select(
         "session_id",
         proposed.alias("proposed_lane"),
         confidence.alias("confidence"),
         evidence.alias("evidence"),
         reason.alias("skip_reason"),
+        "data_origin",
+        "task_source",
+        "runtime",
     )
 
 

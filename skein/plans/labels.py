@@ -209,13 +209,14 @@ def lane_counts(spark, sf):
 
 
 CLASSIFY = f"""WITH {LABELS}, cl AS (
-  SELECT session_id, coalesce(data_origin, '') AS o, task_source AS s, coalesce(runtime, 'unset') AS rt, tags FROM sc
+  SELECT session_id, coalesce(data_origin, '') AS o, task_source AS s, runtime AS rt, tags FROM sc
   WHERE task_source <> 'routed_prompt_intervention' AND intervention_lane IS NULL),
 pr AS (SELECT session_id, CASE WHEN o = 'native' AND tags IS NULL THEN 'direct_prompt_native' END AS proposed_lane,
   CASE WHEN o = 'native' AND tags IS NULL THEN 'high' END AS confidence,
-  CASE WHEN o = 'native' AND tags IS NULL THEN 'data_origin=native, task_source=real_work, no intervention markers' END AS evidence,
-  CASE WHEN o = 'native' AND tags IS NOT NULL THEN 'has intervention markers despite native+real_work'
-       WHEN o <> 'native' THEN 'no matching rule (do=' || o || ', ts=' || s || ', rt=' || rt || ')' END AS skip_reason
+  CASE WHEN o = 'native' AND tags IS NULL THEN 'native_real_work_unmarked' END AS evidence,
+  CASE WHEN o = 'native' AND tags IS NOT NULL THEN 'marked'
+       WHEN o <> 'native' THEN 'no_rule' END AS skip_reason,
+  nullif(o, '') AS data_origin, s AS task_source, rt AS runtime
   FROM cl)
 """
 

@@ -85,8 +85,8 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int, tables: int
                 short[:, full] = signatures([sets[i] for i in full], rows, tables).transpose(0, 2, 1)
             bounds = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * tables)
             lists = [pa.ListArray.from_arrays(bounds, as_long(x.ravel())) for x in short]
-            columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), as_long(digest[0]), as_long(digest[1]), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "a", "b"])
+            columns = [part.column("doc_id"), part.column("h"), pa.array([len(s) for s in sets], pa.int64()), as_long(digest[0]), as_long(digest[1]), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "d1", "d2", "a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -190,6 +190,11 @@ def _block_tasks(members: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """The block tasks, each group by itself: the join by family would keep all blocks of one in a task."""
+    return _block_tasks(members).repartition("family", "p", "q")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -213,14 +218,15 @@ def near_groups(
     """
     source = given(docs, doc_id=F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), text=F.coalesce(docs[text_col], F.lit("")))
     signed = cut(
-        source.mapInArrow(
+        source.withColumn("h", F.xxhash64("text")).mapInArrow(
             lambda b: _signed(b, shingle_words, rows, tables),
-            "doc_id bigint, n bigint, d1 bigint, d2 bigint, a array<bigint>, b array<bigint>",
+            "doc_id bigint, h bigint, n bigint, d1 bigint, d2 bigint, a array<bigint>, b array<bigint>",
         )
     )
     same = ["n", "d1", "d2"]
-    reps = signed.filter("n > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "a", "b")).alias("m"))
-    reps = cut(reps.select(*same, F.col("m.doc_id").alias("rep"), "m.a", "m.b"))
+    # A node is a shingle set; its number has nothing to do with ids, which may repeat.
+    reps = signed.filter("n > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "h", "a", "b")).alias("m"))
+    reps = cut(reps.select(*same, "m.doc_id", "m.h", F.monotonically_increasing_id().alias("rep"), "m.a", "m.b"))
 
     pairs = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y))))
     keys = reps.select("rep", F.explode(pairs).alias("key"))
@@ -231,9 +237,11 @@ def near_groups(
     pivots = pointers.select("family").distinct()
     families = pointers.union(pivots.select("family", "family"))
     # A merge join at every size: a table of ids is no bounded broadcast.
+    wanted = reps.join(families.select("rep").distinct().hint("merge"), "rep", "left_semi").select("doc_id", "h", "rep")
+    texts = source.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])  # repeated rows fold before they travel
     sets = cut(
-        source.withColumnRenamed("doc_id", "rep")
-        .join(families.select("rep").distinct().hint("merge"), "rep")
+        texts.join(wanted.hint("merge"), ["doc_id", "h"])
+        .select("rep", "text")
         .mapInArrow(lambda b: _sets(b, shingle_words), "rep bigint, items binary")
     )
     members = sets.join(families.hint("merge"), "rep").select("rep", "family", "items")
@@ -245,10 +253,13 @@ def near_groups(
         .mapInArrow(lambda b: _with_head(b, percent), "rep bigint, family bigint, near boolean, items binary")
     )
     to_head = members.filter("near AND rep <> family").select(F.col("rep").alias("u"), F.col("family").alias("v"))
-    in_blocks = _block_tasks(members).groupBy("family", "p", "q").applyInArrow(lambda t: _block_links(t, percent), "u bigint, v bigint")
+    in_blocks = _dealt(members).groupBy("family", "p", "q").applyInArrow(lambda t: _block_links(t, percent), "u bigint, v bigint")
     labels = components(cut(to_head.union(in_blocks)))
 
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select(*same, F.coalesce("label", "rep").alias("component"))
+    named = reps.join(labels, reps["rep"] == labels["node"], "left").select(*same, "doc_id", F.coalesce("label", "rep").alias("label"))
+    named = cut(named)
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component"))
+    named = named.join(least.hint("merge"), "label").select(*same, "component")
     found = signed.select("doc_id", *same).join(named, same, "left")
     component = F.coalesce("component", "doc_id")
     return found.select(

@@ -57,7 +57,7 @@ SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = compon
 
 @query("op2_minhash_dedup", OP2)
 def op2(spark, sf):
-    return near_groups(documents(spark, sf), shingle_words=3, percent=85, tables=8)
+    return near_groups(documents(spark, sf), shingle_words=3, percent=85, rows=3, tables=10)
 
 
 OP3 = """

@@ -32,9 +32,7 @@ def _tokenizer(spec: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(spec)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_str(spec)
 
 
 def _splits_as_bytes(spec: str) -> bool:
@@ -48,21 +46,32 @@ def _splits_as_bytes(spec: str) -> bool:
 
 
 class _Encoder:
-    """Ids of texts; each different piece is given to the library once."""
+    """Ids of texts as the library gives them; each different piece is given to it once.
+
+    Texts that hold the string of an added token go to the library whole.
+    """
 
     def __init__(self, spec: str):
         self.tokenizer = _tokenizer(spec)
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = pretokens.PieceIds(self._encode) if _splits_as_bytes(spec) else None
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.pieces:
-            return self.pieces.ids(texts)
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = self._encode(texts)
         return np.array([i for x in lists for i in x], dtype=np.uint32), np.cumsum([0, *map(len, lists)])
 
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.pieces:
+            return self._whole(texts)
+        marked = [any(token in t for token in self.added) for t in texts]
+        if not any(marked):
+            return self.pieces.ids(texts)
+        parts = [(self._whole if mark else self.pieces.ids)([t])[0] for t, mark in zip(texts, marked, strict=True)]
+        return np.concatenate(parts).astype(np.uint32), np.cumsum([0, *map(len, parts)])
+
 
 def _blocks(batches: Iterator[pa.RecordBatch], spec, end_id: int, block_ids: int) -> Iterator[pa.RecordBatch]:
     held_here = spec.value  # stays with the worker process, and so does the encoder's cache of pieces

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from math import lgamma, log, log10
 
 import numpy as np
@@ -46,8 +46,8 @@ BOUNDS = tuple(x / 2 for x in range(2, 14))
 FOLDS = 5
 #: Columns of counts: clean and toxic texts of each part.
 COUNTS = [f"{label}{fold}" for fold in range(FOLDS) for label in ("clean", "toxic")]
-#: Most segments whose joint evidence is weighed.
-MOST_JOINED = 8
+#: Segments whose joint evidence the curve is fitted on; scoring goes on while more add to it.
+JOINED = 8
 SIGNIFICANT = 1e-3
 
 #: Bytes outside words: everything in ASCII but letters.
@@ -147,10 +147,11 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, float(after - before)) for b, e, before, after, _ in stack]
 
 
-def top_sums(found: list[tuple[int, int, float]]) -> np.ndarray:
-    """Sum of the best segment's score, of the best two's, and so on up to MOST_JOINED."""
-    best = sorted((s for *_, s in found), reverse=True)[:MOST_JOINED]
-    return np.cumsum(best + [0.0] * (MOST_JOINED - len(best)))
+def top_sums(found: list[tuple[int, int, float]], least: float = np.inf) -> np.ndarray:
+    """Sum of the best segment's score, of the best two's, and so on: JOINED sums, and more while scores exceed ``least``."""
+    best = sorted((s for *_, s in found), reverse=True)
+    best = best[: max(JOINED, sum(s > least for s in best))]
+    return np.cumsum(best + [0.0] * (JOINED - len(best)))
 
 
 def _best(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
@@ -203,7 +204,8 @@ def strength(sums: np.ndarray, n: np.ndarray, fit: Fit) -> np.ndarray:
     best = -np.log10(np.maximum(tail_p(sums[:, 0], n, fit), 1e-300)) - log10(2)
     for r in range(2, sums.shape[1] + 1):
         x = fit.lam * sums[:, r - 1] - r * size
-        real = (sums[:, r - 1] > sums[:, r - 2]) & (x > r)
+        # Beyond JOINED only far in the tail, where the law holds for many segments.
+        real = (sums[:, r - 1] > sums[:, r - 2]) & (x > (r if r <= JOINED else r * r))
         spread = (x - (r - 1) * np.log(np.maximum(x, 1.0)) + lgamma(r + 1) + lgamma(r)) / log(10) - r * log10(2)
         best = np.where(real, np.maximum(best, spread), best)
     return np.clip(best, 0.0, 30.0)
@@ -287,12 +289,12 @@ def fit_toxicity(
         models.append((at.astype(np.int32), delta[at].astype(np.float32), z[at].astype(np.float32)))
     shared = spark.sparkContext.broadcast(models)
     best = rows.mapInArrow(lambda batches: _best(batches, shared), "n bigint, tops array<double>, toxic int").toArrow()
-    tops = best["tops"].combine_chunks().flatten().to_numpy().reshape(-1, len(BOUNDS), MOST_JOINED)
+    tops = best["tops"].combine_chunks().flatten().to_numpy().reshape(-1, len(BOUNDS), JOINED)
     return choose(seen, models, best["n"].to_numpy(), tops, best["toxic"].to_numpy())
 
 
 def _scored(batches: Iterator[pa.RecordBatch], fit) -> Iterator[pa.RecordBatch]:
-    model = fit.value
+    model = Fit(**fit.value)
     fields = [("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]
     for batch in batches:
         for part in slices(batch, "text"):
@@ -301,14 +303,17 @@ def _scored(batches: Iterator[pa.RecordBatch], fit) -> Iterator[pa.RecordBatch]:
             tops, passages = [], []
             for a, b in zip(words.first[:-1], words.first[1:], strict=True):
                 found = segments(scores[a:b])
-                tops.append(top_sums(found))
+                # A segment below this adds nothing to the evidence of those before it.
+                tops.append(top_sums(found, log(max(1.0, model.k * max(1, b - a))) / model.lam))
                 own = []
                 for begin, end, value in found:
                     p = float(tail_p(value, b - a, model))
                     if p <= SIGNIFICANT:
                         own.append({"begin": begin, "end": end, "score": value, "p_value": p})
                 passages.append(own)
-            x = strength(np.stack(tops), words.counts, model)
+            widest = max(map(len, tops))
+            padded = np.stack([np.pad(t, (0, widest - len(t)), mode="edge") for t in tops])
+            x = strength(padded, words.counts, model)
             chance = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30)))
             columns = [
                 part.column("doc_id"),
@@ -328,7 +333,7 @@ def score_toxicity(docs: DataFrame, fit: Fit, id_col: str = "doc_id", text_col:
     are ignored.
     """
     source = given(docs, doc_id=id_col, text=text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(fit)
+    shared = docs.sparkSession.sparkContext.broadcast(asdict(fit))  # plain values: workers need not have this package
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(
         lambda batches: _scored(batches, shared),

@@ -4,10 +4,15 @@ Ids of ``documents`` may repeat or be null; every stage works on all rows its pr
 Verdicts go back to rows by what the row is: by null-safe id and digest of the text where rows
 alike in both have one verdict, else by a row number in order of the ids.
 Decisions are merged with the documents at every size, as a table of ids is no bounded broadcast.
+
+Tables that a stage keeps for itself are deleted when the next stage begins, so a stage's
+result has to be written by then.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +21,7 @@ from skein.llm.neardup import near_groups
 from skein.llm.packing import best_fit_bins
 from skein.llm.quality import quality_rules
 from skein.llm.substring import repeated_passages
-from skein.llm.tables import cut, documents, fresh_path, split_count, words
+from skein.llm.tables import cut, documents, drop_written, freed, fresh_path, split_count, words
 
 #: Room of a bin in words.
 BIN_WORDS = 2048
@@ -86,6 +91,17 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_bins(docs, F.size(words(F.coalesce(F.col("text"), F.lit("")))), BIN_WORDS, cluster=F.xxhash64(F.lower("text")))
 
 
+def _after_others(stage):
+    """The stage, which first deletes what earlier stages wrote for themselves: their results are written by now."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_written(docs)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
     ("quality_rules", quality),
     ("exact_dedup", exact_dedup),
@@ -93,6 +109,7 @@ STAGES = [
     ("substring_dedup", substring_dedup),
     ("best_fit_packing", packing),
 ]
+STAGES = [(name, _after_others(stage)) for name, stage in STAGES]
 
 #: Near duplicates and packing have no SQL; run() is tested against brute force.
 ORACLE_SQL = None
@@ -103,6 +120,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         path = fresh_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with freed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

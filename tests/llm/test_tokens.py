@@ -67,7 +67,6 @@ def test_token_table(spark, docs, texts, tmp_path, block_ids):
     path = str(tmp_path / "tokens")
     write_tokens(docs, path, JSON, end_id=2, block_ids=block_ids)
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     start = 0
     got = {r.doc_id: r for r in read_tokens(spark, path, with_ids=True).collect()}
     for i, t in sorted((texts | {121: None}).items()):
@@ -78,6 +77,17 @@ def test_token_table(spark, docs, texts, tmp_path, block_ids):
         start += len(ids)
 
 
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    """The string of an added token is that token, as in the library's plain call."""
+    texts = ["a <|endoftext|> b", "plain", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "<|endoftext"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    write_tokens(rows, str(tmp_path / "t"), JSON, end_id=2)
+    tokenizer = Tokenizer.from_file(JSON)
+    got = {r.doc_id: r.ids for r in read_tokens(spark, str(tmp_path / "t"), with_ids=True).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert 50256 in got[0]
+
+
 def test_token_table_odd_rows(spark, empty, tmp_path):
     write_tokens(empty, str(tmp_path / "none"), JSON, end_id=2)
     assert read_tokens(spark, str(tmp_path / "none")).count() == 0

@@ -74,7 +74,7 @@ HEADER_HINTS = re.compile(r"(?:^|[\s_-])(?:header|topbar|sitehead)(?:$|[\s_-])",
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""",
+    r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -205,6 +205,8 @@ def _left_out(page: _Page) -> list[bool]:
         up, tag = page.parent[i], page.tag[i]
         inside[i] = inside[up] or tag in _HOLDERS
         drop = tag in OUT
+        if tag == "form" and (holds[i] or 2 * chars[i] > chars[0]):
+            drop = False  # a form around the page, not a form of it
         if tag == "header" or page.hint[i] == "header":
             drop = drop or not (inside[up] and heading[i]) and not holds[i]
         if page.hint[i] == "side" and not holds[i] and tag not in ("html", "body", "main"):

@@ -92,3 +92,18 @@ def test_sibling_articles_are_kept():
         *("Part 1", *(f"Paragraph {i}" for i in range(10, 13)), "So."),
         *("Part 2", "Paragraph 20", "Paragraph 21", "So."),
     ]
+
+
+def test_forms_around_a_page():
+    """A form that wraps the article or most of the page is no form of the page; comments end at --!>, too."""
+    from skein.llm.htmltext import main_text
+
+    body = "".join(f"<p>Paragraph {i} of the article, with enough words to count as text.</p>" for i in range(6))
+    small = "<form><input><label>Your mail address</label></form>"
+    want = [f"Paragraph {i} of the article, with enough words to count as text." for i in range(6)]
+    for page in (
+        f"<body><form action='/'><div>{body}</div></form></body>",
+        f"<body><form><nav><a href='/'>Home</a></nav><article>{body}</article>{small}</form></body>",
+        f"<body><!-- note --!><article>{body}</article>{small}</body>",
+    ):
+        assert main_text(page).split("\n") == want, page

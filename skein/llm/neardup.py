@@ -9,7 +9,7 @@ in all. Documents of similarity s miss each other with a chance of about
 Links are exact and none between candidates is lost, without listing pairs:
 
 1. Documents with the same shingle set fold into one representative.
-2. In each table bucket every representative points to the bucket's smallest one, its pivot.
+2. In each table bucket every representative points to the one of the smallest id, its pivot.
    All that point to one pivot are its family; whoever shares a bucket shares a family.
 3. Members are compared with their family's pivot on full sets, which settles a hot group of
    copies in one pass over its members.
@@ -229,9 +229,11 @@ def near_groups(
     reps = cut(reps.select(*same, "m.doc_id", "m.h", F.monotonically_increasing_id().alias("rep"), "m.a", "m.b"))
 
     pairs = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y))))
-    keys = reps.select("rep", F.explode(pairs).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot < top")
-    shared = cut(shared.select("key", "pivot"))
+    # The pivot is the set of the smallest id: of copies that drift apart, the first is nearest to all.
+    keys = reps.select(F.struct("doc_id", "rep").alias("one"), F.explode(pairs).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("one").alias("first"), F.max("one").alias("last")).filter("first < last")
+    shared = cut(shared.select("key", F.col("first.rep").alias("pivot")))
+    keys = keys.select(F.col("one.rep").alias("rep"), "key")
     pointers = keys.join(shared, "key").filter("rep <> pivot").select("rep", F.col("pivot").alias("family")).distinct()
     pointers = cut(pointers)
     pivots = pointers.select("family").distinct()

@@ -128,3 +128,26 @@ def test_repeated_passages_odd_rows(spark, empty):
     rows = [(None, long), (None, long + " x"), (4, "a " + long), (4, long), (9, long)]
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed) for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     assert got == [(False, 0, 20, 0), (False, 0, 21, 0), (True, 4, 20, 20), (True, 4, 21, 20), (True, 9, 20, 20)]
+
+
+def test_near_rows_of_one_id(spark):
+    """An id with two texts is two documents: only the near copy joins the group of the other."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"x{i}" for i in range(60))
+    rows = [(5, base), (7, base + " tail"), (7, other), (7, other), (9, other + " tail"), (None, "lone words of a row")]
+    found = near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle_words=3, percent=85, rows=3, tables=10)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found.collect()), key=str)
+    assert got == sorted([(5, 58, 5, True), (7, 59, 5, False), (7, 58, 7, True), (7, 58, 7, True), (9, 59, 7, False), (None, 3, None, True)], key=str)
+
+
+def test_blocks_of_a_family_are_dealt_out(spark):
+    """The groups of blocks stand behind an exchange of their own, also where the join by family could serve."""
+    from skein.llm import neardup
+
+    members = spark.createDataFrame([(i, 0, False, b"") for i in range(1000)], "rep bigint, family bigint, near boolean, items binary")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = neardup._dealt(members).groupBy("family", "p", "q").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(family" in plan and "p#" in plan[plan.index("REPARTITION_BY_COL") - 80 :]

@@ -91,7 +91,7 @@ def branch_summary(events: DataFrame, graph: TraceGraph | None = None) -> DataFr
 
 
 def session_measures(events: DataFrame, window: int = 50, graph: TraceGraph | None = None) -> DataFrame:
-    """Rows (session_id, metric, value) of everything sessions are compared by."""
+    """Rows (session_id, metric, value) of everything sessions are compared by; fractions have four decimals."""
     g = graph or TraceGraph(events)
     wide = (
         topology_shape(session_stats(events, graph=g))
@@ -103,7 +103,7 @@ def session_measures(events: DataFrame, window: int = 50, graph: TraceGraph | No
         *[
             F.struct(
                 F.lit(n).alias("metric"),
-                (F.round(n, 4) if t == "double" else F.col(n)).cast("string").alias("value"),
+                (F.round(n, 4).cast("decimal(28,4)") if t == "double" else F.col(n)).cast("string").alias("value"),
             )
             for n, t in wide.dtypes
             if n in names

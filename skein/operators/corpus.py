@@ -11,6 +11,7 @@ from skein import schema
 from skein.operators.edges import branch_starts
 from skein.operators.graph import TraceGraph
 from skein.operators.lineage import cut
+from skein.operators.manifests import differing_parts, field_leaves, tree_roots
 from skein.operators.metadata import (
     CANONICAL_FIELDS,
     OPTIONAL_FIELDS,
@@ -675,14 +676,31 @@ def corpus_report(kind: str, **tables: DataFrame) -> DataFrame:
 # -- snapshots ---------------------------------------------------------------
 
 
+def session_parts(events: DataFrame, records: DataFrame) -> DataFrame:
+    """Roots of each session's hash trees: ``session_id, part, rows, digest``.
+
+    Part ``events`` covers every event in order, ``structure`` and ``metadata`` the fields of its record.
+    """
+    meta = [c for c in schema.METADATA_FIELDS if c in records.columns]
+    rest = [c for c in records.columns if c not in meta and c != "session_id"]
+    leaves = events.select("session_id", F.lit("events").alias("part"), "pos", F.sha2(content_text(events), 256).alias("leaf"))
+    for part, fields in (("structure", rest), ("metadata", meta)):
+        if fields:
+            leaves = leaves.unionByName(field_leaves(records, part, fields))
+    return tree_roots(leaves)
+
+
 def snapshot(events: DataFrame, records: DataFrame, path: str) -> DataFrame:
-    """Write events, records and a one-row manifest under ``path``; return the manifest."""
+    """Write events, records, their parts' digests and a one-row manifest under ``path``; return the manifest."""
     records = cut(records)
     events.write.mode("overwrite").parquet(f"{path}/events")
     records.write.mode("overwrite").parquet(f"{path}/records")
-    manifest = manifest_digest(records).withColumnRenamed("digest", "snapshot_hash")
+    spark = events.sparkSession
+    parts = session_parts(spark.read.parquet(f"{path}/events"), records)
+    parts.write.mode("overwrite").parquet(f"{path}/parts")
+    manifest = manifest_digest(spark.read.parquet(f"{path}/parts")).withColumnRenamed("digest", "snapshot_hash")
     manifest.write.mode("overwrite").parquet(f"{path}/manifest")
-    return events.sparkSession.read.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def export_dataset(records: DataFrame, path: str) -> None:
@@ -691,26 +709,23 @@ def export_dataset(records: DataFrame, path: str) -> None:
 
 
 def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Recompute a snapshot's digests; rows (subject, issue), empty when it is intact."""
-    events = spark.read.parquet(f"{path}/events")
-    records = spark.read.parquet(f"{path}/records")
-    manifest = spark.read.parquet(f"{path}/manifest")
-    actual = events.groupBy("session_id").agg(
-        set_digest(content_text(events)).alias("a_hash"), F.sum(F.octet_length(event_text(events)) + 1).alias("a_bytes")
-    )
-    both = records.select("session_id", "session_hash", "session_bytes").join(actual, "session_id", "full")
+    """Recompute a snapshot's digests; rows (subject, issue), empty when it is intact.
+
+    An issue names the session and the part that differs; ``*`` stands for the manifest itself.
+    """
+    stated = spark.read.parquet(f"{path}/parts")
+    found = session_parts(spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/records"))
+    of_events, change = F.col("part") == "events", F.col("change")
     issue = (
-        F.when(F.col("a_hash").isNull(), "missing session events")
-        .when(F.col("session_hash").isNull(), "events without a record")
-        .when(F.col("session_hash") != F.col("a_hash"), "session hash mismatch")
-        .when(F.col("session_bytes") != F.col("a_bytes"), "session size mismatch")
-    )
-    per = both.select(F.col("session_id").alias("subject"), issue.alias("issue")).filter(
-        "issue IS NOT NULL"
+        F.when(of_events & (change == "removed"), "missing session events")
+        .when(of_events & (change == "added"), "events without a record")
+        .when(of_events, "session hash mismatch")
+        .otherwise(F.concat_ws(" ", "part", F.when(change == "changed", "mismatch").otherwise(change)))
     )
+    per = differing_parts(stated, found).select(F.col("session_id").alias("subject"), issue.alias("issue"))
     whole = (
-        manifest_digest(records)
-        .join(manifest.select(F.col("snapshot_hash").alias("digest")), "digest", "left_anti")
+        manifest_digest(stated)
+        .join(spark.read.parquet(f"{path}/manifest").select(F.col("snapshot_hash").alias("digest")), "digest", "left_anti")
         .select(F.lit("*").alias("subject"), F.lit("manifest hash mismatch").alias("issue"))
     )
     return per.unionByName(whole)

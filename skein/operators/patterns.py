@@ -39,8 +39,8 @@ def corpus_transitions(events: DataFrame, top_n: int = 15) -> DataFrame:
 
 
 def write_transitions_csv(df: DataFrame, path: str) -> None:
-    """Transition table as headed CSV files, one directory per call."""
-    df.write.mode("overwrite").csv(path, header=True)
+    """Transition table as headed CSV files, one directory per call; a quote inside a value is doubled."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def entropy_of(counts: DataFrame, scope: Sequence[str], count: str = "count") -> DataFrame:

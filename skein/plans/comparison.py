@@ -10,7 +10,7 @@ from skein.operators.lineage import cut
 from skein.plans.catalog import query
 from skein.plans.causal import RETRY_SQL, TRANS_COUNTS
 from skein.plans.corpora import after_views
-from skein.plans.graphs import BRANCHES, FRONTIER, STATS, rounded
+from skein.plans.graphs import BRANCHES, FRONTIER, SHAPE_CASE, STATS, rounded
 from skein.plans.labels import sidecar
 from skein.plans.views import trace_native
 
@@ -83,17 +83,15 @@ def branch_summary(spark, sf):
     return rounded(P.branch_summary(cut(trace_native(spark, sf))))
 
 
-MEASURES = [
-    *P.DISTANCE_STATS[:3],
-    "fan_out_max",
-    "multi_parent_count",
-    "event_count",
-    "tool_count",
-    "branch_count",
-    "frontier_max",
-    "windows",
-    "max_roots",
+_COUNTS = [
+    *("event_count", "tool_count", "root_count", "leaf_count", "max_depth", "fan_out_max", "multi_parent_count"),
+    *("branch_count", "frontier_max", "windows", "max_roots"),
 ]
+_MEANS = [
+    *("avg_depth", "fan_out_avg", "chain_length_avg", "link_ratio", "time_span_s", "avg_descendants", "max_lifespan"),
+    *("frontier_avg", "retry_density", "avg_roots"),
+]
+_AS_TEXT = {m: f"{m}::VARCHAR" for m in _COUNTS} | {m: f"round({m}::DOUBLE, 4)::DECIMAL(28, 4)::VARCHAR" for m in _MEANS} | {"shape": "shape"}
 
 
 @query(
@@ -105,9 +103,9 @@ MEASURES = [
     + after_views(SUMMARY, "iv AS").replace("t AS (SELECT session_id, sum(n - 1)", "tq AS (SELECT session_id, sum(n - 1)").replace("LEFT JOIN t USING", "LEFT JOIN tq USING")
     + f""", {PAIRS},
 wr AS (SELECT session_id, (pos - 1) // 50 AS w, count(*) FILTER (pp1 IS NULL) AS c FROM tn GROUP BY 1, 2),
-rs AS (SELECT session_id, count(*) AS windows, max(c) AS max_roots FROM wr GROUP BY 1),
-al AS (SELECT * FROM st JOIN bsum USING (session_id) JOIN rs USING (session_id)),
-lm AS ({' UNION ALL '.join(f"SELECT session_id, '{m}' AS metric, {m}::VARCHAR AS value FROM al" for m in MEASURES)}),
+rs AS (SELECT session_id, count(*) AS windows, avg(c) AS avg_roots, max(c) AS max_roots FROM wr GROUP BY 1),
+al AS (SELECT *, {SHAPE_CASE} AS shape FROM st JOIN bsum USING (session_id) JOIN rs USING (session_id)),
+lm AS ({' UNION ALL '.join(f"SELECT session_id, '{m}' AS metric, {t} AS value FROM al" for m, t in _AS_TEXT.items())}),
 ct AS (SELECT session_id, parent_tool AS f, child_tool AS t, count(*) AS n FROM ne GROUP BY 1, 2, 3),
 cr AS (SELECT session_id, f || '->' || t AS metric, n::VARCHAR AS value FROM ct
        QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC, f, t) <= 10),
@@ -120,8 +118,7 @@ FROM pa FULL JOIN pb ON pa.a = pb.a AND pa.b = pb.b AND pa.metric = pb.metric"""
 )
 def compare_sessions(spark, sf):
     ev = cut(trace_native(spark, sf))
-    out = P.compare_sessions(ev, neighbours_of(ev))
-    return out.filter(F.col("metric").isin(*MEASURES) | F.col("metric").contains("->"))
+    return P.compare_sessions(ev, neighbours_of(ev))
 
 
 @query("session_report")

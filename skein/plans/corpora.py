@@ -10,12 +10,14 @@ from skein.operators import subsets as X
 from skein.operators import structure as S
 from skein.operators.graph import TraceGraph
 from skein.operators.lineage import cut, fresh_path
+from skein.operators.manifests import FAN
 from skein.plans.catalog import query
 from skein.plans.causal import RETRY_SQL
 from skein.plans.graphs import BRANCHES, FRONTIER, STATS, TOPOLOGY_CASE, rounded
 from skein.plans.labels import LABELS, annotation, sidecar
 from skein.plans.timing import attributed
 from skein.plans.views import table
+from skein.schema import METADATA_FIELDS
 
 
 def records(spark, sf):
@@ -123,21 +125,49 @@ fr AS (
 )
 
 
-@query(
-    "session_records",
-    REC
-    + """SELECT session_id, topology, event_count, runtime, task_type, task_source, success, repo_language,
-sum_len AS session_bytes FROM rec JOIN (
-  SELECT session_id, sum(octet_length(encode(concat_ws(chr(31), event_id, coalesce(pe, ''), 'tool_call', '', tool_name, tool_input, '', t, m, p, a))) + 1)::BIGINT AS sum_len
+def set_digest_sql(text: str) -> str:
+    """DuckDB twin of ``set_digest`` over the texts of a group."""
+    sums = ", ".join(f"sum(('0x' || substr(sha256({text}), {at}, 15))::BIGINT)::VARCHAR" for at in (1, 16, 31, 46))
+    return f"sha256(concat_ws('/', count(*)::VARCHAR, {sums}))"
+
+
+def _field_rows(source: str, part: str, fields: dict[str, str]) -> str:
+    rows = ", ".join(
+        f"({i}, sha256(coalesce('{name}=' || {sql}, '{name}-')))" for i, (name, sql) in enumerate(sorted(fields.items()), 1)
+    )
+    return f"SELECT session_id, '{part}' AS part, v.pos, v.leaf FROM {source}, (VALUES {rows}) v(pos, leaf)"
+
+
+#: Fields of an event as its content text has them; ``-`` stands for null.
+CONTENT = """cx AS (SELECT session_id, pos, concat_ws(chr(31), '=' || event_id, coalesce('=' || nullif(pe, ''), '-'), '=tool_call', '-', '=' || tool_name,
+  '=' || tool_input, '-', '=' || t, coalesce('=' || m, '-'), coalesce('=' || p, '-'), coalesce('=' || a, '-'), coalesce('=' || duration_ms::VARCHAR, '-'), '=' || pos) AS t
+  FROM (SELECT n.session_id, n.pos, n.event_id, n.duration_ms, concat_ws(',', p1.event_id, p2.event_id) AS pe, n.tool_name, n.tool_input,
+    strftime(n.ts, '%Y-%m-%dT%H:%M:%S.%f') AS t, CASE WHEN n.k % 2 = 0 THEN 'm-' || (n.k % 5) END AS m,
+    CASE WHEN n.k % 3 = 0 THEN 'prov-' || (n.k % 2) END AS p, CASE WHEN n.k % 4 = 0 THEN 'Agent-' || n.tool_name END AS a
+    FROM tn n LEFT JOIN tn p1 ON p1.session_id = n.session_id AND p1.pos = n.pp1
+    LEFT JOIN tn p2 ON p2.session_id = n.session_id AND p2.pos = n.pp2))"""
+
+SIZES = """sz AS (
+  SELECT session_id, sum(octet_length(encode(concat_ws(chr(31), event_id, coalesce(pe, ''), 'tool_call', '', tool_name, tool_input, '', t, m, p, a))) + 1)::BIGINT AS session_bytes
   FROM (SELECT n.session_id, n.event_id, concat_ws(',', p1.event_id, p2.event_id) AS pe, n.tool_name, n.tool_input,
         strftime(n.ts, '%Y-%m-%dT%H:%M:%S.%f') AS t, CASE WHEN n.k % 2 = 0 THEN 'm-' || (n.k % 5) ELSE '' END AS m,
         CASE WHEN n.k % 3 = 0 THEN 'prov-' || (n.k % 2) ELSE '' END AS p, CASE WHEN n.k % 4 = 0 THEN 'Agent-' || n.tool_name ELSE '' END AS a
         FROM tn n LEFT JOIN tn p1 ON p1.session_id = n.session_id AND p1.pos = n.pp1
-        LEFT JOIN tn p2 ON p2.session_id = n.session_id AND p2.pos = n.pp2) GROUP BY 1) USING (session_id)""",
+        LEFT JOIN tn p2 ON p2.session_id = n.session_id AND p2.pos = n.pp2) GROUP BY 1)"""
+
+SESSION_HASH = f"sh_ AS (SELECT session_id, {set_digest_sql('t')} AS session_hash FROM cx GROUP BY 1)"
+
+
+@query(
+    "session_records",
+    f"""{REC}, {SIZES}, {CONTENT}, {SESSION_HASH}
+SELECT session_id, session_hash, topology, event_count, runtime, task_type, task_source, success, repo_language, session_bytes
+FROM rec JOIN sz USING (session_id) JOIN sh_ USING (session_id)""",
 )
 def session_records(spark, sf):
     return records(spark, sf).select(
         "session_id",
+        "session_hash",
         "topology",
         "event_count",
         "runtime",
@@ -149,6 +179,46 @@ def session_records(spark, sf):
     )
 
 
+_COUNTS = ("event_count", "tool_count", "root_count", "leaf_count", "max_depth", "fan_out_max", "multi_parent_count", "session_bytes")
+_MEANS = ("avg_depth", "fan_out_avg", "chain_length_avg", "link_ratio", "time_span_s")
+_STRUCTURE = {c: f"{c}::VARCHAR" for c in _COUNTS + _MEANS} | {"session_hash": "session_hash", "topology": "topology"}
+_GIVEN = ("data_origin", "runtime", "task_type", "task_source", "success", "duration", "human_intervention", "intervention_lane", "repo_language")
+_METADATA = {c: f"{c}::VARCHAR" if c in _GIVEN else "NULL::VARCHAR" for c in METADATA_FIELDS} | {
+    "trace_tags": """'["' || tags || '"]'"""
+}
+
+
+def _level(source: str, at: str, leaf: str, rows: str) -> str:
+    node = f"CASE WHEN count(*) = 1 THEN min({leaf}) ELSE sha256(string_agg({leaf}, '' ORDER BY {at})) END"
+    place = f"({at} - 1) // {FAN}" if source == "lv" else f"{at} // {FAN}"
+    return f"SELECT session_id, part, {place} AS up, {node} AS node, {rows}::BIGINT AS rows FROM {source} GROUP BY 1, 2, 3"
+
+
+#: Three levels are enough for sessions of 4,096 events.
+PARTS = f"""{REC}, {SIZES}, {CONTENT}, {SESSION_HASH},
+wide AS (SELECT tp.*, session_bytes, session_hash FROM tp JOIN sz USING (session_id) JOIN sh_ USING (session_id)),
+mfull AS (SELECT tp.session_id, ef.* EXCLUDE (session_id), sc.tags FROM tp LEFT JOIN ef USING (session_id) LEFT JOIN sc USING (session_id)),
+lv AS (SELECT session_id, 'events' AS part, pos, sha256(t) AS leaf FROM cx
+UNION ALL {_field_rows("wide", "structure", _STRUCTURE)}
+UNION ALL {_field_rows("mfull", "metadata", _METADATA)}),
+l1 AS ({_level("lv", "pos", "leaf", "count(*)")}),
+l2 AS ({_level("l1", "up", "node", "sum(rows)")}),
+l3 AS ({_level("l2", "up", "node", "sum(rows)")}),
+parts AS (SELECT session_id, part, rows, sha256(rows || ':' || node) AS digest FROM l3)
+"""
+
+
+def _parts(spark, sf):
+    ev = cut(attributed(spark, sf))
+    return K.session_parts(ev, cut(K.session_records(ev, sidecar(spark, sf), annotation(spark, sf))))
+
+
+@query("snapshot_parts", PARTS + "SELECT * FROM parts")
+def snapshot_parts(spark, sf):
+    """Roots of the hash trees over each session's events, structure and metadata."""
+    return _parts(spark, sf)
+
+
 def _features(spark, sf):
     return K.session_features(cut(attributed(spark, sf)))
 
@@ -281,7 +351,13 @@ def benchmark_manifest(spark, sf):
     return K.benchmark_manifest(records(spark, sf))
 
 
-@query("benchmark_hash")
+@query(
+    "benchmark_hash",
+    BENCH
+    + f""", bt AS (SELECT concat_ws(chr(31), section, label, key, value::VARCHAR) AS t FROM bm
+UNION ALL SELECT concat_ws(chr(31), label, session_id) FROM lb)
+SELECT {set_digest_sql("t")} AS benchmark_hash FROM bt""",
+)
 def benchmark_hash(spark, sf):
     rec = records(spark, sf)
     return K.benchmark_hash(K.benchmark_manifest(rec), K.group_sessions(rec))
@@ -423,7 +499,7 @@ def verify_snapshot(spark, sf):
         F.when(F.col("tool_name") == "signup", "signin").otherwise(F.col("tool_name")),
     )
     changed.write.parquet(f"{home}/altered/events")
-    for part in ("records", "manifest"):
+    for part in ("records", "parts", "manifest"):
         spark.read.parquet(f"{home}/{part}").write.parquet(f"{home}/altered/{part}")
     return K.verify_snapshot(spark, f"{home}/altered")
 
@@ -431,20 +507,29 @@ def verify_snapshot(spark, sf):
 @query(
     "verify_snapshot_edits",
     """SELECT CAST(user_id AS VARCHAR) AS subject,
-CASE user_id % 4 WHEN 2 THEN 'missing session events' ELSE 'session hash mismatch' END AS issue
-FROM (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1) WHERE user_id % 4 <> 3""",
+CASE user_id % 6 WHEN 2 THEN 'missing session events' WHEN 3 THEN 'metadata mismatch' WHEN 4 THEN 'structure mismatch'
+  ELSE 'session hash mismatch' END AS issue
+FROM (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1 OR user_id % 6 >= 2) WHERE user_id % 6 <> 5""",
 )
 def verify_snapshot_edits(spark, sf):
-    """By session: one duration changed, two events in the other order, all events gone, nothing."""
+    """By session: a duration changed, two events swapped, all events gone, a task type changed, a count changed, nothing.
+
+    Sessions of one event are left alone where the edit is to their events.
+    """
     ev = cut(attributed(spark, sf))
     home = fresh_path(spark, "snapshot")
     K.snapshot(ev, K.session_records(ev, sidecar(spark, sf), annotation(spark, sf)), home)
-    kind, pos = F.col("session_id").cast("bigint") % 4, F.col("pos")
-    edited = spark.read.parquet(f"{home}/events").filter(kind != 2)
-    duration = F.when((kind == 0) & (pos == 1), F.coalesce("duration_ms", F.lit(0.0)) + 1).otherwise(F.col("duration_ms"))
-    swapped = F.when((kind == 1) & (pos <= 2), 3 - pos).otherwise(pos)
-    edited.withColumns({"duration_ms": duration, "pos": swapped}).write.parquet(f"{home}/altered/events")
-    for part in ("records", "manifest"):
+    kind, pos = F.col("session_id").cast("bigint") % 6, F.col("pos")
+    stored, kept = spark.read.parquet(f"{home}/events"), spark.read.parquet(f"{home}/records")
+    several = stored.groupBy("session_id").agg((F.count("*") > 1).alias("several"))
+    edited = stored.join(several, "session_id").filter(kind != 2)
+    duration = F.when((kind == 0) & (pos == 1) & F.col("several"), F.coalesce("duration_ms", F.lit(0.0)) + 1).otherwise(F.col("duration_ms"))
+    swapped = F.when((kind == 1) & (pos <= 2) & F.col("several"), 3 - pos).otherwise(pos)
+    edited.withColumns({"duration_ms": duration, "pos": swapped}).drop("several").write.parquet(f"{home}/altered/events")
+    other = F.when(kind == 3, F.concat(F.coalesce("task_type", F.lit("")), F.lit("?"))).otherwise(F.col("task_type"))
+    count = F.when(kind == 4, F.col("event_count") + 1).otherwise(F.col("event_count"))
+    kept.withColumns({"task_type": other, "event_count": count}).write.parquet(f"{home}/altered/records")
+    for part in ("parts", "manifest"):
         spark.read.parquet(f"{home}/{part}").write.parquet(f"{home}/altered/{part}")
     return K.verify_snapshot(spark, f"{home}/altered")
 
@@ -584,12 +669,17 @@ def bias_register(spark, sf):
 @query(
     "compile_subsets",
     UNITS
-    + """SELECT subset_id, count(*) AS source_sessions, count(*) FILTER (reason IS NULL) AS selected_count,
-count(reason) AS excluded_count, any_value(s.score) AS score FROM mb JOIN sc_ s USING (subset_id) GROUP BY 1""",
+    + f""", mt AS (SELECT subset_id, concat_ws(chr(31), session_id, coalesce(reason, '+')) AS t FROM mb
+UNION ALL SELECT subset_id, concat_ws(chr(31), dimension, coalesce(nullif(v, ''), 'unknown'), count(*)::VARCHAR) FROM dl
+  GROUP BY subset_id, dimension, coalesce(nullif(v, ''), 'unknown')),
+mh AS (SELECT subset_id, {set_digest_sql("t")} AS manifest_hash FROM mt GROUP BY 1)
+SELECT subset_id, count(*) AS source_sessions, count(*) FILTER (reason IS NULL) AS selected_count,
+count(reason) AS excluded_count, any_value(s.score) AS score, any_value(manifest_hash) AS manifest_hash
+FROM mb JOIN sc_ s USING (subset_id) JOIN mh USING (subset_id) GROUP BY 1""",
 )
 def compile_subsets(spark, sf):
     return X.compile_subsets(membership(spark, sf)).select(
-        "subset_id", "source_sessions", "selected_count", "excluded_count", "score"
+        "subset_id", "source_sessions", "selected_count", "excluded_count", "score", "manifest_hash"
     )
 
 
@@ -765,10 +855,13 @@ def reprioritize(spark, sf):
     return X.reprioritize(X.analyze_gaps(membership(spark, sf)), report)
 
 
-@query("snapshot_digest")
+_PART_TEXT = """concat_ws(chr(31), '{"digest":"' || digest || '"}', '{"part":"' || part || '"}', '{"rows":' || rows || '}', '{"session_id":"' || session_id || '"}')"""
+
+
+@query("snapshot_digest", PARTS + f"SELECT {set_digest_sql(_PART_TEXT)} AS digest, count(*) AS rows FROM parts")
 def snapshot_digest(spark, sf):
-    """Digest of all session records, independent of their order."""
-    return K.manifest_digest(records(spark, sf))
+    """Digest of the parts of all sessions, independent of their order."""
+    return K.manifest_digest(_parts(spark, sf))
 
 
 @query("graph_profile", STATS.replace("st AS (SELECT * FROM bas JOIN shp USING (session_id))", "st AS (SELECT 1)")

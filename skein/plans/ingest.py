@@ -218,22 +218,26 @@ def ingest_hermes(spark, sf):
 
 @query(
     "ingest_dsh",
-    """WITH ch AS (SELECT CAST(conv_id AS VARCHAR) AS s, turn AS t, role, text FROM conversations WHERE role <> 'system'),
+    """WITH ch AS (SELECT CAST(conv_id AS VARCHAR) AS s, turn AS t, role, text FROM conversations),
 sg AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY t) AS seg FROM ch),
 us AS (SELECT s, seg, min(t) AS ut FROM sg WHERE role = 'user' GROUP BY 1, 2),
-an AS (SELECT g.s, g.seg, g.t, lag(g.t) OVER (PARTITION BY g.s, g.seg ORDER BY g.t) AS pt FROM sg g WHERE role = 'assistant'),
+an AS (SELECT g.s, g.seg, g.t, g.text, lag(g.t) OVER (PARTITION BY g.s, g.seg ORDER BY g.t) AS pt FROM sg g WHERE role = 'assistant'),
 ap AS (SELECT a.*, CASE WHEN pt IS NOT NULL THEN a.s || ':' || (pt * 10 + 1) || ',' || a.s || ':' || (pt * 10 + 2)
         WHEN u.ut IS NOT NULL THEN a.s || ':' || (u.ut * 10) END AS cause FROM an a LEFT JOIN us u ON u.s = a.s AND u.seg = a.seg)
-SELECT s AS session_id, s || ':' || (t * 10) AS event_id, NULL AS parent_event_id, 'Prompt' AS tool_name, 'user' AS caused_by, NULL AS tool_output, NULL::DOUBLE AS duration_ms FROM sg WHERE role = 'user'
-UNION ALL SELECT s, s || ':' || (t * 10) || '.0', cause, 'Thinking', NULL, NULL, NULL FROM ap
-UNION ALL SELECT s, s || ':' || (t * 10) || '.2', s || ':' || (t * 10) || '.0', 'Response', NULL, NULL, NULL FROM ap
-UNION ALL SELECT s, s || ':' || (t * 10 + i), s || ':' || (t * 10) || '.0', CASE i WHEN 1 THEN 'read' ELSE 'run_code' END, 'reasoning', CASE i WHEN 1 THEN 'ok' || chr(10) || '[isError=true]' END, CASE i WHEN 1 THEN 2.0 END FROM ap, (SELECT unnest([1, 2]) AS i)
-UNION ALL SELECT s, s || ':' || (t * 10 + 3), s || ':' || (t * 10 + 2), 'inner', NULL, 'deep', 1.0 FROM ap
-UNION ALL SELECT s, s || ':' || (t * 10 + 6), cause, '/compact', 'user', 'done', NULL FROM ap""",
+SELECT s AS session_id, s || ':' || (t * 10) AS event_id, NULL AS parent_event_id, 'Prompt' AS tool_name, 'user' AS caused_by, NULL AS tool_output, NULL::DOUBLE AS duration_ms, left(text, 2000) AS said, t > 0 AND t % 4 < 2 AS mid_turn FROM sg WHERE role = 'user' AND text <> ''
+UNION ALL SELECT s, s || ':' || (t * 10) || '.0', cause, 'Thinking', NULL, NULL, NULL, 'think', false FROM ap
+UNION ALL SELECT s, s || ':' || (t * 10) || '.2', s || ':' || (t * 10) || '.0', 'Response', NULL, NULL, NULL, left(text, 500), false FROM ap
+UNION ALL SELECT s, s || ':' || (t * 10 + i), s || ':' || (t * 10) || '.0', CASE i WHEN 1 THEN 'read' ELSE 'run_code' END, 'reasoning', CASE i WHEN 1 THEN 'ok' || chr(10) || '[isError=true]' END, CASE i WHEN 1 THEN 2.0 END, NULL, false FROM ap, (SELECT unnest([1, 2]) AS i)
+UNION ALL SELECT s, s || ':' || (t * 10 + 3), s || ':' || (t * 10 + 2), 'inner', NULL, 'deep', 1.0, NULL, false FROM ap
+UNION ALL SELECT s, s || ':' || (t * 10 + 6), cause, '/compact', 'user', 'done', NULL, NULL, false FROM ap""",
 )
 def ingest_dsh(spark, sf):
-    """Chat turns as a step-structured log: each reply thinks, answers and makes two calls."""
-    chat = table(spark, sf, "conversations").filter("role <> 'system'")
+    """Chat turns as a step-structured log: each reply thinks, answers and makes two calls.
+
+    System turns are messages of a plugin, which cause nothing. Every second pair of user turns is
+    announced as inserted into the running step, the others as the next turn.
+    """
+    chat = table(spark, sf, "conversations")
     t = F.col("turn")
     ms = (F.lit(1_700_000_000_000) + t * 1000).cast("bigint")
     call = F.concat_ws("-", F.lit("c"), "conv_id", "turn")
@@ -242,11 +246,12 @@ def ingest_dsh(spark, sf):
         return F.to_json(F.struct(F.lit(kind).alias("type"), (ms + late).alias("time"), data.alias("data")))
 
     step = {"turn": t.cast("int"), "step": F.lit(1)}
-    is_user = F.col("role") == "user"
-    user = rec(
-        "user/message",
-        obj(source=obj(kind="user"), content=F.array(obj(type="text", text=F.col("text")))),
-    )
+    is_user, is_reply = F.col("role") == "user", ~F.col("role").isin("user", "system")
+    sender = F.when(is_user, "user").otherwise("plugin")
+    said = {"id": F.concat(F.lit("m"), t.cast("string")), "source": obj(kind=sender)}
+    user = rec("user/message", obj(**said, content=F.array(obj(type="text", text=F.col("text")))))
+    target = F.when(t % 4 < 2, "next-step").otherwise("next-turn")
+    spliced = rec("agent/inbox/spliced", obj(target=target, inserted=F.array(obj(**said))))
     reply = rec(
         "assistant/message",
         obj(
@@ -261,7 +266,8 @@ def ingest_dsh(spark, sf):
         )
     )
     rows = [
-        (0, F.when(is_user, user).otherwise(reply)),
+        (-1, F.when(t > 0, spliced)),
+        (0, F.when(is_reply, reply).otherwise(user)),
         (1, rec("tool/call", obj(**step, callId=call, name="read", arguments='{"a": 1}'))),
         (2, rec("tool/call", obj(**step, callId=F.concat(call, F.lit("b")), name="run_code", arguments="[1]"))),
         (3, rec("tool/code-dispatch-start", obj(subCallId=F.concat(call, F.lit("s")), parentCallId=F.concat(call, F.lit("b")), name="inner", arguments="{}"))),
@@ -273,12 +279,17 @@ def ingest_dsh(spark, sf):
     ]
     entries = F.array(
         *[
-            F.struct((t * 10 + i).alias("line_no"), (v if i == 0 else F.when(~is_user, v)).alias("value"))
+            F.struct((t * 10 + i).alias("line_no"), (v if i == 0 else F.when(~is_reply if i < 0 else is_reply, v)).alias("value"))
             for i, v in rows
         ]
     )
     lines = chat.select(F.col("conv_id").cast("string").alias("session_id"), F.inline(entries)).filter("value IS NOT NULL")
-    return slim(dsh.ingest_dsh(lines), "caused_by", "tool_output", "duration_ms")
+    events = dsh.ingest_dsh(lines)
+    words, mid = (F.get_json_object("tool_input", f"$.{name}") for name in ("text", "mid_turn"))
+    thought = F.get_json_object("tool_input", "$.content")
+    is_said = F.col("tool_name").isin("Prompt", "Thinking", "Response")
+    said = F.when(is_said, F.coalesce(words, thought)).alias("said")
+    return slim(events, "caused_by", "tool_output", "duration_ms", said, F.coalesce(mid == "true", F.lit(False)).alias("mid_turn"))
 
 
 def headers(spark, sf):

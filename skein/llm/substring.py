@@ -78,15 +78,15 @@ def _seeds(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -
 
 
 def _places(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
-    """Every anchor of every text: (seed, row, word position in the text)."""
+    """Every anchor of every text: (seed, doc_id, row, word position in the text)."""
     for batch in batches:
         for part in slices(batch, "text"):
             words, _, seeds, _, anchor, text_of = _anchors(part.column("text"), min_words, seed_words)
             anchor = anchor[_new(anchor)]
             text = text_of[anchor]
-            rows = part.column("row").to_numpy()[text]
-            columns = [as_long(seeds[anchor]), pa.array(rows), pa.array((anchor - words.first[text]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["seed", "row", "at"])
+            ids, rows = (pa.array(part.column(c).to_numpy()[text]) for c in ("doc_id", "row"))
+            columns = [as_long(seeds[anchor]), ids, rows, pa.array((anchor - words.first[text]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["seed", "doc_id", "row", "at"])
 
 
 def _listed(column: pa.ListArray):
@@ -201,17 +201,18 @@ def repeated_passages(
         raise ValueError("a seed has from one word up to as many as a window")
     source = given(docs, doc_id=docs[id_col].cast("long"), text=F.coalesce(docs[text_col], F.lit("")))
     keyed = source.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    keyed = keyed.withColumn("row", F.xxhash64("doc_id", "text"))
+    # A text is known by its id and its hash, so texts of different ids are never mixed up.
+    keyed, key = keyed.withColumn("row", F.xxhash64("text")), ["doc_id", "row"]
 
     seeds = keyed.select("doc_id", "text").mapInArrow(
         lambda b: _seeds(b, min_words, seed_words), "seed bigint, lo bigint, hi bigint"
     )
     seeds = seeds.groupBy("seed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
     seeds = cut(seeds.select("seed"))
-    places = keyed.select("row", "text").mapInArrow(
-        lambda b: _places(b, min_words, seed_words), "seed bigint, row bigint, at int"
+    places = keyed.select(*key, "text").mapInArrow(
+        lambda b: _places(b, min_words, seed_words), "seed bigint, doc_id bigint, row bigint, at int"
     )
-    found = cut(places.join(seeds.hint("merge"), "seed").groupBy("row").agg(F.collect_set("at").alias("at")))
+    found = cut(places.join(seeds.hint("merge"), "seed").groupBy(*key).agg(F.collect_set("at").alias("at")))
 
     def earlier(df: DataFrame) -> DataFrame:
         """``df`` with ``later``: whether a smaller id has the same block.
@@ -223,7 +224,7 @@ def repeated_passages(
         return both.withColumn("later", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))).drop("block", "lo")
 
     blocks = cut(
-        keyed.join(found.hint("merge"), "row")
+        keyed.join(found.hint("merge"), key)
         .select("doc_id", "row", "text", "at")
         .mapInArrow(lambda b: _blocks(b, min_words, seed_words), "seed bigint, block bigint, doc_id bigint, row bigint, at int, n int")
     )
@@ -232,17 +233,17 @@ def repeated_passages(
     firsts = judged.filter("NOT later")
     contested = firsts.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     open_blocks = firsts.join(contested.select("seed"), "seed", "left_semi")
-    open_rows = cut(open_blocks.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("at")))
+    open_rows = cut(open_blocks.groupBy(*key).agg(F.collect_list(F.struct("at", "n")).alias("at")))
     windows = cut(
-        keyed.join(open_rows.hint("merge"), "row")
+        keyed.join(open_rows.hint("merge"), key)
         .select("doc_id", "row", "text", "at")
         .mapInArrow(lambda b: _windows(b, min_words, seed_words), "seed bigint, block bigint, doc_id bigint, row bigint, at int")
     )
-    single = earlier(windows).filter("later").select("row", "at", F.lit(1).alias("n"))
-    matches = judged.filter("later").select("row", "at", "n").union(single)
-    matched = cut(matches.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("at")))
+    single = earlier(windows).filter("later").select(*key, "at", F.lit(1).alias("n"))
+    matches = judged.filter("later").select(*key, "at", "n").union(single)
+    matched = cut(matches.groupBy(*key).agg(F.collect_list(F.struct("at", "n")).alias("at")))
 
-    rest = keyed.join(matched.hint("merge"), "row", "left").select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "text", "at")
+    rest = keyed.join(matched.hint("merge"), key, "left").select(F.expr(f"nullif(doc_id, {NO_ID})").alias("doc_id"), "text", "at")
     return rest.mapInArrow(
         lambda b: _cut_out(b, min_words),
         "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, "

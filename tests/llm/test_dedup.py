@@ -151,3 +151,14 @@ def test_blocks_of_a_family_are_dealt_out(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(family" in plan and "p#" in plan[plan.index("REPARTITION_BY_COL") - 80 :]
+
+
+def test_texts_of_one_hash_are_told_apart_by_their_ids(spark, monkeypatch):
+    """Where all texts have one hash, each document still gets its own words cut."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr("skein.llm.substring.F.xxhash64", lambda *columns: F.lit(7).cast("bigint"))
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(1, shared), (2, f"a b {shared}"), (3, f"{shared} c d e"), (4, "x " * 5)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (20, 0, shared), 2: (22, 20, "a b"), 3: (23, 20, "c d e"), 4: (5, 0, "x x x x x")}

@@ -19,10 +19,14 @@ LINE_DIGITS = 20
 SLICE_DIGITS = 15  # slices of 100,000 lines
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of text logs with their ``file``; its name without suffix is the session."""
+def read_lines(spark: SparkSession, path: str | list[str], only: Column | None = None) -> DataFrame:
+    """Lines of text logs with their ``file``; its name without suffix is the session.
+
+    Where ``only`` is given, the other lines are left out and not counted.
+    """
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+    found = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = (found if only is None else found.filter(only)).select(
         name.alias("session_id"),
         F.col("_metadata.file_path").alias("file"),
         "value",
@@ -100,6 +104,8 @@ def block_chain(col: str, order: str) -> Column:
 
 #: Room for the rows of one commit in the order of a store: order = commit * 2^40 + place.
 COMMIT_BITS = 40
+#: Rows of a commit from which on a session has a folder of its own in it.
+FOLDER_ROWS = 1 << 10
 
 
 def _folder(spark: SparkSession, path: str):
@@ -134,7 +140,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     done = [f"{path.rstrip('/')}/commit={n:012d}.{writer}" for writer, (n, whole) in sorted(own.items()) if whole]
     if own and not done:
         return conform_events(spark.createDataFrame([], EVENT_SCHEMA).withColumn("ingest_seq", F.lit(0).cast("bigint")))
-    lines = read_lines(spark, done or path)
+    lines = _ordered_lines(spark, done) if done else read_lines(spark, path)
     fields = F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE"})
     seq = F.coalesce(F.get_json_object("value", "$.ingest_seq").cast("bigint"), "line_no")
     number = F.coalesce(F.try_to_number(F.regexp_extract("file", r"/commit=([0-9]{12})\.[^/]*/", 1), F.lit("9" * 12)).cast("bigint"), F.lit(0))
@@ -152,8 +158,24 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _ordered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of a store; only those that carry no order of their own are numbered by their file."""
+    own = spark.read.option("recursiveFileLookup", "true").text(paths).select(
+        F.lit(None).cast("string").alias("session_id"),
+        F.get_json_object("value", "$.ingest_seq").cast("bigint").alias("line_no"),
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+    )
+    return own.filter("line_no IS NOT NULL").unionByName(
+        read_lines(spark, paths, F.get_json_object("value", "$.ingest_seq").cast("bigint").isNull())
+    )
+
+
 def write_events(events: DataFrame, path: str, writer: str | None = None) -> int:
-    """Append events to a store as one commit, in folders per session; JSON lines leave out nulls.
+    """Append events to a store as one commit; JSON lines leave out nulls.
+
+    Sessions of at least ``FOLDER_ROWS`` events in a commit have a folder each, all smaller
+    ones share one, so files and folders grow with the rows and not with the sessions.
 
     Commits are numbered as they come, so what is appended later is later in order, also
     where timestamps are tied. A commit counts once its success mark is written. ``writer``
@@ -169,7 +191,9 @@ def write_events(events: DataFrame, path: str, writer: str | None = None) -> int
     known = conform_events(events)
     order = [F.col(c) for c in ("pos", "ingest_seq") if c in known.columns]
     rows = known.select(*EVENT_FIELDS, F.coalesce(*order, F.lit(None).cast("bigint")).alias("ingest_seq"))
-    rows = rows.withColumn("session", F.col("session_id"))
+    sizes = known.groupBy("session_id").agg(F.count("*").alias("_n"))
+    apart = sizes.filter((F.col("_n") >= FOLDER_ROWS) & F.col("session_id").isNotNull()).select("session_id", F.col("session_id").alias("session"))
+    rows = rows.join(apart, "session_id", "left")
     rows = rows.withColumn(
         "event_type", F.when(F.col("event_type") != "tool_call", F.col("event_type"))
     )

@@ -30,6 +30,14 @@ orp AS (SELECT dp.session_id, dp.event_id FROM dp LEFT JOIN td p
         GROUP BY 1, 2 HAVING count(p.event_id) = 0)
 """
 
+#: A reference closes a cycle if its event leads to that parent over events from itself on.
+FORWARD = """,
+fw AS (
+  SELECT session_id, cpos AS a, cpos AS b FROM de WHERE ppos >= cpos
+  UNION
+  SELECT fw.session_id, fw.a, de.cpos FROM fw JOIN de ON de.session_id = fw.session_id AND de.ppos = fw.b AND de.cpos >= fw.a)
+"""
+
 
 @query("broken_refs", CYCLES + "SELECT session_id, event_id, parent FROM brk")
 def broken_refs(spark, sf):
@@ -49,17 +57,10 @@ def cycle_nodes(spark, sf):
 @query(
     "broken_cycles",
     CYCLES
-    + """,
-scc AS (  -- events that reach each other, and the earliest event of their group
-  SELECT x.session_id, x.a AS pos, min(x.b) AS head FROM cl x JOIN cl y
-    ON y.session_id = x.session_id AND y.a = x.b AND y.b = x.a GROUP BY 1, 2),
--- every group in this view is a ring closed by single forward links: opening it at
--- its earliest event and re-checking the rest is repeated once per link
-gone AS (
-  SELECT de.session_id, de.cpos, de.ppos FROM de JOIN scc s ON s.session_id = de.session_id AND s.pos = de.cpos
-   JOIN scc t ON t.session_id = de.session_id AND t.pos = de.ppos AND t.head = s.head
-  WHERE s.pos = s.head)
-SELECT session_id, count(*) AS dropped FROM gone GROUP BY 1""",
+    + FORWARD
+    + """
+SELECT de.session_id, count(DISTINCT (de.cpos, de.ppos)) AS dropped FROM de
+JOIN fw ON fw.session_id = de.session_id AND fw.a = de.cpos AND fw.b = de.ppos WHERE de.ppos >= de.cpos GROUP BY 1""",
 )
 def broken_cycles(spark, sf):
     ev = trace_dirty(spark, sf)

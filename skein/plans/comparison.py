@@ -12,6 +12,7 @@ from skein.plans.causal import RETRY_SQL, TRANS_COUNTS
 from skein.plans.corpora import after_views
 from skein.plans.graphs import BRANCHES, FRONTIER, SHAPE_CASE, STATS, rounded
 from skein.plans.labels import sidecar
+from skein.plans.oracle import half_up
 from skein.plans.views import trace_native
 
 
@@ -91,7 +92,7 @@ _MEANS = [
     *("avg_depth", "fan_out_avg", "chain_length_avg", "link_ratio", "time_span_s", "avg_descendants", "max_lifespan"),
     *("frontier_avg", "retry_density", "avg_roots"),
 ]
-_AS_TEXT = {m: f"{m}::VARCHAR" for m in _COUNTS} | {m: f"round({m}::DOUBLE, 4)::DECIMAL(28, 4)::VARCHAR" for m in _MEANS} | {"shape": "shape"}
+_AS_TEXT = {m: f"{m}::VARCHAR" for m in _COUNTS} | {m: f"{half_up(f'{m}::DOUBLE', 4)}::DECIMAL(28, 4)::VARCHAR" for m in _MEANS} | {"shape": "shape"}
 
 
 @query(

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+
+def half_up(value: str, places: int) -> str:
+    """SQL for a double rounded by its shortest decimal text, ties away from zero, as Spark rounds."""
+    return f"round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 18)), {places})"
+
+
 RAW = """
 raw_ev AS (
   SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(event_id AS VARCHAR) AS event_id,

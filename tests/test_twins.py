@@ -40,3 +40,11 @@ def test_cycles_of_several_forward_links(spark, both):
     """Events 1 to 3 refer to the next, the fourth to 1 and 2: the rings 1-2-3-4 and 2-3-4 fall one by one."""
     ring = [(1, k, 1.0) for k in (13, 13, 13, 20)]
     assert both("broken_cycles", events=events(spark, *ring)) == [("1", 2)]
+
+
+def test_compared_measures_round_half_up(spark, both):
+    """Two branches of 1522314.32805 s: the fifth decimal is a tie that binary fractions miss."""
+    long = 1_522_314_328_050
+    rows = [(u, k, 1.0, u + t) for u in (1, 2) for k, t in ((9, 0), (1, long))]
+    got = {r[2]: r[3] for r in both("compare_sessions", events=events(spark, *rows))}
+    assert got["max_lifespan"] == "1522314.3281"

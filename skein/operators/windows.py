@@ -123,7 +123,11 @@ SHIFT_METRICS = ("root_count", "transition_entropy", "path_reuse_ratio", "avg_br
 
 
 def shift_scores(events: DataFrame, size: int = 50) -> DataFrame:
-    """Per window and measure: z against the mean and spread of all earlier windows."""
+    """Per window and measure: z against the mean and spread of all earlier windows.
+
+    Measures have four decimals, so their sums are whole numbers of ten-thousandths and a
+    measure that never changed has a spread of exactly zero, which gives no z.
+    """
     metrics = window_metrics(events, size)
     rows = metrics.select(
         "session_id",
@@ -136,20 +140,21 @@ def shift_scores(events: DataFrame, size: int = 50) -> DataFrame:
             "'avg_branch_density', round(avg_branch_density, 4)) as (metric, value)"
         ),
     ).withColumn("place", F.col("window") + 1)
-    v = F.col("value")
+    v = F.round(F.col("value") * 10_000).cast("decimal(38,0)")
     summed = running_sum(
         rows,
         {"_s": v, "_q": v * v},
         scope=["session_id", "metric"],
         pos="place",
         inclusive=False,
-        dtype="double",
+        dtype="decimal(38,0)",
     )
-    mean = F.col("_s") / F.col("window")
-    var = F.col("_q") / F.col("window") - mean * mean
+    n = F.col("window")
+    apart = n * v - F.col("_s")
+    spread = n * F.col("_q") - F.col("_s") * F.col("_s")
     return (
         summed.filter(F.col("window") >= BASELINE_WINDOWS)
-        .withColumn("z", F.when(var > 0, (v - mean) / F.sqrt(var)))
+        .withColumn("z", F.when(spread > 0, apart.cast("double") / F.sqrt(spread.cast("double"))))
         .select("session_id", "window", "event_count", "metric", "value", "z")
     )
 

@@ -8,7 +8,7 @@ from skein.operators import durations as D
 from skein.operators import windows as W
 from skein.plans.catalog import query
 from skein.plans.graphs import rounded
-from skein.plans.oracle import NATIVE
+from skein.plans.oracle import NATIVE, half_up
 from skein.plans.views import trace_native
 
 @query(
@@ -110,21 +110,22 @@ def window_metrics(spark, sf):
     return rounded(W.window_metrics(trace_native(spark, sf), 20))
 
 
+SHIFTING = ("transition_entropy", "path_reuse_ratio", "avg_branch_density")
+
+
 @query(
     "topology_shift",
     window_sql(10)
-    + """,
-lg AS (
-  SELECT session_id, "window", event_count, 'root_count' AS metric, root_count::DOUBLE AS v FROM wm
-  UNION ALL SELECT session_id, "window", event_count, 'transition_entropy', round(transition_entropy, 4) FROM wm
-  UNION ALL SELECT session_id, "window", event_count, 'path_reuse_ratio', round(path_reuse_ratio, 4) FROM wm
-  UNION ALL SELECT session_id, "window", event_count, 'avg_branch_density', round(avg_branch_density, 4) FROM wm),
-sc AS (SELECT *, sum(v) OVER x / count(*) OVER x AS mean,
-              sum(v * v) OVER x / count(*) OVER x - (sum(v) OVER x / count(*) OVER x) * (sum(v) OVER x / count(*) OVER x) AS var
-  FROM lg WINDOW x AS (PARTITION BY session_id, metric ORDER BY "window" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    + f""",
+lg AS (  -- in ten-thousandths, whole numbers
+  SELECT session_id, "window", event_count, 'root_count' AS metric, CAST(root_count * 10000 AS HUGEINT) AS v FROM wm
+  {' '.join(f"UNION ALL SELECT session_id, \"window\", event_count, '{m}', CAST({half_up(m, 4)} * 10000 AS HUGEINT) FROM wm" for m in SHIFTING)}),
+sc AS (SELECT *, count(*) OVER x * v - sum(v) OVER x AS apart,
+              count(*) OVER x * sum(v * v) OVER x - (sum(v) OVER x) * (sum(v) OVER x) AS spread
+  FROM lg WINDOW x AS (PARTITION BY session_id, metric ORDER BY "window" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+zs AS (SELECT *, CASE WHEN spread > 0 THEN apart::DOUBLE / sqrt(spread::DOUBLE) END AS z FROM sc WHERE "window" >= 3)
 SELECT session_id, "window", "window" * 10 AS event_index_start, "window" * 10 + event_count AS event_index_end, metric,
-  round((v - mean) / sqrt(var), 4) AS z FROM sc
-WHERE "window" >= 3 AND var > 1e-9 AND abs((v - mean) / sqrt(var)) >= 2.0""",
+  {half_up('z', 4)}::DOUBLE AS z FROM zs WHERE abs(z) >= 2.0""",
 )
 def topology_shift(spark, sf):
     return rounded(W.topology_shift(trace_native(spark, sf), 10, 2.0), 4)

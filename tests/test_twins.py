@@ -48,3 +48,10 @@ def test_compared_measures_round_half_up(spark, both):
     rows = [(u, k, 1.0, u + t) for u in (1, 2) for k, t in ((9, 0), (1, long))]
     got = {r[2]: r[3] for r in both("compare_sessions", events=events(spark, *rows))}
     assert got["max_lifespan"] == "1522314.3281"
+
+
+def test_constant_measures_do_not_shift(spark, both):
+    """Three windows of one branch density: its spread is zero, not what is left of a difference of squares."""
+    ks = [91, 89, 72, 95, 2, 2, 44, 67, 12, 55, 27, 36, 77, 11, 40, 70, 12, 64, 54, 63, 94, 3, 14, 69, 63, 79, 81, 62, 2, 88, 27, 47, 76, 41, 87, 52, 97, 32, 44, 11]
+    got = both("topology_shift", events=events(spark, *[(1, k, 1.0) for k in ks]))
+    assert all(abs(r[-1]) < 1e6 for r in got)

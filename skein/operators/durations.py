@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,14 +91,18 @@ def top_tools(events: DataFrame, top: int = 10) -> DataFrame:
 
 
 def slow_calls(events: DataFrame, factor: float = 3.0, floor_ms: float = 50.0) -> DataFrame:
-    """Calls over ``factor`` times their tool's session average, if that is above the floor."""
-    means = events.groupBy("session_id", "tool_name").agg(F.avg("duration_ms").alias("tool_avg_ms"))
+    """Calls over ``factor`` times their tool's session average, if that is above the floor.
+
+    Durations are compared in whole nanoseconds, so no sum depends on the order of rows.
+    """
+    ms = F.col("duration_ms").try_cast("decimal(20,6)")
+    sums = events.groupBy("session_id", "tool_name").agg(F.sum(ms).cast("decimal(26,6)").alias("_s"), F.count(ms).cast("decimal(10,0)").alias("_n"))
+    times, floor = F.lit(Decimal(str(factor))), F.lit(Decimal(str(floor_ms)))
+    mean = (F.col("_s") * 1_000_000).cast("double") / (F.col("_n") * 1_000_000).cast("double")
     return (
-        events.join(means, ["session_id", "tool_name"])
-        .filter(
-            (F.col("duration_ms") > F.col("tool_avg_ms") * factor) & (F.col("tool_avg_ms") > floor_ms)
-        )
-        .select("session_id", "event_id", "tool_name", "duration_ms", "tool_avg_ms")
+        events.join(sums, ["session_id", "tool_name"])
+        .filter((ms * F.col("_n") > times * F.col("_s")) & (F.col("_s") > floor * F.col("_n")))
+        .select("session_id", "event_id", "tool_name", "duration_ms", mean.alias("tool_avg_ms"))
     )
 
 

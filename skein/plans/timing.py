@@ -183,9 +183,10 @@ def top_tools(spark, sf):
 
 @query(
     "slow_calls",
-    f"""WITH {NATIVE}, t AS (SELECT session_id, tool_name, avg(duration_ms) AS a FROM tn GROUP BY 1, 2)
-SELECT session_id, event_id, tool_name, duration_ms, round(a, 6) AS tool_avg_ms FROM tn JOIN t USING (session_id, tool_name)
-WHERE duration_ms > a * 3 AND a > 5""",
+    f"""WITH {NATIVE}, d AS (SELECT *, CAST({half_up('duration_ms', 6)} * 1000000 AS HUGEINT) AS ns FROM tn),
+t AS (SELECT session_id, tool_name, sum(ns) AS s, count(ns) AS n FROM d GROUP BY 1, 2)
+SELECT session_id, event_id, tool_name, duration_ms, {half_up('s::DOUBLE / (n * 1000000)::DOUBLE', 6)}::DOUBLE AS tool_avg_ms
+FROM d JOIN t USING (session_id, tool_name) WHERE ns * n > 3 * s AND s > 5000000 * n::HUGEINT""",
 )
 def slow_calls(spark, sf):
     return rounded(D.slow_calls(trace_native(spark, sf), floor_ms=5.0))

@@ -55,3 +55,11 @@ def test_constant_measures_do_not_shift(spark, both):
     ks = [91, 89, 72, 95, 2, 2, 44, 67, 12, 55, 27, 36, 77, 11, 40, 70, 12, 64, 54, 63, 94, 3, 14, 69, 63, 79, 81, 62, 2, 88, 27, 47, 76, 41, 87, 52, 97, 32, 44, 11]
     got = both("topology_shift", events=events(spark, *[(1, k, 1.0) for k in ks]))
     assert all(abs(r[-1]) < 1e6 for r in got)
+
+
+def test_slow_calls_do_not_depend_on_order(spark, both):
+    """Three times the average exactly is not slow, whatever the order of the sum."""
+    rows = [(1, 1, 5.14)] * 3 + [(1, 1, 46.26)]  # the last is three times the average exactly
+    tie = [(2, 1, v) for v in (0.01,) * 62 + (320.01, 320.02)]  # 640.65 / 64 = 10.01015625: a tie in the last decimals
+    got = both("slow_calls", events=events(spark, *rows, *tie))
+    assert got == [("2", "66", "view", 320.01, 10.010156), ("2", "67", "view", 320.02, 10.010156)]

@@ -31,9 +31,10 @@ def _with_ids(spark, sf):
 IDS = """
 lab AS (SELECT doc_id, text, doc_id % 7 AS n, ['PM-A-001', 'PM-A-002', 'PM-B-001', 'PM-B-002'] AS l FROM documents),
 seq AS (SELECT doc_id, text, n, l, range(0, n) AS r, least(n, 4) AS m FROM lab),
-rd AS (SELECT doc_id, replace(replace(replace(text, 'license', 'terms'), 'the ', 'THE '), '@', ' at ')
-  || array_to_string(list_transform(r, lambda i: ' ' || CASE WHEN i < 4 THEN coalesce(l[n + i + 1], 'PM-ANON') ELSE 'PM-ANON' END || ' '), '')
-  || ' ' || coalesce(l[n + m + 1], 'PM-ANON') AS redacted FROM seq)
+-- The blank that follows the text belongs to the phrases that are replaced.
+rd AS (SELECT doc_id, replace(replace(replace(text || ' ', 'license', 'terms'), 'the ', 'THE '), '@', ' at ')
+  || array_to_string(list_transform(r, lambda i: CASE WHEN i < 4 THEN coalesce(l[n + i + 1], 'PM-ANON') ELSE 'PM-ANON' END || '  '), '')
+  || coalesce(l[n + m + 1], 'PM-ANON') AS redacted FROM seq)
 """
 
 

@@ -63,3 +63,9 @@ def test_slow_calls_do_not_depend_on_order(spark, both):
     tie = [(2, 1, v) for v in (0.01,) * 62 + (320.01, 320.02)]  # 640.65 / 64 = 10.01015625: a tie in the last decimals
     got = both("slow_calls", events=events(spark, *rows, *tie))
     assert got == [("2", "66", "view", 320.01, 10.010156), ("2", "67", "view", 320.02, 10.010156)]
+
+
+def test_phrases_that_end_with_the_text(spark, both):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["of the", "the", "", "the license", None, "a", "by the", "at the"])], "doc_id bigint, text string")
+    got = both("redact_text", documents=docs.filter("text IS NOT NULL"))
+    assert got[0] == (0, "of THE PM-A-001")

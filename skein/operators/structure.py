@@ -197,7 +197,11 @@ def branch_density(events, scope: Sequence[str] = SESSION, graph: TraceGraph | N
 
 
 def critical_path(events, scope: Sequence[str] = SESSION, graph: TraceGraph | None = None) -> DataFrame:
-    """Longest root-to-leaf chain; earliest root and earliest child win ties."""
+    """Longest root-to-leaf chain; earliest root and earliest child win ties.
+
+    All sides have about a row per event, so they are merged: written tables of positions are
+    so small on disk that the optimizer would send them whole through the driver.
+    """
     g = graph_of(events, scope, graph)
     keys = [*g.scope, "pos"]
     placed = g.profile.filter("height IS NOT NULL")
@@ -205,8 +209,8 @@ def critical_path(events, scope: Sequence[str] = SESSION, graph: TraceGraph | No
     under = placed.select(*g.scope, F.col("pos").alias("dst"), F.col("height").alias("hd"))
     nxt = (
         g.down()
-        .join(above, [*g.scope, "src"])
-        .join(under, [*g.scope, "dst"])
+        .join(above.hint("merge"), [*g.scope, "src"])
+        .join(under.hint("merge"), [*g.scope, "dst"])
         .filter("hd = hs - 1")
         .groupBy(*g.scope, "src")
         .agg(F.min("dst").alias("dst"))
@@ -220,7 +224,7 @@ def critical_path(events, scope: Sequence[str] = SESSION, graph: TraceGraph | No
     )
     return (
         g.closure(first, nxt)
-        .join(_ids(g), keys)
+        .join(_ids(g).hint("merge"), keys)
         .select(*g.scope, F.col("dist").alias("step"), "event_id", "tool_name")
     )
 

@@ -338,11 +338,11 @@ class TraceGraph:
                 .groupBy(*self.scope, "start", F.col("dst").alias("pos"))
                 .agg((F.min("dist") + 1).alias("dist"))
             )
-            front = cut(arriving.join(found, [*self.scope, "start", "pos"], "left_anti"))
+            front = cut(arriving.join(found.hint("merge"), [*self.scope, "start", "pos"], "left_anti"))
             if front.isEmpty():
                 return found
             fresh = cut(
-                settle(front).join(found, [*self.scope, "start", "pos"], "left_anti")
+                settle(front).join(found.hint("merge"), [*self.scope, "start", "pos"], "left_anti")
             )
             found = cut(found.unionByName(fresh))
 

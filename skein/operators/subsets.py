@@ -399,10 +399,8 @@ def lint_plans(plans: DataFrame) -> DataFrame:
     Prohibited keys are looked for at any depth; each place that has one is an issue. A plan
     that is no JSON breaks every rule on fields.
     """
-    v = F.try_parse_json("plan")
-
     def get(path: str, dtype: str) -> Column:
-        return F.try_variant_get(v, path, dtype)
+        return F.try_variant_get("_v", path, dtype)
 
     def when(cond: Column, text: str) -> Column:
         return F.when(F.coalesce(cond, F.lit(True)), F.array(F.lit(text))).otherwise(F.array())
@@ -436,26 +434,37 @@ def lint_plans(plans: DataFrame) -> DataFrame:
         ),
     )
     empty = F.expr("cast(array() as array<string>)")
-    fields = plans.select("plan_id", F.explode(F.concat(empty, *checks, loose)).alias("issue"))
+    read = _dealt(plans).select("plan_id", F.try_parse_json("plan").alias("_v"))
+    fields = read.select("plan_id", F.explode(F.concat(empty, *checks, loose)).alias("issue"))
     hits = plan_entries(plans).filter(F.col("key").isin(*PROHIBITED_KEYS))
     return fields.unionByName(hits.select("plan_id", F.concat(F.lit("prohibited execution key: "), "path").alias("issue")))
 
 
+def _dealt(plans: DataFrame) -> DataFrame:
+    """Plans over all tasks: a table of few bytes lies in few files, yet opening a plan takes long."""
+    return plans.repartition(int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions")), "plan_id")
+
+
+def _plan_hash() -> Column:
+    return F.unhex(F.sha2("plan", 256)).alias("plan_hash")
+
+
 def plan_entries(plans: DataFrame, skipped: Sequence[str] = ()) -> DataFrame:
-    """Every value inside each plan: ``plan_id, plan, path, steps, key, leaf``.
+    """Every value inside each plan: ``plan_id, plan_hash, path, steps, key, leaf``.
 
+    ``plan_hash`` is the SHA-256 of the plan's text: no row carries the text itself.
     Objects and arrays are opened level by level, as deep as the deepest plan goes. ``path``
     reads like ``$.a[0].b``, ``steps`` tells keys from places; ``key`` is null in arrays and
     ``leaf`` (JSON text) in objects and arrays that hold something. What lies under a
     ``skipped`` key is left out.
     """
     spark = plans.sparkSession
-    level = plans.select(
-        "plan_id", "plan", F.lit("$").alias("path"), F.expr("cast(array() AS array<string>)").alias("steps"), F.try_parse_json("plan").alias("v")
+    level = _dealt(plans).select(
+        "plan_id", _plan_hash(), F.lit("$").alias("path"), F.expr("cast(array() AS array<string>)").alias("steps"), F.try_parse_json("plan").alias("v")
     )
     found = None
     while True:
-        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("plan_id", "plan", "path", "steps", "pos", "key", "value")
+        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("plan_id", "plan_hash", "path", "steps", "pos", "key", "value")
         if skipped:
             inside = inside.filter(F.col("key").isNull() | ~F.col("key").isin(*skipped))
         in_array = F.col("key").isNull()
@@ -463,7 +472,7 @@ def plan_entries(plans: DataFrame, skipped: Sequence[str] = ()) -> DataFrame:
         full = kind.rlike("^(OBJECT<[^>]|ARRAY<(?!VOID>$))")
         inside = inside.select(
             "plan_id",
-            "plan",
+            "plan_hash",
             F.when(in_array, F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), "key")).alias("path"),
             F.array_append("steps", F.when(in_array, F.format_string("[%09d", "pos")).otherwise(F.concat(F.lit("."), "key"))).alias("steps"),
             "key",
@@ -476,16 +485,17 @@ def plan_entries(plans: DataFrame, skipped: Sequence[str] = ()) -> DataFrame:
         deeper = inside.filter("rest IS NOT NULL")
         if deeper.isEmpty():
             return found
-        level = deeper.select("plan_id", "plan", "path", "steps", F.parse_json("rest").alias("v"))
+        level = deeper.select("plan_id", "plan_hash", "path", "steps", F.parse_json("rest").alias("v"))
 
 
 def plan_signatures(plans: DataFrame) -> DataFrame:
     """``plan_id, plan, signature``: digest of each plan without volatile fields at any depth; key order does not matter."""
-    leaves = plan_entries(plans, VOLATILE_KEYS).filter("leaf IS NOT NULL").select("plan_id", "plan", "steps", "leaf").distinct()
+    leaves = plan_entries(plans, VOLATILE_KEYS).filter("leaf IS NOT NULL")
     # A plan's leaves come from one text, so they fit where the text did.
-    own = leaves.groupBy("plan_id", "plan").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("steps", "leaf")))), 256).alias("signature"))
+    own = leaves.groupBy("plan_id", "plan_hash").agg(F.sha2(F.to_json(F.sort_array(F.collect_set(F.struct("steps", "leaf")))), 256).alias("signature"))
     bare = F.sha2(F.lit(""), 256)
-    return plans.select("plan_id", "plan").join(own, ["plan_id", "plan"], "left").withColumn("signature", F.coalesce("signature", bare))
+    given = plans.select("plan_id", "plan", _plan_hash())
+    return given.join(own, ["plan_id", "plan_hash"], "left").select("plan_id", "plan", F.coalesce("signature", bare).alias("signature"))
 
 
 def validate_plans(plans: DataFrame, gaps: DataFrame) -> DataFrame:

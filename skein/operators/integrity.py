@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions.columns import fingerprint, iso_timestamp
 from skein.operators.edges import edges
 from skein.operators.graph import TraceGraph
+from skein.operators.lineage import cut
 from skein.operators.structure import cycle_nodes
 
 EXTERNAL_PREFIX = "root_"
@@ -78,6 +79,7 @@ def validate_sessions(
     Cycles, malformed lines and incomplete lines make a session invalid; broken
     references, orphans and unreadable timestamps are warnings.
     """
+    events = cut(events.select("session_id", "event_id", "parents", "pos", "tool_name", "timestamp", "ts"))
     parts = {
         "broken_refs": broken_refs(events),
         "orphan_count": orphans(events),
@@ -85,7 +87,7 @@ def validate_sessions(
         "bad_timestamps": bad_timestamps(events),
     }
     if raw is not None:
-        issues = line_issues(raw)
+        issues = cut(line_issues(raw))
         parts["malformed_lines"] = issues.filter("issue = 'malformed'")
         parts["schema_errors"] = issues.filter("issue = 'schema'")
     rows = events.select("session_id", F.lit("event_count").alias("what"))
@@ -144,6 +146,7 @@ def check_invariants(
     your own next to or instead of ``CHECKS``.
     """
     checks = CHECKS if checks is None else checks
+    events = cut(events)
     names = F.array(*[F.lit(n) for n in checks])
     rows = (
         events.select("session_id")

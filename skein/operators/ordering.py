@@ -31,10 +31,26 @@ def with_position(
 ) -> DataFrame:
     """Add the 1-based position in (timestamp text, ingest order) within the scope.
 
-    Rows are sliced by the first ``prefix`` characters of the text. Slices of more than
-    ``slice_rows`` rows, as tied timestamps make them, are ranked over sampled ranges instead.
+    Scopes of at most ``slice_rows`` rows are ranked as a whole. The rows of larger ones are
+    sliced by the first ``prefix`` characters of the text; slices of more than ``slice_rows``
+    rows, as tied timestamps make them, are ranked over sampled ranges instead.
     """
     scope = list(scope)
+    limit = slice_rows or SLICE_ROWS
+    known = events.dropna(subset=scope)
+    sizes = known.groupBy(*scope).agg(F.count("*").alias("_n"))
+    large = cut(sizes.filter(F.col("_n") > limit).select(*scope))
+    whole = Window.partitionBy(*scope).orderBy(ts_col, seq_col)
+    if large.isEmpty():
+        return known.withColumn(out, F.row_number().over(whole).cast("bigint"))
+    small = known.join(large, scope, "left_anti").withColumn(out, F.row_number().over(whole).cast("bigint"))
+    rest = known.join(large, scope, "left_semi")
+    return small.unionByName(_position_by_slices(rest, scope, ts_col, seq_col, out, prefix, limit))
+
+
+def _position_by_slices(
+    events: DataFrame, scope: list[str], ts_col: str, seq_col: str, out: str, prefix: int, limit: int
+) -> DataFrame:
     keys = [*scope, "_slice"]
     sliced = events.withColumn("_slice", F.coalesce(F.substring(ts_col, 1, prefix), F.lit("")))
     before = (
@@ -44,7 +60,7 @@ def with_position(
     )
     counts = sliced.groupBy(*keys).agg(F.count("*").alias("_n"))
     offsets = cut(counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    hot = offsets.filter(F.col("_n") > (slice_rows or SLICE_ROWS)).select(*keys)
+    hot = offsets.filter(F.col("_n") > limit).select(*keys)
     crowded = not hot.isEmpty()
     calm = sliced.join(hot, keys, "left_anti") if crowded else sliced
     ranked = calm.withColumn(

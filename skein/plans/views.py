@@ -95,8 +95,8 @@ def trace_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``trace_native`` with broken, external and cyclic references."""
     df = _linked(spark, sf_dir)
-    ahead = df.select("session_id", (F.col("pos") - 1).alias("pos"), F.col("event_id").alias("nxt"))
-    df = df.join(ahead, ["session_id", "pos"], "left")
+    # Seen from the end, the next event is the one before.
+    df = neighbours(df.withColumn("_from_end", -F.col("pos")), {"nxt": ("event_id", 1)}, pos="_from_end")
     k = F.col("k")
     parents = (
         F.when(k == 7, F.array(F.concat(F.lit("ext_"), k.cast("string"))))

@@ -27,3 +27,23 @@ def test_plans_are_dealt_to_all_tasks(spark):
     plans = spark.range(100).coalesce(1).select(F.col("id").cast("string").alias("plan_id"), F.lit('{"cmd": 1}').alias("plan"))
     assert "RepartitionByExpression [plan_id" in planned(X.lint_plans(plans))
     assert X.lint_plans(plans).filter("issue LIKE 'prohibited%'").count() == 100
+
+
+def test_positions_of_small_and_large_sessions(spark):
+    rows = [(s, f"2026-01-01T{(i * 7) % 24:02d}:{i % 3:02d}", i) for s, n in (("a", 5), ("b", 60), ("c", 8), ("d", 9)) for i in range(n)]
+    df = spark.createDataFrame([*rows, (None, "2026", 1)], "session_id string, timestamp string, ingest_seq bigint")
+    w = Window.partitionBy("session_id").orderBy("timestamp", "ingest_seq")
+    plain = df.dropna(subset=["session_id"]).withColumn("pos", F.row_number().over(w).cast("bigint")).collect()
+    assert sorted(with_position(df, slice_rows=8).collect()) == sorted(plain)
+    assert sorted(with_position(df).collect()) == sorted(plain)
+
+
+def test_small_sessions_are_ranked_without_a_join(spark):
+    assert "Join" not in planned(views.trace_native(spark, SMALL))
+    assert "Join" not in planned(views.trace_dirty(spark, SMALL))
+
+
+def test_checks_read_the_events_once(spark):
+    checked = V.validate_sessions(views.trace_dirty(spark, SMALL), checks.raw_lines(spark, SMALL))
+    assert "Window" not in planned(checked)
+    assert "Window" not in planned(V.check_invariants(views.trace_dirty(spark, SMALL)))

@@ -16,7 +16,7 @@ from skein.sources import agents, attribution, dsh, hooks, raw, textlogs
 
 def _src(spark, sf):
     """Events with session, position and the number ``k`` that shapes the log record."""
-    return trace_native(spark, sf).select(
+    src = trace_native(spark, sf).select(
         "session_id",
         "event_id",
         "pos",
@@ -26,6 +26,8 @@ def _src(spark, sf):
         "duration_ms",
         F.regexp_extract("tool_input", "([0-9]+)", 1).cast("int").alias("k"),
     )
+    # A log is read more than once; its events are linked only here.
+    return cut(src)
 
 
 def obj(**fields):

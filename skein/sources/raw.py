@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.operators.lineage import cut
 from skein.operators.ordering import neighbours, with_position
 from skein.schema import EVENT_FIELDS, EVENT_SCHEMA, conform_events
 
@@ -78,7 +79,8 @@ def arguments(text: Column) -> Column:
 
 def placed(events: DataFrame) -> DataFrame:
     """Add ``pos`` by (line_no, part) within the session."""
-    ordered = events.withColumn("_line", F.lpad(F.col("line_no").cast("string"), LINE_DIGITS, "0"))
+    # Written once, as sessions are counted before they are ranked.
+    ordered = cut(events.withColumn("_line", F.lpad(F.col("line_no").cast("string"), LINE_DIGITS, "0")))
     return with_position(ordered, ["session_id"], "_line", "part", "pos", SLICE_DIGITS).drop("_line")
 
 

@@ -47,3 +47,7 @@ def test_checks_read_the_events_once(spark):
     checked = V.validate_sessions(views.trace_dirty(spark, SMALL), checks.raw_lines(spark, SMALL))
     assert "Window" not in planned(checked)
     assert "Window" not in planned(V.check_invariants(views.trace_dirty(spark, SMALL)))
+
+
+def test_logs_are_made_from_written_events(spark):
+    assert "Window" not in planned(ingest.hook_records(spark, SMALL))

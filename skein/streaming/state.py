@@ -12,7 +12,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
+    parts = list(rows)
+    df = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return df if df[by].is_monotonic_increasing else df.sort_values(by, kind="stable", ignore_index=True)
+
+
+def _plain(values: pd.Series) -> list:
+    """Values as Python objects, None where there is none."""
+    return values.astype(object).where(values.notna(), None).tolist() if values.hasnans else values.tolist()
 
 
 class Pairing(StatefulProcessor):
@@ -38,40 +45,32 @@ class Pairing(StatefulProcessor):
         df = _ordered(rows, "line_no")
         last = self.last.get()[0] if self.last.exists() else None
         waiting = {tool[0]: tuple(w) for tool, w in self.open.iterator()} if self.open.exists() else {}
-        known = pd.DataFrame(
-            [(t, a, p, True) for t, (a, p) in waiting.items() if t in set(df.tool_name)],
-            columns=["tool_name", "arrived_ms", "parent", "pre"],
-        )
-        df["pre"] = df.hook_event_name == "PreToolUse"
-        df["place"] = range(len(df))
-        # Open calls of earlier batches stand before the batch.
-        every = pd.concat([known.assign(place=-1), df], ignore_index=True) if len(known) else df.assign(parent=None)
-        before = every.groupby("tool_name", sort=False, dropna=False)[["pre", "arrived_ms"]].shift()
-        wait = every.arrived_ms - before.arrived_ms
-        done = ~every.pre.astype(bool) & before.pre.eq(True)
-        if self.ttl_ms is not None:
-            done &= wait <= self.ttl_ms
-        every["event_id"] = [f"{session}:{n}" if d else None for d, n in zip(done, every.get("line_no", pd.Series(-1, every.index)).fillna(-1).astype("int64"), strict=True)]
-        inside = every[every.place >= 0]
-        last_done = inside.event_id.shift().ffill()
-        last_done = last_done.where(last_done.notna(), last)
-        own = every.parent.where(every.place < 0, last_done.reindex(every.index)).astype(object)
-        every["parent"] = own.where(own.notna(), None)
-        every["parent_event_id"] = every.groupby("tool_name", sort=False, dropna=False)["parent"].shift()
-        every["duration_ms"] = wait.astype("float64")
-        found = every[done]
-        completed = inside.event_id.dropna()
-        if len(completed):
-            self.last.update((completed.iloc[-1],))
-        ends = every.drop_duplicates("tool_name", keep="last")
-        for tool, pre, arrived, parent in zip(ends.tool_name, ends.pre, ends.arrived_ms, ends.parent, strict=True):
+        # Per tool the record before: is it a before-record, when it came, what was completed then.
+        before = {tool: (True, arrived, parent) for tool, (arrived, parent) in waiting.items()}
+        found, seen, begun = [], set(), last
+        fields = ("hook_event_name", "line_no", "arrived_ms", "tool_name", "tool_input", "tool_output", "timestamp", "agent")
+        for hook, line, arrived, tool, given, told, at, agent in zip(*(_plain(df[c]) for c in fields), strict=True):
+            pre = hook == "PreToolUse"
+            opened, since, parent = before.get(tool, (False, None, None))
+            before[tool] = (pre, arrived, last)
+            seen.add(tool)
+            if pre or not opened:
+                continue
+            wait = None if arrived is None or since is None else float(arrived - since)
+            if self.ttl_ms is None or (wait is not None and wait <= self.ttl_ms):
+                last = f"{session}:{-1 if line is None else int(line)}"
+                found.append((session, last, parent, tool, given, told, at, wait, agent))
+        if last != begun:
+            self.last.update((last,))
+        for tool in seen:
+            pre, arrived, parent = before[tool]
             if pre:
-                self.open.updateValue((tool,), (int(arrived), parent))
-                if self.by_event_time and self.ttl_ms is not None:
+                self.open.updateValue((tool,), (None if arrived is None else int(arrived), parent))
+                if self.by_event_time and self.ttl_ms is not None and arrived is not None:
                     self.handle.registerTimer(int(arrived) + self.ttl_ms)
             elif tool in waiting:
                 self.open.removeKey((tool,))
-        yield found.reindex(columns=list(self.COLUMNS)).astype(object).where(lambda x: x.notna(), None)
+        yield pd.DataFrame(found, columns=list(self.COLUMNS), dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()

@@ -587,8 +587,8 @@ def units(spark, sf):
     return X.experimental_units(records(spark, sf))
 
 
-def membership(spark, sf):
-    return cut(X.subset_membership(units(spark, sf)))
+def membership(spark, sf, rec=None):
+    return cut(X.subset_membership(units(spark, sf) if rec is None else X.experimental_units(rec)))
 
 
 @query("experimental_units", UNITS + "SELECT * FROM un0")
@@ -816,8 +816,8 @@ fq AS (SELECT experiment_id, target_subset, observed_count, resolved_count, roun
 """
 
 
-def feedback(spark, sf):
-    return X.ingest_feedback(observations(spark, sf), records(spark, sf))
+def feedback(spark, sf, rec=None):
+    return X.ingest_feedback(observations(spark, sf), records(spark, sf) if rec is None else rec)
 
 
 @query("ingest_feedback", UNITS + f", {FEEDBACK} SELECT * FROM fe")
@@ -838,8 +838,9 @@ CASE WHEN remaining_sessions = 0 THEN 'met' ELSE 'under_target' END AS status, C
 FROM fq JOIN ga ON ga.subset_id = fq.target_subset""",
 )
 def update_gaps(spark, sf):
-    report = X.feedback_report(feedback(spark, sf))
-    return X.update_gaps(report, X.analyze_gaps(membership(spark, sf)))
+    rec = records(spark, sf)
+    report = X.feedback_report(feedback(spark, sf, rec))
+    return X.update_gaps(report, X.analyze_gaps(membership(spark, sf, rec)))
 
 
 @query(
@@ -851,8 +852,9 @@ missing_sessions + CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'l
 FROM fq CROSS JOIN ga""",
 )
 def reprioritize(spark, sf):
-    report = X.feedback_report(feedback(spark, sf))
-    return X.reprioritize(X.analyze_gaps(membership(spark, sf)), report)
+    rec = records(spark, sf)
+    report = X.feedback_report(feedback(spark, sf, rec))
+    return X.reprioritize(X.analyze_gaps(membership(spark, sf, rec)), report)
 
 
 _PART_TEXT = """concat_ws(chr(31), '{"digest":"' || digest || '"}', '{"part":"' || part || '"}', '{"rows":' || rows || '}', '{"session_id":"' || session_id || '"}')"""

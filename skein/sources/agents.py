@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.columns import epoch_to_iso
+from skein.operators.lineage import cut
 from skein.operators.ordering import running_last
 from skein.sources.attribution import canonical_tool, infer_provider
 from skein.sources.raw import (
@@ -55,36 +56,43 @@ def ingest_codex(raw: DataFrame) -> DataFrame:
     The first output of a call goes to it; a further one, and an output without a call,
     becomes an ``unknown`` call.
     """
-    df = parsed(raw).select(
-        "session_id", "line_no", "v",
-        get("v", "$.type").alias("type"),
-        get("v", "$.payload.type").alias("kind"),
-        get("v", "$.payload.call_id").alias("call_id"),
-    ).withColumn("pos", F.col("line_no") + 1)
+    blocks = F.filter(
+        get("v", "$.payload.content", "array<variant>"), lambda b: get(b, "$.type") == "output_text"
+    )
+    text = F.array_join(F.transform(blocks, lambda b: F.coalesce(get(b, "$.text"), F.lit(""))), "\n")
+    named = ("message", "role", "name", "arguments", "output", "model", "model_provider")
+    # Every line is parsed once; what follows reads the written fields.
+    rows = cut(
+        parsed(raw).select(
+            "session_id", "line_no",
+            get("v", "$.type").alias("type"),
+            get("v", "$.payload.type").alias("kind"),
+            get("v", "$.payload.call_id").alias("call_id"),
+            get("v", "$.timestamp").alias("at"),
+            text.alias("text"),
+            *[get("v", f"$.payload.{n}").alias(f"p_{n}") for n in named],
+        )
+    )
     df = running_last(
-        df,
+        rows.withColumn("pos", F.col("line_no") + 1),
         {
-            "provider": F.when(F.col("type") == "session_meta", F.coalesce(get("v", "$.payload.model_provider"), F.lit(""))),
-            "model": F.when(F.col("type") == "turn_context", F.coalesce(get("v", "$.payload.model"), F.lit(""))),
+            "provider": F.when(F.col("type") == "session_meta", F.coalesce("p_model_provider", F.lit(""))),
+            "model": F.when(F.col("type") == "turn_context", F.coalesce("p_model", F.lit(""))),
         },
     )
     item, msg = F.col("type") == "response_item", F.col("type") == "event_msg"
-    thinking = msg & (F.col("kind") == "agent_message") & ~blank(get("v", "$.payload.message"))
+    thinking = msg & (F.col("kind") == "agent_message") & ~blank(F.col("p_message"))
     call = item & (F.col("kind") == "function_call")
     output = item & (F.col("kind") == "function_call_output")
-    blocks = F.filter(
-        get("v", "$.payload.content", "array<variant>"), lambda b: get(b, "$.type") == "output_text"
-    )
-    text = F.array_join(F.transform(blocks, lambda b: F.coalesce(get(b, "$.text"), F.lit(""))), "\n")
-    reply = item & (F.col("kind") == "message") & (get("v", "$.payload.role") == "assistant") & ~blank(text)
-    called = df.filter(call).select("session_id", F.coalesce("call_id", F.lit("")).alias("call_id"), F.col("line_no").alias("call_line"))
+    reply = item & (F.col("kind") == "message") & (F.col("p_role") == "assistant") & ~blank(F.col("text"))
+    called = rows.filter(call).select("session_id", F.coalesce("call_id", F.lit("")).alias("call_id"), F.col("line_no").alias("call_line"))
     results = (
-        df.filter(output)
+        rows.filter(output)
         .select(
             "session_id",
             "line_no",
             F.coalesce("call_id", F.lit("")).alias("call_id"),
-            clip(F.nullif(get("v", "$.payload.output"), F.lit(""))).alias("out"),
+            clip(F.nullif("p_output", F.lit(""))).alias("out"),
         )
         .join(called, ["session_id", "call_id"], "left")
         .groupBy("session_id", "line_no", "call_id", "out")
@@ -109,16 +117,16 @@ def ingest_codex(raw: DataFrame) -> DataFrame:
         event_id().alias("event_id"),
         F.when(call | orphan, "tool_call").otherwise("reasoning").alias("event_type"),
         F.when(thinking, "Thinking")
-        .when(call, F.coalesce(get("v", "$.payload.name"), F.lit("unknown")))
+        .when(call, F.coalesce("p_name", F.lit("unknown")))
         .when(reply, "Response")
         .otherwise("unknown")
         .alias("tool_name"),
-        F.when(thinking, json_object(content=clip(get("v", "$.payload.message"))))
-        .when(call, arguments(get("v", "$.payload.arguments")))
-        .when(reply, json_object(text=clip(text, REPLY_LIMIT)))
+        F.when(thinking, json_object(content=clip(F.col("p_message"))))
+        .when(call, arguments(F.col("p_arguments")))
+        .when(reply, json_object(text=clip(F.col("text"), REPLY_LIMIT)))
         .alias("tool_input"),
         F.coalesce("out", "lost").alias("tool_output"),
-        F.regexp_replace(get("v", "$.timestamp"), "Z$", "+00:00").alias("timestamp"),
+        F.regexp_replace("at", "Z$", "+00:00").alias("timestamp"),
         F.nullif("model", F.lit("")).alias("model"),
         F.nullif("provider", F.lit("")).alias("provider"),
         F.lit("codex").alias("agent"),

@@ -223,10 +223,16 @@ def _features(spark, sf):
     return K.session_features(cut(attributed(spark, sf)))
 
 
-def _facts(spark, sf):
+def _labels(spark, sf):
+    """Sidecars and annotations, written once as several tables are made from them."""
+    return cut(sidecar(spark, sf)), cut(annotation(spark, sf))
+
+
+def _facts(spark, sf, labels=None):
+    own, noted = labels or _labels(spark, sf)
     ev = cut(attributed(spark, sf))
-    features = K.session_features(ev)
-    return cut(K.corpus_facts(ev, sidecar(spark, sf), annotation(spark, sf), features))
+    features = cut(K.session_features(ev))
+    return cut(K.corpus_facts(ev, own, noted, features))
 
 
 @query("corpus_facts", FACTS + "SELECT * FROM fr")
@@ -454,10 +460,10 @@ def research_grade(spark, sf):
 
 
 def _report_tables(spark, sf):
-    own, noted = sidecar(spark, sf), annotation(spark, sf)
+    own, noted = _labels(spark, sf)
     meta, prov = M.effective_metadata(own, noted), M.field_provenance(own, noted)
     return {
-        "facts": _facts(spark, sf),
+        "facts": _facts(spark, sf, (own, noted)),
         "near_misses": K.near_misses(meta, prov),
         "strict": K.research_grade(meta, prov),
         "audit": K.provenance_audit(meta, prov),

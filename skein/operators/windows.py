@@ -104,19 +104,20 @@ def window_metrics(events: DataFrame, size: int = 50, overlap: int = 0) -> DataF
         )
     )
     g = TraceGraph(cutup, scope, "wpos")
-    stats = session_stats(cutup, scope, g, "wpos").select(
-        *scope, "event_count", "root_count", "max_depth", "avg_depth"
-    )
-    return (
-        stats.join(transition_entropy(cutup, scope, "wpos", g.edges), scope)
-        .join(
-            path_reuse_ratio(cutup, 10, scope, "wpos", g).select(
-                *scope, F.col("reuse_ratio").alias("path_reuse_ratio")
-            ),
-            scope,
-        )
-        .join(branch_density(cutup, scope, g, "wpos"), scope)
-    )
+    reuse = path_reuse_ratio(cutup, 10, scope, "wpos", g)
+    measures = [
+        session_stats(cutup, scope, g, "wpos").select(*scope, "event_count", "root_count", "max_depth", "avg_depth"),
+        transition_entropy(cutup, scope, "wpos", g.edges),
+        reuse.select(*scope, F.col("reuse_ratio").alias("path_reuse_ratio")),
+        branch_density(cutup, scope, g, "wpos"),
+    ]
+    # Every table has one row per window. Written, they meet in one aggregate; a chain of joins
+    # would hold the sorts and hash tables of all of them in the same task.
+    rows = cut(measures[0])
+    for table in measures[1:]:
+        rows = rows.unionByName(cut(table), allowMissingColumns=True)
+    names = [c for c in rows.columns if c not in scope]
+    return rows.groupBy(*scope).agg(*[F.max(c).alias(c) for c in names]).filter("event_count IS NOT NULL")
 
 
 SHIFT_METRICS = ("root_count", "transition_entropy", "path_reuse_ratio", "avg_branch_density")
@@ -128,7 +129,8 @@ def shift_scores(events: DataFrame, size: int = 50) -> DataFrame:
     Measures have four decimals, so their sums are whole numbers of ten-thousandths and a
     measure that never changed has a spread of exactly zero, which gives no z.
     """
-    metrics = window_metrics(events, size)
+    # Read twice: for the sums inside slices and for those of whole slices.
+    metrics = cut(window_metrics(events, size))
     rows = metrics.select(
         "session_id",
         "window",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import integrity as V
 from skein.operators import subsets as X
+from skein.operators import windows as W
 from skein.operators.ordering import with_position
 from skein.plans import checks, ingest, views
 
@@ -51,3 +52,9 @@ def test_checks_read_the_events_once(spark):
 
 def test_logs_are_made_from_written_events(spark):
     assert "Window" not in planned(ingest.hook_records(spark, SMALL))
+
+
+def test_measures_of_windows_meet_without_joins(spark):
+    measured = W.window_metrics(views.trace_native(spark, SMALL), 20)
+    assert "Join" not in planned(measured)
+    assert measured.filter("root_count IS NULL OR transition_entropy IS NULL OR path_reuse_ratio IS NULL OR avg_branch_density IS NULL").isEmpty()

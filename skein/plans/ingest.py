@@ -10,23 +10,23 @@ from skein.operators.ordering import prepare
 from skein.plans.catalog import query
 from skein.plans.oracle import NATIVE, RAW
 from skein.plans.timing import ATTR, attributed
-from skein.plans.views import table, trace_native
+from skein.plans.views import numbered, table, trace_native
 from skein.sources import agents, attribution, dsh, hooks, raw, textlogs
 
 
 def _src(spark, sf):
     """Events with session, position and the number ``k`` that shapes the log record."""
-    src = trace_native(spark, sf).select(
+    src = numbered(spark, sf).select(
         "session_id",
         "event_id",
         "pos",
-        F.col("tool_name").alias("kind"),
+        F.col("event_type").alias("kind"),
         "timestamp",
         "ts",
         "duration_ms",
-        F.regexp_extract("tool_input", "([0-9]+)", 1).cast("int").alias("k"),
+        "k",
     )
-    # A log is read more than once; its events are linked only here.
+    # A log is read more than once; its events are ranked only here.
     return cut(src)
 
 

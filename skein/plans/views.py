@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their position in the session and the number ``k`` of their properties."""
     ev = table(spark, sf_dir, "events")
     return with_position(
         ev.select(
@@ -65,12 +66,12 @@ def trace_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "error", "bash")
         .otherwise(kind)
     )
-    return _shape(_raw(spark, sf_dir), tool, F.expr("cast(array() as array<string>)"))
+    return _shape(numbered(spark, sf_dir), tool, F.expr("cast(array() as array<string>)"))
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = {f"b{n}": ("event_id", n) for n in range(1, 6)}
-    df = neighbours(_raw(spark, sf_dir), back)
+    df = neighbours(numbered(spark, sf_dir), back)
     one = F.least(1 + F.col("k") % 3, F.col("pos") - 1)
     two = 2 + F.col("k") % 4
     backs = F.array(*[F.col(f"b{n}") for n in range(1, 6)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.columns import iso_timestamp
 from skein.operators.inference import infer_relations
+from skein.operators.lineage import cut
 from skein.operators.ordering import running_sum
 from skein.operators.patterns import SESSION
 from skein.sources.attribution import canonical_tool
@@ -141,39 +142,50 @@ def _epoch_or_text(v: str, *paths: str) -> Column:
 
 def ingest_continue_log(lines: DataFrame) -> DataFrame:
     """JSON log lines that are tool calls by field or by message text."""
-    df = _first_copies(lines).withColumn("v", F.try_parse_json("value")).filter("v IS NOT NULL")
-    message = F.coalesce(get("v", "$.message"), F.lit(""))
-    raw = F.try_parse_json(get("v", "$.raw"))
+    df = _first_copies(lines).select("session_id", "line_no", F.try_parse_json("value").alias("v"))
     tool = F.coalesce(F.try_variant_get("v", "$.tool", "variant"), F.try_variant_get("v", "$.tool_call", "variant"))
-
-    def named(x: Column) -> tuple[Column, Column, Column]:
-        return (
-            first_of(get(x, "$.name"), get(x, "$.function")),
-            first_of(get(x, "$.input"), get(x, "$.arguments")),
-            first_of(get(x, "$.output"), get(x, "$.result")),
-        )
-
-    in_text = first_of(*[F.regexp_extract(message, p, 1) for p in CONTINUE_PATTERNS])
-    word = F.trim(F.split_part(F.split_part(in_text, F.lit(":"), F.lit(1)), F.lit(" "), F.lit(1)))
-    n1, i1, o1 = named(tool)
-    n2, i2, o2 = named(raw)
     has_field = F.lit(False)
     for k in ("tool", "tool_call", "function_call"):
         has_field = has_field | F.try_variant_get("v", f"$.{k}", "variant").isNotNull()
-    df = df.filter(in_text.isNotNull() | has_field)
-    name = F.coalesce(n1, n2, word)
-    events = df.filter(name.isNotNull()).select(
+    df = df.select(
+        "session_id",
+        "line_no",
+        F.coalesce(get("v", "$.message"), F.lit("")).alias("message"),
+        F.try_parse_json(get("v", "$.raw")).alias("raw"),
+        tool.alias("tool"),
+        has_field.alias("has_field"),
+        _epoch_or_text("v", "$.timestamp", "$.time", "$.createdAt").alias("timestamp"),
+    )
+
+    def named(x: str, n: int) -> list[Column]:
+        return [
+            first_of(get(x, "$.name"), get(x, "$.function")).alias(f"n{n}"),
+            first_of(get(x, "$.input"), get(x, "$.arguments")).alias(f"i{n}"),
+            first_of(get(x, "$.output"), get(x, "$.result")).alias(f"o{n}"),
+        ]
+
+    in_text = first_of(*[F.regexp_extract("message", p, 1) for p in CONTINUE_PATTERNS])
+    # Every line is parsed once: a filter on values of the parsed line would parse it again for each.
+    df = cut(
+        df.select(
+            "session_id", "line_no", "message", "has_field", "timestamp", in_text.alias("in_text"), *named("tool", 1), *named("raw", 2)
+        )
+    )
+    word = F.trim(F.split_part(F.split_part("in_text", F.lit(":"), F.lit(1)), F.lit(" "), F.lit(1)))
+    name = F.coalesce("n1", "n2", word)
+    of_tool, of_raw = F.col("n1").isNotNull(), F.col("n2").isNotNull()
+    events = df.filter(F.col("in_text").isNotNull() | F.col("has_field")).filter(name.isNotNull()).select(
         "session_id",
         "line_no",
         F.lit(0).alias("part"),
         event_id().alias("event_id"),
         canonical_tool(name, "continue").alias("tool_name"),
         F.coalesce(
-            F.substring(F.when(n1.isNotNull(), i1).when(n2.isNotNull(), i2).otherwise(F.substring(message, 1, 300)), 1, 2000),
+            F.substring(F.when(of_tool, F.col("i1")).when(of_raw, F.col("i2")).otherwise(F.substring("message", 1, 300)), 1, 2000),
             F.lit("{}"),
         ).alias("tool_input"),
-        F.substring(F.when(n1.isNotNull(), o1).when(n2.isNotNull(), o2), 1, 2000).alias("tool_output"),
-        _epoch_or_text("v", "$.timestamp", "$.time", "$.createdAt").alias("timestamp"),
+        F.substring(F.when(of_tool, F.col("o1")).when(of_raw, F.col("o2")), 1, 2000).alias("tool_output"),
+        "timestamp",
         F.lit("continue").alias("agent"),
     )
     return _linked(events)

@@ -8,6 +8,7 @@ from skein.operators import subsets as X
 from skein.operators import windows as W
 from skein.operators.ordering import with_position
 from skein.plans import checks, ingest, views
+from skein.sources import textlogs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -58,3 +59,18 @@ def test_measures_of_windows_meet_without_joins(spark):
     measured = W.window_metrics(views.trace_native(spark, SMALL), 20)
     assert "Join" not in planned(measured)
     assert measured.filter("root_count IS NULL OR transition_entropy IS NULL OR path_reuse_ratio IS NULL OR avg_branch_density IS NULL").isEmpty()
+
+
+def before_linking(monkeypatch, ingest_log, spark, *values):
+    """Plan and rows of a log's events as they go to linking."""
+    monkeypatch.setattr(textlogs, "_linked", lambda events: events)
+    lines = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "session_id string, line_no bigint, value string")
+    events = ingest_log(lines)
+    return planned(events), sorted(events.collect(), key=lambda r: r.line_no)
+
+
+def test_continue_lines_are_parsed_once(spark, monkeypatch):
+    values = ['{"tool": {"name": "run", "input": "a"}, "time": 5}', "no json", None, '{"raw": "{\\"function\\": \\"x\\"}", "function_call": 1}', '{"message": "using tool: grep now"}', "null"]
+    plan, rows = before_linking(monkeypatch, textlogs.ingest_continue_log, spark, *values)
+    assert "parseJson" not in plan
+    assert [(r.line_no, r.tool_name, r.tool_input) for r in rows] == [(0, "Bash", "a"), (3, "x", "{}"), (4, "Grep", "using tool: grep now")]

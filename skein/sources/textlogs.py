@@ -194,34 +194,50 @@ def ingest_continue_log(lines: DataFrame) -> DataFrame:
 def ingest_copilot_log(lines: DataFrame) -> DataFrame:
     """Editor log lines: an embedded JSON object, else one of four line patterns."""
     df = _first_copies(lines)
-    body = F.try_parse_json(F.regexp_extract("value", r"(\{.*\})", 1))
-    df = df.withColumn("v", body)
-    name = first_of(get("v", "$.name"), get("v", "$.tool"), get("v", "$.function"))
+    df = df.withColumn("v", F.try_parse_json(F.regexp_extract("value", r"(\{.*\})", 1)))
     given = F.coalesce(
         *[F.try_variant_get("v", f"$.{k}", "variant") for k in ("input", "arguments", "args")]
     )
-    is_object = F.schema_of_variant(given).startswith("OBJECT")
-    text = F.try_variant_get(given, "$", "string")
-    hit = F.coalesce(
-        *[F.when(F.col("value").rlike(p), F.regexp_extract("value", p, 1)) for p in COPILOT_PATTERNS]
+    # Only the first pattern can match without a word.
+    first, *rest = COPILOT_PATTERNS
+    hit = F.when(F.col("value").rlike(first), F.regexp_extract("value", first, 1)).otherwise(
+        first_of(*[F.regexp_extract("value", p, 1) for p in rest])
+    )
+    df = df.select(
+        "session_id",
+        "line_no",
+        "value",
+        first_of(get("v", "$.name"), get("v", "$.tool"), get("v", "$.function")).alias("name"),
+        given.alias("given"),
+        first_of(get("v", "$.output"), get("v", "$.result")).alias("out"),
+    )
+    name, text = F.col("name"), F.try_variant_get("given", "$", "string")
+    is_object = F.schema_of_variant("given").startswith("OBJECT")
+    # Every line is parsed once: a filter on values of the parsed line would parse it again for each.
+    df = cut(
+        df.select(
+            "session_id",
+            "line_no",
+            "value",
+            name,
+            F.coalesce(name, F.nullif(hit, F.lit(""))).alias("tool"),
+            F.when(name.isNull(), json_object(raw=F.substring("value", 1, 300)))
+            .when(is_object, F.to_json("given"))
+            .when(text.isNotNull(), json_object(text=F.substring(text, 1, 2000)))
+            .otherwise("{}")
+            .alias("tool_input"),
+            F.when(name.isNotNull(), F.substring("out", 1, 2000)).alias("tool_output"),
+        )
     )
-    word = F.nullif(hit, F.lit(""))
     stamp = F.regexp_extract("value", r"^\[(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})", 1)
-    tool = F.coalesce(name, word)
-    events = df.filter(tool.isNotNull()).select(
+    events = df.filter("tool IS NOT NULL").select(
         "session_id",
         "line_no",
         F.lit(0).alias("part"),
         event_id().alias("event_id"),
-        canonical_tool(tool, "copilot").alias("tool_name"),
-        F.when(name.isNull(), json_object(raw=F.substring("value", 1, 300)))
-        .when(is_object, F.to_json(given))
-        .when(text.isNotNull(), json_object(text=F.substring(text, 1, 2000)))
-        .otherwise("{}")
-        .alias("tool_input"),
-        F.when(
-            name.isNotNull(), F.substring(first_of(get("v", "$.output"), get("v", "$.result")), 1, 2000)
-        ).alias("tool_output"),
+        canonical_tool(F.col("tool"), "copilot").alias("tool_name"),
+        "tool_input",
+        "tool_output",
         F.nullif(F.regexp_replace(stamp, r"\s+", "T"), F.lit("")).alias("timestamp"),
         F.lit("copilot").alias("agent"),
     )

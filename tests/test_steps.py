@@ -74,3 +74,11 @@ def test_continue_lines_are_parsed_once(spark, monkeypatch):
     plan, rows = before_linking(monkeypatch, textlogs.ingest_continue_log, spark, *values)
     assert "parseJson" not in plan
     assert [(r.line_no, r.tool_name, r.tool_input) for r in rows] == [(0, "Bash", "a"), (3, "x", "{}"), (4, "Grep", "using tool: grep now")]
+
+
+def test_copilot_lines_are_parsed_once(spark, monkeypatch):
+    values = ['[tool_call] then tool_use: view', 'x {"name": "open", "args": {"p": 1}, "result": "r"}', "running command: diff", 'a "tool": "b"', "idle", '{"tool": "status", "input": "t"}']
+    plan, rows = before_linking(monkeypatch, textlogs.ingest_copilot_log, spark, *values)
+    assert "parseJson" not in plan
+    assert [(r.line_no, r.tool_name, r.tool_output) for r in rows] == [(1, "Read", "r"), (2, "Read", None), (3, "b", None), (5, "Bash", None)]
+    assert [r.tool_input for r in rows if r.line_no in (1, 5)] == ['{"p":1}', '{"text":"t"}']

@@ -61,36 +61,36 @@ def ingest_opencode_log(lines: DataFrame) -> DataFrame:
     which starts minus completions falls to a new minimum below zero; the n-th other
     completion belongs to the n-th start.
     """
-    found = lines.select(
-        "session_id",
-        "line_no",
-        F.regexp_extract("value", OPENCODE_LINE, 3).alias("status"),
-        F.regexp_extract("value", OPENCODE_LINE, 5).alias("tool"),
-        F.nullif(F.regexp_extract("value", OPENCODE_LINE, 4), F.lit("")).cast("double").alias("logged"),
-        F.concat(
-            F.regexp_extract("value", OPENCODE_LINE, 1), F.lit("T"), F.regexp_extract("value", OPENCODE_LINE, 2)
-        ).alias("timestamp"),
+    # Every line is matched once; what follows reads the written fields.
+    found = cut(
+        lines.select(
+            "session_id",
+            "line_no",
+            F.regexp_extract("value", OPENCODE_LINE, 3).alias("status"),
+            F.regexp_extract("value", OPENCODE_LINE, 5).alias("tool"),
+            F.nullif(F.regexp_extract("value", OPENCODE_LINE, 4), F.lit("")).cast("double").alias("logged"),
+            F.concat(
+                F.regexp_extract("value", OPENCODE_LINE, 1), F.lit("T"), F.regexp_extract("value", OPENCODE_LINE, 2)
+            ).alias("timestamp"),
+        )
     ).filter("status <> '' AND tool <> 'invalid'")
     scope = ["session_id", "tool"]
     df = found.withColumn("at", F.col("line_no") + 1)
     is_start = F.col("status") == "started"
-    df = running_sum(df, {"level": F.when(is_start, 1).otherwise(-1)}, scope, "at")
-    df = _running_min(df, scope)
-    orphan = ~is_start & (F.col("level") < 0) & (F.col("level") < F.coalesce("lowest", F.lit(0)))
-    df = df.withColumn("orphan", orphan)
-    df = running_sum(
-        df,
-        {
-            "start_no": is_start.cast("int"),
-            "done_no": (~is_start & ~F.col("orphan")).cast("int"),
-        },
-        scope,
-        "at",
-    )
+    df = cut(running_sum(df, {"level": F.when(is_start, 1).otherwise(-1), "start_no": is_start.cast("int")}, scope, "at"))
     starts = df.filter(is_start).select(
         *scope, F.col("start_no").alias("done_no"), F.col("timestamp").alias("begun"), F.lit(False).alias("orphan")
     )
-    done = df.filter(~is_start).join(starts, [*scope, "done_no", "orphan"], "left")
+    # Levels move by one, so each orphan lowers the minimum by one: its depth is their number.
+    lowest = F.coalesce(F.least(F.col("lowest"), F.lit(0)), F.lit(0))
+    orphans = -F.least(F.col("level"), lowest)
+    done = (
+        _running_min(df, scope)
+        .filter(~is_start)
+        .withColumn("orphan", F.col("level") < lowest)
+        .withColumn("done_no", F.col("start_no") - F.col("level") - orphans)
+        .join(starts, [*scope, "done_no", "orphan"], "left")
+    )
     spent = F.greatest(
         (F.unix_micros(iso_timestamp("timestamp")) - F.unix_micros(iso_timestamp("begun"))) / F.lit(1000.0), F.lit(0.0)
     )

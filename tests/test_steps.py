@@ -82,3 +82,12 @@ def test_copilot_lines_are_parsed_once(spark, monkeypatch):
     assert "parseJson" not in plan
     assert [(r.line_no, r.tool_name, r.tool_output) for r in rows] == [(1, "Read", "r"), (2, "Read", None), (3, "b", None), (5, "Bash", None)]
     assert [r.tool_input for r in rows if r.line_no in (1, 5)] == ['{"p":1}', '{"text":"t"}']
+
+
+def test_registry_lines_are_matched_once(spark, monkeypatch):
+    steps = [("completed", "a"), ("started", "a"), ("completed", "b"), ("completed", "a"), ("completed", "a"), ("completed", "a"), ("started", "a"), ("started", "a"), ("completed", "a"), ("completed", "a"), ("completed", "a")]
+    values = [f"INFO 2026-01-01T00:00:{i:02d} x service=tool.registry status={s} {t}" for i, (s, t) in enumerate(steps)]
+    plan, rows = before_linking(monkeypatch, textlogs.ingest_opencode_log, spark, *values)
+    assert "regexp_extract" not in plan
+    assert plan.count("Relation ") + plan.count("LogicalRDD") <= 3
+    assert [(r.line_no, r.duration_ms) for r in rows] == [(0, None), (2, None), (3, 2000.0), (4, None), (5, None), (8, 2000.0), (9, 2000.0), (10, None)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,10 +116,14 @@ def set_digest(text: Column) -> Column:
     again. Sums combine on the map side, so no group is ever collected or sorted.
     """
     h = F.sha2(text, 256)
-    parts = [
-        F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-        for at in (1, 16, 31, 46)
-    ]
+
+    def total(at: int) -> Column:
+        # 60 bits in two halves, room for 2^33 rows: sums of whole numbers are cheaper than those of decimals.
+        n = F.conv(F.substring(h, at, 15), 16, 10).cast("bigint")
+        high, low = F.sum(F.shiftright(n, 30)), F.sum(n.bitwiseAND(F.lit((1 << 30) - 1)))
+        return (high.cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low.cast("decimal(20,0)")).cast("string")
+
+    parts = [total(at) for at in (1, 16, 31, 46)]
     return F.sha2(F.concat_ws("/", F.count("*").cast("string"), *parts), 256)
 
 
@@ -690,12 +694,19 @@ def session_parts(events: DataFrame, records: DataFrame) -> DataFrame:
     return tree_roots(leaves)
 
 
-def snapshot(events: DataFrame, records: DataFrame, path: str) -> DataFrame:
-    """Write events, records, their parts' digests and a one-row manifest under ``path``; return the manifest."""
-    records = cut(records)
-    events.write.mode("overwrite").parquet(f"{path}/events")
-    records.write.mode("overwrite").parquet(f"{path}/records")
+def snapshot(events: DataFrame, records: DataFrame | Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Write events, records, their parts' digests and a one-row manifest under ``path``; return the manifest.
+
+    ``records`` may be a function of the written events, so that they need not be written twice.
+    """
     spark = events.sparkSession
+    if callable(records):
+        events.write.mode("overwrite").parquet(f"{path}/events")
+        records = cut(records(spark.read.parquet(f"{path}/events")))
+    else:
+        records = cut(records)
+        events.write.mode("overwrite").parquet(f"{path}/events")
+    records.write.mode("overwrite").parquet(f"{path}/records")
     parts = session_parts(spark.read.parquet(f"{path}/events"), records)
     parts.write.mode("overwrite").parquet(f"{path}/parts")
     manifest = manifest_digest(spark.read.parquet(f"{path}/parts")).withColumnRenamed("digest", "snapshot_hash")

@@ -496,10 +496,8 @@ WHERE event_type = 'signup' GROUP BY 1""",
 )
 def verify_snapshot(spark, sf):
     """A snapshot whose event files were altered after writing."""
-    ev = cut(attributed(spark, sf))
     home = fresh_path(spark, "snapshot")
-    rec = K.session_records(ev, sidecar(spark, sf), annotation(spark, sf))
-    K.snapshot(ev, rec, home)
+    K.snapshot(attributed(spark, sf), lambda ev: K.session_records(ev, sidecar(spark, sf), annotation(spark, sf)), home)
     changed = spark.read.parquet(f"{home}/events").withColumn(
         "tool_name",
         F.when(F.col("tool_name") == "signup", "signin").otherwise(F.col("tool_name")),
@@ -522,9 +520,8 @@ def verify_snapshot_edits(spark, sf):
 
     Sessions of one event are left alone where the edit is to their events.
     """
-    ev = cut(attributed(spark, sf))
     home = fresh_path(spark, "snapshot")
-    K.snapshot(ev, K.session_records(ev, sidecar(spark, sf), annotation(spark, sf)), home)
+    K.snapshot(attributed(spark, sf), lambda ev: K.session_records(ev, sidecar(spark, sf), annotation(spark, sf)), home)
     kind, pos = F.col("session_id").cast("bigint") % 6, F.col("pos")
     stored, kept = spark.read.parquet(f"{home}/events"), spark.read.parquet(f"{home}/records")
     several = stored.groupBy("session_id").agg((F.count("*") > 1).alias("several"))

@@ -194,12 +194,14 @@ def slow_calls(spark, sf):
 
 def attributed(spark, sf):
     """Native trace with agent, provider and model names from the event kinds."""
-    k = F.regexp_extract("tool_input", "([0-9]+)", 1).cast("int")
+    k = F.col("_k")
     return (
         trace_native(spark, sf)
+        .withColumn("_k", F.regexp_extract("tool_input", "([0-9]+)", 1).cast("int"))
         .withColumn("agent", F.when(k % 4 == 0, F.concat(F.lit("Agent-"), F.col("tool_name"))))
         .withColumn("provider", F.when(k % 3 == 0, F.concat(F.lit("prov-"), (k % 2).cast("string"))))
         .withColumn("model", F.when(k % 2 == 0, F.concat(F.lit("m-"), (k % 5).cast("string"))))
+        .drop("_k")
     )
 
 

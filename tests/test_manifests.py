@@ -68,6 +68,21 @@ def test_an_intact_snapshot_has_no_issue(spark, stored):
     assert altered(spark, stored) == set()
 
 
+def test_records_are_made_from_the_written_events(spark, make, tmp_path):
+    events = make({"a": [("1", "read", ""), ("2", "edit", "1")]})
+    none = spark.createDataFrame([], "session_id string, task_type string, source string, success boolean, repo_language string")
+    notes, read = complete(spark.createDataFrame([("a", "X")], "session_id string, runtime string")), []
+
+    def records(written):
+        read.extend(written.inputFiles())
+        return K.session_records(written, notes, none)
+
+    made = K.snapshot(events, records, str(tmp_path / "whole")).first()
+    assert read and all(f"{tmp_path}/whole/events/" in f for f in read)
+    assert made == K.snapshot(events, K.session_records(events, notes, none), str(tmp_path / "other")).first()
+    assert altered(spark, tmp_path) == set()
+
+
 def test_issues_name_session_and_part(spark, stored):
     one = F.col("session_id") == "b"
     issues = altered(

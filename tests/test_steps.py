@@ -1,8 +1,11 @@
 """Steps that many queries share: positions, checks, plans, state of streams."""
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.operators import corpus as K
 from skein.operators import integrity as V
 from skein.operators import subsets as X
 from skein.operators import windows as W
@@ -91,3 +94,12 @@ def test_registry_lines_are_matched_once(spark, monkeypatch):
     assert "regexp_extract" not in plan
     assert plan.count("Relation ") + plan.count("LogicalRDD") <= 3
     assert [(r.line_no, r.duration_ms) for r in rows] == [(0, None), (2, None), (3, 2000.0), (4, None), (5, None), (8, 2000.0), (9, 2000.0), (10, None)]
+
+
+def test_digests_sum_halves_exactly(spark):
+    """The sums of the halves are the sums of the 60-bit numbers; an empty bag has a digest, too."""
+    texts = spark.range(3000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"))
+    hashes = [hashlib.sha256(f"t{i}".encode()).hexdigest() for i in range(3000)]
+    sums = [str(sum(int(h[at : at + 15], 16) for h in hashes)) for at in (0, 15, 30, 45)]
+    assert texts.agg(K.set_digest(F.col("t"))).first()[0] == hashlib.sha256("/".join(["3000", *sums]).encode()).hexdigest()
+    assert texts.limit(0).agg(K.set_digest(F.col("t"))).first()[0] == hashlib.sha256(b"0").hexdigest()

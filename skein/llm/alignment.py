@@ -76,10 +76,7 @@ class First:
                 for i in range(max(names) + 1)
             ]
         )
-        self.pieces = pretokens.PieceIds(self._encode, HELD_PIECES)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.pieces = pretokens.PieceIds(pretokens.LibraryPieces(self.tokenizer), HELD_PIECES)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.pieces.ids(texts)

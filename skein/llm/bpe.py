@@ -90,13 +90,13 @@ class Codec:
         self.flat = np.concatenate(tokens)
         self.pieces = pretokens.PieceIds(self._encode)
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         names = [mapped(p.encode()) for p in pieces]
         out = [[self.known[p]] if p in self.known else None for p in names]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self.model.encode([names[i] for i in rest], num_threads=1), strict=True):
             out[i] = ids
-        return out
+        return pretokens.flattened(out)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.pieces.ids(texts)

@@ -8,25 +8,30 @@ The model predicts the next id from the last two ids (order 2), from the last id
 and from counts of all ids so far (order 0). Which of the three to trust is learned for
 each pair of confidences of the order-2 and order-1 predictions: the weights are the
 adaptive shares of "order 2 was right", "order 1 was right", "neither". The id is coded as
-that outcome and, for "neither", by its order-0 share. Shares drive a carry-less range
-coder with 64-bit state and 16-bit output words, one stream per lane.
+that outcome and, for "neither", by its order-0 share of the outcome's share. Shares drive a
+carry-less range coder with 64-bit state and 16-bit output words, one stream per lane.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
-MAGIC = b"ctxR"
+MAGIC = b"ctxS"
 _HEAD = "<4sIIQII"  # magic, vocabulary, documents, ids, lanes, words
 LANE_STEPS, MOST_LANES = 256, 4096
 CONTEXT_BITS = 18
 OUTCOME_BITS, ID_BITS = 12, 24
-LEAST = np.uint64(1 << 40)  # the range never stays below this
+BITS = np.uint64(OUTCOME_BITS + ID_BITS)
+LEAST = np.uint64(1 << 42)  # the range never stays below this
 _TOP, _WORD, _FULL = np.uint64(48), np.uint64(16), np.uint64((1 << 64) - 1)
+_RUN = 8  # bits
 _CONF = 8  # levels of confidence, three bits
+#: Change of a confidence after a miss (first eight) and after a hit.
+_CHANGE = np.array([-((c + 1) >> 1) for c in range(_CONF)] + [int(c < _CONF - 1) for c in range(_CONF)], dtype=np.int32)
 
 
 def lanes_of(n: int) -> int:
@@ -45,22 +50,33 @@ class _Model:
     def __init__(self, vocabulary: int, lanes: int):
         self.size = vocabulary
         # A slot holds the predicted id and the confidence in one number: id * _CONF + confidence.
-        self.near = np.full(vocabulary, -_CONF, dtype=np.int64)
-        self.far = np.full(1 << CONTEXT_BITS, -_CONF, dtype=np.int64)
+        self.near = np.full(vocabulary, -_CONF, dtype=np.int32)
+        self.far = np.full(1 << CONTEXT_BITS, -_CONF, dtype=np.int32)
         self.outcomes = np.ones((_CONF * _CONF, 3), dtype=np.int64)
         self.counts = np.zeros(vocabulary, dtype=np.int64)
         self.fresh: list[np.ndarray] = []
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.last_but_one = np.zeros(lanes, dtype=np.int64)
+        self.contexts: list[np.ndarray] = []
+        self.last = np.zeros(lanes, dtype=np.int32)
+        self.before = np.zeros(lanes, dtype=np.uint32)  # hashes of the last ids but one
         self.steps = 0
 
     def _shares(self) -> None:
+        if self.contexts:
+            seen = np.bincount(np.concatenate(self.contexts), minlength=_CONF * _CONF * 3)
+            self.outcomes += 2 * seen.reshape(-1, 3)
+            self.contexts = []
+            if self.outcomes.max() > 1 << 20:
+                self.outcomes = (self.outcomes + 1) >> 1
         total = self.outcomes.sum(axis=1, keepdims=True)
         shares = 1 + self.outcomes * ((1 << OUTCOME_BITS) - 3) // total
         shares[:, 2] += (1 << OUTCOME_BITS) - shares.sum(axis=1)
         below = (np.cumsum(shares, axis=1) - shares).astype(np.uint64)
+        shares = shares.astype(np.uint64)
+        self.rest_share = shares[:, 2].copy()
+        # Shares and lower bounds of all bits: outcome and id.
+        below <<= np.uint64(ID_BITS)
         self.from_near, self.from_rest = below[:, 1].copy(), below[:, 2].copy()
-        self.outcome_share, self.outcome_below = shares.astype(np.uint64).ravel(), below.ravel()
+        self.outcome_share, self.outcome_below = (shares << np.uint64(ID_BITS)).ravel(), below.ravel()
 
     def _id_shares(self) -> None:
         if self.fresh:
@@ -69,8 +85,23 @@ class _Model:
         total = max(1, int(self.counts.sum()))
         shares = 1 + self.counts * ((1 << ID_BITS) - self.size) // total
         shares[int(self.counts.argmax())] += (1 << ID_BITS) - int(shares.sum())
-        self.id_share = shares.astype(np.uint64)
-        self.id_below = (np.cumsum(shares) - shares).astype(np.uint64)
+        self.id_share = shares.astype(np.uint32)
+        ends = np.cumsum(shares)
+        self.id_below, self.id_end = (ends - shares).astype(np.uint32), ends.astype(np.uint32)
+        self.first = None
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose order-0 shares the values lie."""
+        if self.first is None:  # the id at the begin of every run of 2^_RUN values
+            runs = (self.id_below + np.uint32((1 << _RUN) - 1)) >> np.uint32(_RUN)
+            self.first = np.cumsum(np.bincount(runs, minlength=1 << (ID_BITS - _RUN))) - 1
+        found = self.first.take(value >> np.uint32(_RUN))
+        late = np.flatnonzero(self.id_end.take(found) <= value)
+        for _ in range(2):
+            found[late] += 1
+            late = late[self.id_end.take(found.take(late)) <= value.take(late)]
+        found[late] = np.searchsorted(self.id_below, value.take(late), side="right") - 1
+        return found
 
     def look(self, running: int) -> None:
         """Predictions for the next id of the first ``running`` lanes."""
@@ -79,65 +110,84 @@ class _Model:
             self._shares()
         if step & (step - 1) == 0 or step % 64 == 0:
             self._id_shares()
-        near, before = self.last[:running], self.last_but_one[:running]
-        self.at_near = near
-        self.at_far = (near * 0x9E3779B1 + before * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - CONTEXT_BITS)
-        self.slot_far, self.slot_near = self.far[self.at_far], self.near[near]
+        near = self.last[:running]
+        self.hashed = near.view(np.uint32) * np.uint32(0x9E3779B1)
+        self.at_near = near.astype(np.intp)
+        self.at_far = ((self.hashed + self.before[:running]) >> np.uint32(32 - CONTEXT_BITS)).astype(np.intp)
+        self.slot_far, self.slot_near = self.far.take(self.at_far), self.near.take(self.at_near)
         self.guess_far, self.guess_near = self.slot_far >> 3, self.slot_near >> 3
-        same = self.guess_far == self.guess_near
-        self.context = (self.slot_far & 7) * _CONF + np.where(same, 0, self.slot_near & 7)
+        self.conf_far, self.conf_near = self.slot_far & 7, self.slot_near & 7
+        differ = self.guess_far != self.guess_near
+        self.context = ((self.conf_far << 3) + self.conf_near * differ).astype(np.intp)
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        renewed = ids * _CONF + 1
-        for table, at, slot, guess in (
-            (self.far, self.at_far, self.slot_far, self.guess_far),
-            (self.near, self.at_near, self.slot_near, self.guess_near),
+        renewed = (ids << 3) + 1
+        for table, at, slot, guess, conf in (
+            (self.far, self.at_far, self.slot_far, self.guess_far, self.conf_far),
+            (self.near, self.at_near, self.slot_near, self.guess_near, self.conf_near),
         ):
-            conf = slot & 7
-            weaker = np.where(conf <= 1, renewed, slot - conf + (conf >> 1))
-            table[at] = np.where(guess == ids, slot + (conf < 7), weaker)
-        seen = np.bincount(self.context * 3 + outcome, minlength=_CONF * _CONF * 3)
-        self.outcomes += 2 * seen.reshape(-1, 3)
-        if self.outcomes.max() > 1 << 20:
-            self.outcomes = (self.outcomes + 1) >> 1
+            hit = guess == ids
+            slot += _CHANGE.take(conf + (hit << 3))
+            np.copyto(slot, renewed, where=~hit & (conf <= 1))
+            table[at] = slot
+        self.contexts.append(self.context * 3 + outcome)
         self.fresh.append(ids)
         running = len(ids)
-        self.last_but_one[:running] = self.last[:running]
+        np.multiply(self.hashed, np.uint32(0x85EBCA6B), out=self.before[:running])
         self.last[:running] = ids
         self.steps += 1
 
 
-class _Coder:
+class _Range:
+    """State of the coder and of the decoder: bounds of every lane."""
+
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, dtype=np.uint64)
         self.range = np.full(lanes, _FULL, dtype=np.uint64)
+
+    def narrow(self, running: int) -> np.ndarray:
+        """The part of a lane's range that belongs to one unit of all bits."""
+        return self.range[:running] >> BITS
+
+    def settle(self, running: int, moved: Callable[[np.ndarray, np.ndarray], None]) -> None:
+        """Move words out while ranges are small; ``moved`` gets lanes and their lower bounds."""
+        at = np.flatnonzero(self.range[:running] < LEAST)
+        low, width = self.low.take(at), self.range.take(at)
+        while len(at):
+            split = np.flatnonzero((low ^ (low + width - np.uint64(1))) >> _TOP)
+            if len(split):
+                room = np.uint64(1 << 48) - (low[split] & np.uint64((1 << 48) - 1))
+                width[split] = np.minimum(width[split], room)
+            moved(at, low)
+            low <<= _WORD
+            width <<= _WORD
+            self.low[at], self.range[at] = low, width
+            small = np.flatnonzero(width < LEAST)
+            at, low, width = at.take(small), low.take(small), width.take(small)
+
+
+class _Coder(_Range):
+    def __init__(self, lanes: int):
+        super().__init__(lanes)
         self.lanes_out: list[np.ndarray] = []
         self.words_out: list[np.ndarray] = []
 
-    def put(self, lane, below: np.ndarray, share: np.ndarray, bits: int) -> None:
-        part = self.range[lane] >> np.uint64(bits)
-        self.low[lane] += below * part
-        self.range[lane] = share * part
-        self._settle()
+    def _push(self, at: np.ndarray, low: np.ndarray) -> None:
+        self.lanes_out.append(at.astype(np.uint16))
+        self.words_out.append((low >> _TOP).astype(np.uint16))
 
-    def _settle(self) -> None:
-        at = np.flatnonzero(self.range < LEAST)
-        while len(at):
-            low, width = self.low[at], self.range[at]
-            split = (low ^ (low + width - np.uint64(1))) >> _TOP != 0
-            room = np.uint64(1 << 48) - (low & np.uint64((1 << 48) - 1))
-            width = np.where(split, np.minimum(width, room), width)
-            self.lanes_out.append(at)
-            self.words_out.append((low >> _TOP).astype(np.uint16))
-            self.low[at] = low << _WORD
-            self.range[at] = width = width << _WORD
-            at = at[width < LEAST]
+    def put(self, below: np.ndarray, share: np.ndarray) -> None:
+        running = len(below)
+        part = self.narrow(running)
+        self.low[:running] += below * part
+        np.multiply(share, part, out=self.range[:running])
+        self.settle(running, self._push)
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of all lanes, lane after lane, and the number of words of each lane."""
         lanes = len(self.low)
         value = self.low + np.uint64((1 << 32) - 1)  # a number inside the range whose lower half is not needed
-        every = np.arange(lanes)
+        every = np.arange(lanes, dtype=np.uint16)
         for shift in (48, 32):
             self.lanes_out.append(every)
             self.words_out.append((value >> np.uint64(shift)).astype(np.uint16))
@@ -145,86 +195,96 @@ class _Coder:
         return words[np.argsort(lane, kind="stable")], np.bincount(lane, minlength=lanes)
 
 
-class _Decoder:
+class _Decoder(_Range):
     def __init__(self, words: np.ndarray, sizes: np.ndarray):
-        self.words = np.append(words, np.zeros(4, dtype=np.uint16)).astype(np.uint64)
+        super().__init__(len(sizes))
+        self.words = np.append(words, np.zeros(1, dtype=np.uint16)).astype(np.uint64)  # behind the end: 0
         self.ends = np.cumsum(sizes)
         self.next = self.ends - sizes
-        lanes = len(sizes)
-        self.low = np.zeros(lanes, dtype=np.uint64)
-        self.range = np.full(lanes, _FULL, dtype=np.uint64)
-        self.code = np.zeros(lanes, dtype=np.uint64)
-        every = np.arange(lanes)
+        self.inside = np.zeros(len(sizes), dtype=np.uint64)  # the code's distance from the lower bound
+        every = np.arange(len(sizes))
         for _ in range(4):
-            self._pull(every)
+            self._pull(every, self.low)
 
-    def _pull(self, at: np.ndarray) -> None:
-        here = self.next[at]
-        word = np.where(here < self.ends[at], self.words[np.minimum(here, len(self.words) - 1)], np.uint64(0))
-        self.code[at] = self.code[at] << _WORD | word
+    def _pull(self, at: np.ndarray, low: np.ndarray) -> None:
+        here = self.next.take(at)
+        word = self.words.take(np.where(here < self.ends.take(at), here, len(self.words) - 1))
+        self.inside[at] = self.inside.take(at) << _WORD | word
         self.next[at] = here + 1
 
-    def peek(self, lane, bits: int) -> np.ndarray:
-        self.part = self.range[lane] >> np.uint64(bits)
-        return np.minimum((self.code[lane] - self.low[lane]) // self.part, np.uint64((1 << bits) - 1))
-
-    def take(self, lane, below: np.ndarray, share: np.ndarray) -> None:
-        self.low[lane] += below * self.part
-        self.range[lane] = share * self.part
-        at = np.flatnonzero(self.range < LEAST)
-        while len(at):
-            low, width = self.low[at], self.range[at]
-            split = (low ^ (low + width - np.uint64(1))) >> _TOP != 0
-            room = np.uint64(1 << 48) - (low & np.uint64((1 << 48) - 1))
-            width = np.where(split, np.minimum(width, room), width)
-            self._pull(at)
-            self.low[at] = low << _WORD
-            self.range[at] = width = width << _WORD
-            at = at[width < LEAST]
+    def take(self, below: np.ndarray, share: np.ndarray, part: np.ndarray) -> None:
+        running = len(part)
+        below = below * part
+        self.low[:running] += below
+        self.inside[:running] -= below
+        np.multiply(share, part, out=self.range[:running])
+        self.settle(running, self._pull)
 
 
 def _code(ids: np.ndarray, vocabulary: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = _lane_sizes(len(ids), lanes)
-    begins = np.cumsum(sizes) - sizes
+    rows = _rows(ids.astype(np.int32), sizes)
     model, coder = _Model(vocabulary, lanes), _Coder(lanes)
-    for step in range(int(sizes[0])):
-        running = int(np.searchsorted(-sizes, -step))
-        model.look(running)
-        now = ids[begins[:running] + step]
+    for now in rows:
+        model.look(len(now))
         outcome = np.where(now == model.guess_far, 0, np.where(now == model.guess_near, 1, 2))
         at = model.context * 3 + outcome
-        coder.put(slice(0, running), model.outcome_below[at], model.outcome_share[at], OUTCOME_BITS)
+        below, share = model.outcome_below.take(at), model.outcome_share.take(at)
         rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            coder.put(rest, model.id_below[now[rest]], model.id_share[now[rest]], ID_BITS)
+        found, part = now.take(rest), model.rest_share.take(model.context.take(rest))
+        below[rest] += part * model.id_below.take(found)
+        share[rest] = part * model.id_share.take(found)
+        coder.put(below, share)
         model.learn(now, outcome)
     return coder.finish()
 
 
+def _rows(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The ids of all running lanes at each step."""
+    lanes, short = len(sizes), int(sizes[-1])
+    longer = int(np.count_nonzero(sizes > short))
+    cut = longer * (short + 1)
+    first = ids[:cut].reshape(longer, short + 1)
+    table = np.concatenate([first[:, :short], ids[cut:].reshape(lanes - longer, short)]).T
+    return [*np.ascontiguousarray(table), *([first[:, short].copy()] if longer else [])]
+
+
+def _lanes(rows: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The ids of all lanes, lane after lane."""
+    short = int(sizes[-1])
+    table = np.array(rows[:short], dtype=np.int32).reshape(short, len(sizes)).T
+    if len(rows) == short:
+        return table.reshape(-1)
+    longer = len(rows[-1])
+    return np.concatenate([np.column_stack([table[:longer], rows[-1]]).reshape(-1), table[longer:].reshape(-1)])
+
+
 def _decode(n: int, vocabulary: int, words: np.ndarray, sizes_out: np.ndarray) -> np.ndarray:
     lanes = len(sizes_out)
     sizes = _lane_sizes(n, lanes)
-    begins = np.cumsum(sizes) - sizes
     model, coder = _Model(vocabulary, lanes), _Decoder(words, sizes_out)
-    out = np.zeros(n, dtype=np.int64)
+    rows = []
     for step in range(int(sizes[0])):
-        running = int(np.searchsorted(-sizes, -step))
+        running = lanes if step < sizes[-1] else int(np.count_nonzero(sizes > step))
         model.look(running)
-        lane = slice(0, running)
-        value = coder.peek(lane, OUTCOME_BITS)
-        outcome = (value >= model.from_near[model.context]).astype(np.int64) + (value >= model.from_rest[model.context])
+        part, inside = coder.narrow(running), coder.inside[:running]
+        outcome = (inside >= model.from_near.take(model.context) * part).astype(np.intp)
+        outcome += inside >= model.from_rest.take(model.context) * part
         at = model.context * 3 + outcome
-        coder.take(lane, model.outcome_below[at], model.outcome_share[at])
+        below, share = model.outcome_below.take(at), model.outcome_share.take(at)
         now = np.where(outcome == 0, model.guess_far, model.guess_near)
         rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            value = coder.peek(rest, ID_BITS)
-            found = np.searchsorted(model.id_below, value, side="right") - 1
-            now[rest] = found
-            coder.take(rest, model.id_below[found], model.id_share[found])
+        unit, own = part.take(rest), model.rest_share.take(model.context.take(rest))
+        value = (inside.take(rest) - below.take(rest) * unit) // (own * unit)
+        value = np.minimum(value, np.uint64((1 << ID_BITS) - 1)).astype(np.uint32)
+        found = model.find(value)
+        now[rest] = found
+        below[rest] += own * model.id_below.take(found)
+        share[rest] = own * model.id_share.take(found)
+        coder.take(below, share, part)
         model.learn(now, outcome)
-        out[begins[:running] + step] = now
-    return out
+        rows.append(now)
+    return _lanes(rows, sizes).astype(np.int64)
 
 
 def pack_block(keys: np.ndarray, known: np.ndarray, sizes: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:

@@ -54,14 +54,12 @@ class _Encoder:
     def __init__(self, spec: str):
         self.tokenizer = _tokenizer(spec)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = pretokens.PieceIds(self._encode) if _splits_as_bytes(spec) else None
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.pieces = pretokens.PieceIds(pretokens.LibraryPieces(self.tokenizer)) if _splits_as_bytes(spec) else None
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = self._encode(texts)
-        return np.array([i for x in lists for i in x], dtype=np.uint32), np.cumsum([0, *map(len, lists)])
+        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        ids, sizes = pretokens.flattened([e.ids for e in encoded])
+        return ids, np.append(0, np.cumsum(sizes))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.pieces:

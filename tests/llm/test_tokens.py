@@ -62,6 +62,61 @@ def test_bpe_odd_texts_and_small_cache():
             assert codec.decode(own) == text.encode()
 
 
+def pieces_of(texts):
+    return sorted({p for t in texts for p in regex.findall(public_tokenizers.PATTERN, t)})
+
+
+def test_unseen_pieces_share_calls_of_the_library():
+    """op5_token_output: a piece costs no call and no result object of its own."""
+    tokenizer = Tokenizer.from_file(JSON)
+    ids_of = pretokens.LibraryPieces(tokenizer)
+    given, lists = [], ids_of._lists
+    ids_of._lists = lambda texts: given.extend(texts) or lists(texts)
+    words = pieces_of([" ".join(f"word{i}s" for i in range(3000)), *odd_texts(500, seed=3)])
+    for pieces in (words, [w for w in words if not w.isspace()], [w for w in words if w.isspace()], ["\n"], ["a"], []):
+        given.clear()
+        ids, sizes = ids_of(pieces)
+        want = [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+        assert len(given) <= 1 + len(pieces) // pretokens.JOINED + sum(p.isspace() for p in pieces)
+
+
+def test_a_full_cache_keeps_pieces_that_came_again():
+    """op5_token_output: a full cache does not send its frequent pieces to the library again."""
+    seen = []
+
+    def encode(pieces):
+        seen.extend(pieces)
+        return pretokens.flattened([[len(p), *p.encode()] for p in pieces])
+
+    cache = pretokens.PieceIds(encode, limit=100)
+    for n in range(60):
+        text = "the of " + " ".join(chr(97 + n % 26) * (n + 2) + chr(97 + i) * (i + 2) for i in range(20))
+        want = [i for p in regex.findall(public_tokenizers.PATTERN, text) for i in (len(p), *p.encode())]
+        ids, bounds = cache.ids([text, ""])
+        assert ids.tolist() == want and bounds.tolist() == [0, len(want), len(want)]
+        assert len(cache.keys) <= 100
+    assert seen.count("the") == seen.count(" of") == 1
+    assert len(seen) == 2 + 60 * 20
+
+
+def test_places_with_crowded_homes():
+    """Keys with one home and keys at the table's end are found, also after the table grew."""
+    places, held = pretokens._Places(), {}
+    for step in (1, 1 << 40, 1 << 46):
+        keys = np.array([((1 << 64) - 1 - i * step) for i in range(300)], dtype=np.uint64)
+        keys = np.array([k for k in keys.tolist() if k not in held], dtype=np.uint64)
+        places.add(keys, np.arange(len(held), len(held) + len(keys), dtype=np.int32))
+        held |= {k: len(held) + i for i, k in enumerate(keys.tolist())}
+    many = np.random.default_rng(1).integers(1, 1 << 63, 100_000).astype(np.uint64)
+    many = np.unique(many)
+    assert (places.find(many) == -1).all()
+    places.add(many, np.arange(1000, 1000 + len(many), dtype=np.int32))
+    assert places.find(many).tolist() == list(range(1000, 1000 + len(many)))
+    assert places.find(np.array(list(held), dtype=np.uint64)).tolist() == list(held.values())
+
+
 @pytest.mark.parametrize("block_ids", [64, 1 << 20])
 def test_token_table(spark, docs, texts, tmp_path, block_ids):
     path = str(tmp_path / "tokens")
@@ -108,6 +163,19 @@ def test_range_coder_round_trip(n):
             assert keys.tolist() == [0, 1] and known.tolist() == [True, False] and sizes.tolist() == [n, 0]
 
 
+def test_range_coder_codes_an_id_at_once(monkeypatch):
+    """op5_token_output: outcome and order-0 share are one step of the coder; a full block comes back."""
+    steps = []
+    put = rangecoder._Coder.put
+    monkeypatch.setattr(rangecoder._Coder, "put", lambda self, *a: steps.append(1) or put(self, *a))
+    rng = np.random.default_rng(5)
+    n = (1 << 20) + 1234
+    ids = np.minimum(rng.zipf(1.2, n) - 1, 50_256)
+    block = rangecoder.pack_block(np.arange(1), np.ones(1), np.array([n]), ids, 50_257)
+    assert len(steps) == n // rangecoder.MOST_LANES + 1
+    assert (rangecoder.unpack_block(block)[3] == ids).all()
+
+
 def test_range_coder_finds_damage_and_predicts():
     block = bytearray(rangecoder.pack_block(np.arange(1), np.ones(1), np.array([50_000]), np.arange(50_000) % 11, 50_257))
     assert len(block) < 8_000  # a repeating run costs far less than its ids
